@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, embeddings, minhash, mixing, pii, quality, secrets, token_counts
+from . import bpe_codec, embeddings, minhash, mixing, pii, quality, records, secrets, token_counts
 
 
 def vocab_path(name: str = "byte_bpe_50k.json") -> str:
@@ -48,12 +48,16 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(documents(spark, sf_dir))
 
 
+def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.round_trip(documents(spark, sf_dir), vocab_path())
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(documents(spark, sf_dir), vocab_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_mixing, op4_quality_rules, op5_minhash, op6_embeddings, op8_pii, op10_bpe_codec)}
+    return {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_mixing, op4_quality_rules, op5_minhash, op6_embeddings, op8_pii, op9_records, op10_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
