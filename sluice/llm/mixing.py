@@ -143,3 +143,17 @@ def mix(
 
 def digest(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mixed corpus: each row as often as `mix` copies it, with all its columns.
+
+    Rows are matched to their copies by id and the text's hash; of rows that agree in both, the first stands for all copies.
+    """
+    stamp = F.xxhash64(F.col(f"`{text_col}`"))
+    ids = docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), stamp.alias("stamp")).alias("key"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{source_col}`").alias("source"))
+    copies = mix(ids, "key", "text", "source", **options).groupBy("key.id", "key.stamp").agg(F.sum("copies").cast("int").alias("copies")).filter("copies > 0")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("i"), stamp.alias("s"))
+    first = rows.withColumn("place", F.row_number().over(W.partitionBy("i", "s").orderBy("s"))).filter("place = 1")
+    taken = first.join(copies, F.col("i").eqNullSafe(F.col("id")) & (F.col("s") == F.col("stamp")))
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

@@ -99,6 +99,57 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(total[:, 0] > 0, np.sqrt(np.maximum(d, 0)), 0.0)
 
 
+class Rules:
+    """The verdict on base counts and histograms, given the languages' references."""
+
+    def __init__(self, references: list[tuple[np.ndarray, np.ndarray]], limits: dict[str, float]):
+        self.references, self.limits = references, limits
+
+    def __call__(self, n_words: np.ndarray, chars: np.ndarray, repeats: np.ndarray, classes: np.ndarray, words: np.ndarray):
+        """(base_failed, class distance, word distance, kept) of each row."""
+        far = [np.min([js_distance(x, r[k]) for r in self.references], 0) if self.references and len(x) else np.zeros(len(x)) for k, x in enumerate((classes, words))]
+        failed = (n_words < 50) | (100 * repeats > 50 * n_words)
+        odd = (far[0] > self.limits["classes"]) & (chars >= self.limits["chars"]) | (far[1] > self.limits["common"]) & (n_words >= self.limits["words"])
+        return failed, *far, ~failed & ~odd
+
+
+NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def count_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, common: dict[str, list[str]]) -> DataFrame:
+    """(id, lang, base counts, classes, words) of each row."""
+    session(docs)
+    id_type = docs.schema[id_col].dataType.simpleString()
+    ints = pa.list_(pa.int32())
+
+    def count(batches):
+        of = Counts(common)
+        for b in batches:
+            rows = [of(t) for t in b.column(2).to_pylist()]
+            base = [pa.array([r[0][k] for r in rows], pa.int64()) for k in range(len(NAMES))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *base, pa.array([r[1] for r in rows], ints), pa.array([r[2] for r in rows], ints)], ["id", "lang", *NAMES, "classes", "words"])
+
+    lang = F.col(f"`{lang_col}`").cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), lang.alias("lang"), F.col(f"`{text_col}`").alias("text"))
+    return rows.mapInArrow(count, f"id {id_type}, lang string, " + ", ".join(f"{n} long" for n in NAMES) + ", classes array<int>, words array<int>")
+
+
+def references(counted: DataFrame, common: dict[str, list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The summed histograms of each supported language: at most one row per language reaches the driver.
+
+    Exact integer sums over all documents that pass the base rules.
+    """
+    n_classes, n_bins = len(CLASSES), len({w for words in common.values() for w in words}) + 1
+    sums = [F.sum(F.get("classes", F.lit(i)).cast("long")).alias(f"c{i}") for i in range(n_classes)] + [F.sum(F.get("words", F.lit(i)).cast("long")).alias(f"w{i}") for i in range(n_bins)]
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    found = counted.filter(~failed & F.col("lang").isin(*common)).groupBy("lang").agg(*sums).collect()
+    return [(np.array(r[1 : 1 + n_classes], float), np.array(r[1 + n_classes :], float)) for r in sorted(found)]
+
+
+def _limits(max_class_distance: float, max_word_distance: float, min_chars: int, min_words: int) -> dict[str, float]:
+    return {"classes": max_class_distance, "common": max_word_distance, "chars": min_chars, "words": min_words}
+
+
 def judge(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -115,46 +166,40 @@ def judge(
     ``base_failed``: fewer than 50 words, or over half of them in repeated three-word windows.  Otherwise a
     document is rejected if its character classes lie further than ``max_class_distance`` from every
     language's reference (and it has ``min_chars`` characters), or its common words further than
-    ``max_word_distance`` (and it has ``min_words`` words).  Null texts count as empty and fail the base rules; null or unknown
-    languages add to no reference.  Without any reference (an empty table, no known language) nothing is
-    rejected beyond the base rules.  Repeated rows come back one by one.
+    ``max_word_distance`` (and it has ``min_words`` words).  Null texts count as empty and fail the base rules;
+    null or unknown languages add to no reference.  Without any reference (an empty table, no known language)
+    nothing is rejected beyond the base rules.  Repeated rows come back one by one.
     """
     common = common or COMMON
-    spark = session(docs)
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     id_type = docs.schema[id_col].dataType.simpleString()
-    ints, floats = pa.list_(pa.int32()), pa.float64()
-
-    def count(batches):
-        of = Counts(common)
-        for b in batches:
-            rows = [of(t) for t in b.column(2).to_pylist()]
-            base = [pa.array([r[0][k] for r in rows], pa.int64()) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *base, pa.array([r[1] for r in rows], ints), pa.array([r[2] for r in rows], ints)], ["id", "lang", *names, "classes", "words"])
-
-    lang = F.col(f"`{lang_col}`").cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), lang.alias("lang"), F.col(f"`{text_col}`").alias("text"))
-    counted = checkpoint(rows.mapInArrow(count, f"id {id_type}, lang string, " + ", ".join(f"{n} long" for n in names) + ", classes array<int>, words array<int>"))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-
-    # the references: at most one row for each supported language, exact integer sums over all documents
-    n_classes, n_bins = len(CLASSES), len({w for words in common.values() for w in words}) + 1
-    sums = [F.sum(F.get("classes", F.lit(i)).cast("long")).alias(f"c{i}") for i in range(n_classes)] + [F.sum(F.get("words", F.lit(i)).cast("long")).alias(f"w{i}") for i in range(n_bins)]
-    found = counted.filter(~failed & F.col("lang").isin(*common)).groupBy("lang").agg(*sums).collect()
-    references = spark.sparkContext.broadcast([(np.array(r[1 : 1 + n_classes], float), np.array(r[1 + n_classes :], float)) for r in found])
+    counted = checkpoint(count_texts(docs, id_col, text_col, lang_col, common))
+    rules = docs.sparkSession.sparkContext.broadcast(Rules(references(counted, common), _limits(max_class_distance, max_word_distance, min_chars, min_words)))
 
     def compare(batches):
-        known = references.value
         for b in batches:
             classes, words = (np.array(b.column(k).to_pylist(), float).reshape(b.num_rows, -1) for k in (6, 7))
-            far = [np.min([js_distance(x, r[k]) for r in known], 0) if known and b.num_rows else np.zeros(b.num_rows) for k, x in enumerate((classes, words))]
             n_words, chars, repeats = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 5))
-            base_failed = (n_words < 50) | (100 * repeats > 50 * n_words)
-            odd = (far[0] > max_class_distance) & (chars >= min_chars) | (far[1] > max_word_distance) & (n_words >= min_words)
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(k) for k in range(6)), pa.array(base_failed), pa.array(far[0], floats), pa.array(far[1], floats), pa.array(~base_failed & ~odd)],
-                [id_col, *names, "base_failed", "class_distance", "word_distance", "kept"],
-            )
-
-    schema = f"`{id_col}` {id_type}, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, class_distance double, word_distance double, kept boolean"
+            verdict = [pa.array(x) for x in rules.value(n_words, chars, repeats, classes, words)]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(6)), *verdict], [id_col, *NAMES, "base_failed", "class_distance", "word_distance", "kept"])
+
+    schema = f"`{id_col}` {id_type}, " + ", ".join(f"{n} long" for n in NAMES) + ", base_failed boolean, class_distance double, word_distance double, kept boolean"
     return counted.drop("lang").mapInArrow(compare, schema)
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **limits) -> DataFrame:
+    """The rows that `judge` keeps, with all their columns.  Texts are counted twice; nothing is shuffled but the references."""
+    limits = {"max_class_distance": 0.30, "max_word_distance": 0.33, "min_chars": 300, "min_words": 150} | limits
+    counted = count_texts(docs, text_col, text_col, lang_col, COMMON).drop("id")
+    rules = docs.sparkSession.sparkContext.broadcast(Rules(references(counted, COMMON), _limits(**limits)))
+    at = docs.columns.index(text_col)
+
+    def keep(batches):
+        of = Counts(COMMON)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            base, classes, words = zip(*map(of, b.column(at).to_pylist()))
+            base = np.array(base)
+            yield b.filter(pa.array(rules.value(base[:, 0], base[:, 1], base[:, 4], np.array(classes, float), np.array(words, float))[3]))
+
+    return docs.mapInArrow(keep, docs.schema)

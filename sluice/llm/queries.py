@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, embeddings, minhash, mixing, pii, quality, records, secrets, token_counts
+from . import bpe_codec, embeddings, minhash, mixing, pii, quality, records, secrets, suffix, token_counts
 
 
 def vocab_path(name: str = "byte_bpe_50k.json") -> str:
@@ -44,6 +44,10 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(documents(spark, sf_dir))
 
@@ -57,7 +61,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_mixing, op4_quality_rules, op5_minhash, op6_embeddings, op8_pii, op9_records, op10_bpe_codec)}
+    return {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_mixing, op4_quality_rules, op5_minhash, op6_embeddings, op7_suffix_dedup, op8_pii, op9_records, op10_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
