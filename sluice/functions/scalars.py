@@ -60,7 +60,7 @@ def labelled_unit(text: Column) -> Column:
 def any_date(text: Column, default: Column | None = None) -> Column:
     """A date in ISO or day-first form with dots, slashes or hyphens, else ``default``."""
     day_first = F.regexp_replace(text, r"^(\d{2})[/.-](\d{2})[/.-](\d{4})$", "$3-$2-$1")
-    found = F.coalesce(F.try_to_date(text, F.lit("yyyy-MM-dd")), F.try_to_date(day_first, F.lit("yyyy-MM-dd")))
+    found = F.coalesce(F.try_to_date(text, "yyyy-MM-dd"), F.try_to_date(day_first, "yyyy-MM-dd"))
     return F.coalesce(found, default) if default is not None else found
 
 
