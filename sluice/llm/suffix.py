@@ -15,7 +15,7 @@ hashes call equal is compared byte by byte before it counts.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b, sha256
+from hashlib import md5, sha256
 
 import numpy as np
 import pyarrow as pa
@@ -274,14 +274,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                 yield int(key[j]), int(at[j] - last[j]), int(at[j] - first[j]), raw[first[j] : last[j] + length], i, stamp, int(at[j])
 
     def class_of(near: int, far: int, context: bytes) -> bytes:
-        return blake2b(context + bytes([near, far]), digest_size=16).digest()
+        return md5(context + b":%d:%d" % (near, far), usedforsecurity=False).digest()
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(k, near, far, class_of(near, far, c), c) for k, near, far, c, *_ in cut(b, b.column(3).to_pylist() if b.num_columns > 3 else None)]
+            found = [(k, near, far, c) for k, near, far, c, *_ in cut(b, b.column(3).to_pylist() if b.num_columns > 3 else None)]
             for lo in range(0, len(found), 5000):
                 cols = list(zip(*found[lo : lo + 5000]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["key", "near", "far", "class", "context"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["key", "near", "far", "context"])
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -304,15 +304,20 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         lists = source.mapInArrow(own, f"i {id_type}, s long, key long").join(again, "key").groupBy("i", "s").agg(F.collect_set("key").alias("keys"))
         source = source.join(lists, F.col("id").eqNullSafe(F.col("i")) & (F.col("stamp") == F.col("s"))).select("id", "text", "stamp", "keys")
 
-    classes = source.mapInArrow(contexts, "key long, near int, far int, class binary, context binary")
-    classes = classes.groupBy("key", "near", "far", "class").agg(F.first("context").alias("context"), F.count(F.lit(1)).alias("n"))
-    classes.write.parquet(f"{path}/classes")
+    classes = source.mapInArrow(contexts, "key long, near int, far int, context binary")
+    classes = classes.groupBy("key", "near", "far", "context").agg(F.count(F.lit(1)).alias("n")).withColumn("class", _class())
+    classes.write.option("compression", "zstd").parquet(f"{path}/classes")
     results = settle(spark.read.parquet(f"{path}/classes"), f"{path}/split", length, gram, parts)
     found = source.mapInArrow(members, f"class binary, id {id_type}, stamp long, at long").join(results.withColumnRenamed("class", "c"), F.col("class") == F.col("c"))
     span = F.struct((F.col("at") - F.col("high")).alias("s"), (F.col("at") - F.col("low") + length).alias("e"))
     return found.groupBy("id", "stamp").agg(F.collect_set(span).alias("spans"))
 
 
+def _class(*more: str):
+    """The digest that names a class: of its context, its offsets, and where a context may stand in several groups, the group."""
+    return F.unhex(F.md5(F.concat("context", *(F.encode(F.concat(F.lit(":"), F.col(c).cast("string")), "utf-8") for c in ("near", "far", *more)))))
+
+
 def settle(classes: DataFrame, path: str, length: int, gram: int, parts: int, width: int | None = None) -> DataFrame:
     """(class, low, high) for classes (key, near, far, class, context, n): the offsets whose windows are repeated.
 
@@ -361,8 +366,8 @@ def settle(classes: DataFrame, path: str, length: int, gram: int, parts: int, wi
     shared = F.expr(f"substring(context, cast(far - piece * {width} + 1 as int), {length - width + 1})")
     hot = hot.withColumn("shared", shared).withColumn("context", F.expr("substring(context, far - far2 + 1, length(context) - (far - far2) - (near2 - near))"))
     hot = hot.select(F.xxhash64("key", "piece", "shared").alias("key"), F.col("near2").alias("near"), F.col("far2").alias("far"), "context", "n", F.col("class").alias("of"))
-    hot = hot.withColumn("class", F.unhex(F.md5(F.concat("context", F.encode(F.concat_ws(":", F.col("key").cast("string"), F.col("near").cast("string"), F.col("far").cast("string")), "utf-8")))))
-    hot.write.parquet(path)
+    hot = hot.withColumn("class", _class("key"))
+    hot.write.option("compression", "zstd").parquet(path)
     hot = spark.read.parquet(path)
     inner = hot.groupBy("key", "near", "far", "class").agg(F.first("context").alias("context"), F.sum("n").alias("n"))
     settled = settle(inner, f"{path}-", length, gram, parts, width).withColumnRenamed("class", "c")
