@@ -22,10 +22,11 @@ CLASSES = {
     "hex": (r"^[0-9A-Fa-f]+$", r"(?=.*[0-9])(?=.*[A-Fa-f])", 3.0),
     "base64": (r"^[A-Za-z0-9+/_=-]+$", r"(?=.*[0-9].*[0-9])(?=.*[a-z])(?=.*[A-Z])", 3.9),
 }
-#: Strings that look random and are none: UUIDs, placeholders, paths and slugs of plain words, alphabets in order.
+#: Strings that look random and are none: UUIDs, placeholders, alphabets in order, account numbers, paths and slugs of plain words.
 ALLOWED = [
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(?i)example|placeholder|changeme|dummy|sample|your[_-]|xxxx|0123456789|abcdefgh",
+    r"^[A-Z]{2}[0-9]{13,32}$",
     r"^[/_-]?[A-Za-z]*[0-9]{0,4}([/_-][A-Za-z]*[0-9]{0,4})*[/_=-]?$",
 ]
 
