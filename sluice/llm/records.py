@@ -100,8 +100,8 @@ def write_index(spark: SparkSession, path: str, index_path: str) -> None:
 
 
 def files_of(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of the record files; a file of a batch at a time, as each fills memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    """(path, content) of the record files; one file in memory at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
 
