@@ -103,3 +103,28 @@ def quarter_hour(ts: Column) -> Column:
 def uniform(seed: int, *keys: Column) -> Column:
     """A number in [0, 1) that depends on the keys and the seed only, not on partitions."""
     return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
+
+
+#: The kinds of consent, in the order in which their words are looked for.
+CONSENTS = ["consent to operate", "consent to establish", "renewal", "amendment"]
+_DATE = r"\b(\d{2}[/.-]\d{2}[/.-]\d{4})\b"
+
+
+def consent_metadata(text: Column) -> Column:
+    """struct<consent_type, issue_date, valid_from, valid_until> of a consent's text.
+
+    The type is the first keyword that the text holds, else the first of all.  Dates: "dated", "from" and "up to"
+    where they are written; without them the validity starts at the text's first date, else at its issue, and
+    ends at the last date of its first 2,000 characters.
+    """
+    t = F.lower(text)
+    kind = F.when(F.lit(False), "")
+    for k in CONSENTS:
+        kind = kind.when(t.contains(k), F.initcap(F.lit(k)))
+    dates = F.transform(F.regexp_extract_all(F.substring(text, 1, 2000), F.lit(_DATE), F.lit(1)), lambda d: any_date(d))
+    dates = F.filter(dates, lambda d: d.isNotNull())
+    behind = lambda words: any_date(F.regexp_extract(t, rf"(?:{words})\s*:?\s*(\d{{2}}[/.-]\d{{2}}[/.-]\d{{4}})", 1))
+    issued = behind("dated|issue date|date of issue")
+    first = F.coalesce(behind("valid from|from"), F.get(dates, F.lit(0)), issued)
+    last = F.coalesce(behind("valid up ?to|valid till|up ?to|until"), F.element_at(F.when(F.size(dates) > 0, dates), -1))
+    return F.struct(kind.otherwise(F.initcap(F.lit(CONSENTS[0]))).alias("consent_type"), issued.alias("issue_date"), first.alias("valid_from"), last.alias("valid_until"))

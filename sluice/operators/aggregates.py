@@ -77,3 +77,17 @@ def histogram(df: DataFrame, column: str, order: list[str]) -> DataFrame:
     n = grades.join(df.groupBy(column).agg(F.count(F.lit(1)).alias("n")), column, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     total = n.agg(F.sum("n").alias("total"))
     return n.crossJoin(F.broadcast(total)).select(column, "place", "n", F.round(F.coalesce(F.try_divide(F.lit(100.0) * F.col("n"), "total"), F.lit(0.0)), 1).alias("share"))
+
+
+def impute_mean(df: DataFrame, columns: list[str]) -> DataFrame:
+    means = df.agg(*(F.avg(c).alias(f"_{c}") for c in columns))
+    return df.crossJoin(F.broadcast(means)).withColumns({c: F.coalesce(F.col(c), F.col(f"_{c}")) for c in columns}).drop(*(f"_{c}" for c in columns))
+
+
+def verify_features(features: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: whether the columns are there, hold no infinity, and whether negative values and every tamper kind survived."""
+    missing = [c for c in columns if c not in features.columns]
+    floats = [f.name for f in features.schema if f.dataType.typeName() == "double"]
+    infinite = F.count_if(sum(((F.abs(f"`{c}`") == float("inf")).cast("int") for c in floats), F.lit(0)) > 0)
+    kinds = F.count_distinct("tamper_type") if "tamper_type" in features.columns else F.lit(0)
+    return features.agg(F.count(F.lit(1)).alias("rows"), infinite.alias("rows_with_infinity"), F.count_if(F.col("value") < 0).alias("negative_values"), kinds.cast("long").alias("tamper_kinds")).withColumn("missing_columns", F.array(*map(F.lit, missing)).cast("array<string>"))

@@ -179,3 +179,21 @@ def kernel_attribution(df: DataFrame, model: IsolationForest, key: str, columns:
 
     kind = df.schema[key].dataType.simpleString()
     return picked.groupBy(key).applyInPandas(explain, f"`{key}` {kind}, feature string, shap double")
+
+
+def save_forest(spark, model: IsolationForest, path: str) -> None:
+    """The model as one row of JSON in a folder of any store that the cluster knows."""
+    import json
+
+    text = json.dumps({"mean": model.mean.tolist(), "scale": model.scale.tolist(), "norm": model.norm, "roots": model.roots})
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_forest(spark, path: str) -> IsolationForest:
+    import json
+
+    d = json.loads(spark.read.text(path, wholetext=True).first().value)
+    tree = lambda n: (int(n[0]), n[1], tree(n[2]), tree(n[3])) if isinstance(n, list) else n
+    out = IsolationForest(len(d["roots"]))
+    out.mean, out.scale, out.norm, out.roots = np.array(d["mean"]), np.array(d["scale"]), d["norm"], [tree(r) for r in d["roots"]]
+    return out

@@ -707,6 +707,45 @@ def series_statistics(spark, d):
     return profile.series_statistics(clean(spark, d)).select("factory_id", "parameter_id", "n", F.round("iqr", 4).alias("iqr"), "outlier_count")
 
 
+@query("SELECT factory_id, round(coalesce(inspection_dip, (SELECT avg(inspection_dip) FROM mag)), 4) AS inspection_dip FROM mag", "mag")
+def impute_mean(spark, d):
+    return rounded(aggregates.impute_mean(mag(spark, d), ["inspection_dip"]), ["factory_id"], "inspection_dip")
+
+
+@query(
+    """SELECT factory_id, parameter_id, round(avg(value) * 10) / 10 AS mean FROM (SELECT * FROM clean WHERE factory_id <> 'site_3' AND quality_code = 'Raw' UNION ALL SELECT * FROM clean WHERE factory_id = 'site_3') GROUP BY 1, 2""", "clean")
+def parameter_means(spark, d):
+    c = clean(spark, d)
+    return views.parameter_means(c.filter("factory_id <> 'site_3' and quality_code = 'Raw'"), c)
+
+
+@query("SELECT n_name FROM nation WHERE contains(lower(n_name), 'n_1') OR contains(lower(n_name), '2')")
+def city_filter(spark, d):
+    return views.in_cities(table(spark, d, "nation"), "n_name", {"x": ["N_1", "2"]}, "unknown").select("n_name")
+
+
+@query(
+    f"""SELECT CAST(row_number() OVER (ORDER BY risk_score DESC, factory_id) AS INTEGER) AS position, factory_id, CASE WHEN factory_id < 'f10' THEN 'Site ' || factory_id ELSE factory_id END AS name, risk_score, risk_category,
+    round(flatline / 100, 6) AS flatline_rate, round(limit_hugging / 100, 6) AS limit_hugging_rate, round(copy_paste / 100, 6) AS copy_paste_rate, round(coalesce(inspection_dip, 0), 6) AS inspection_dip, trig_coordinated_missing_data AS coordinated_missing_flag FROM ({_RISK})""", "mag")
+def score_view(spark, d):
+    r = risks(spark, d)
+    out = views.score_view(r, r.filter("factory_id < 'f10'").select("factory_id", F.concat(F.lit("Site "), F.col("factory_id")).alias("name")))
+    return out.withColumns({c: F.round(c, 6) for c in ("flatline_rate", "limit_hugging_rate", "copy_paste_rate", "inspection_dip")})
+
+
+@query("SELECT count(*) AS rows, CAST(0 AS BIGINT) AS rows_with_infinity, count(*) FILTER (value < 0) AS negative_values, CAST(0 AS BIGINT) AS tamper_kinds, CAST(['corr_x'] AS VARCHAR[]) AS missing_columns FROM clean", "clean")
+def verify_features(spark, d):
+    return aggregates.verify_features(clean(spark, d), ["value", "corr_x"])
+
+
+@query(
+    """SELECT * FROM (VALUES (1, 'Consent To Operate', DATE '2024-02-01', DATE '2024-02-03', DATE '2029-01-31'), (2, 'Renewal', NULL, DATE '2023-12-31', DATE '2023-12-31'), (3, 'Consent To Operate', NULL, NULL, NULL))
+    t(id, consent_type, issue_date, valid_from, valid_until)""")
+def consent_metadata(spark, d):
+    texts = [(1, "CONSENT TO OPERATE dated 01/02/2024, valid from 03.02.2024 up to 31-01-2029"), (2, "Renewal, see 31.12.2023"), (3, "no dates at all")]
+    return spark.createDataFrame(texts, "id int, text string").select("id", scalars.consent_metadata(F.col("text")).alias("m")).select("id", "m.*")
+
+
 # -- models and injection (no SQL form) -----------------------------------------------------------------------
 
 _MODEL = ["flatline", "limit_hugging", "copy_paste", "missing"]

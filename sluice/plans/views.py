@@ -42,3 +42,35 @@ def detail(scores: DataFrame, factory_id: str) -> DataFrame:
 def dispatch(scores: DataFrame, most: int = 5) -> DataFrame:
     """The factories to inspect first."""
     return scores.filter(F.col("risk_category").isin("HIGH", "CRITICAL")).orderBy(F.col("risk_score").desc(), "factory_id").limit(most)
+
+
+def parameter_means(real: DataFrame, other: DataFrame) -> DataFrame:
+    """(factory_id, parameter_id, mean): rounded to one digit, null without values; ``other`` stands in for factories that ``real`` lacks."""
+    from ..operators import joins
+
+    rows = joins.with_fallback(real.select("factory_id", "parameter_id", "value"), other.select("factory_id", "parameter_id", "value"), ["factory_id"])
+    return rows.groupBy("factory_id", "parameter_id").agg(F.round(F.avg("value"), 1).alias("mean"))
+
+
+def in_cities(rows: DataFrame, column: str, cities: dict[str, list[str]], city: str) -> DataFrame:
+    """Rows that name one of a city's spellings; a city without an entry takes the spellings of all."""
+    names = cities.get(city.lower()) or [n for every in cities.values() for n in every]
+    text = F.lower(column)
+    return rows.filter(F.exists(F.array(*map(F.lit, names)), lambda n: text.contains(F.lower(n))))
+
+
+def score_view(risks: DataFrame, names: DataFrame) -> DataFrame:
+    """Scores beside the factory's name: magnitudes as fractions, the dip as 0 where it is unknown, ranked."""
+    share = lambda c: (F.col(c) / 100).alias(f"{c}_rate")
+    rows = windows.positions(risks.join(F.broadcast(names), "factory_id", "left"), "risk_score", "factory_id")
+    return rows.select("position", "factory_id", F.coalesce("name", "factory_id").alias("name"), "risk_score", "risk_category", share("flatline"), share("limit_hugging"), share("copy_paste"), F.coalesce("inspection_dip", F.lit(0.0)).alias("inspection_dip"), F.col("trig_coordinated_missing_data").alias("coordinated_missing_flag"))
+
+
+def factory_profile(parts: list[DataFrame], expected: int | None = None) -> DataFrame:
+    """The parts of a profile joined on factory_id, in order; with ``expected``, another number of factories is an error."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, "factory_id", "left")
+    if expected is not None and (n := out.count()) != expected:
+        raise ValueError(f"{n} factories, {expected} expected")
+    return out

@@ -52,3 +52,8 @@ def pivot_export(readings: DataFrame, parameters: list[str]) -> DataFrame:
 
 def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Nested rows as JSON lines."""
+    df.write.mode("overwrite").json(path)

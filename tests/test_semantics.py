@@ -169,10 +169,13 @@ def test_feature_matrix_keeps_rows(spark):
     assert out.count() == 40 and "corr_ETP-BOD_ETP-COD" in out.columns
 
 
-def test_models(spark):
+def test_models(spark, tmp_path):
     rng = np.random.default_rng(0)
     x = np.vstack([rng.normal(size=(500, 2)), [[9.0, 9.0]]])
     s = models.IsolationForest(trees=50).fit(x).score(x)
+    forest = models.IsolationForest(trees=5).fit(x)
+    models.save_forest(spark, forest, str(tmp_path / "forest"))
+    assert np.allclose(models.load_forest(spark, str(tmp_path / "forest")).score(x), forest.score(x))
     assert s.argmin() == 500 and -1 <= s.min() < s.max() <= 0
     y = (x[:, 0] > 0).astype(int)
     coef, bias = models.fit_logistic(models.standardise(x)[0], y)
