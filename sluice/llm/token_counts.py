@@ -22,12 +22,12 @@ def vocabulary(df: DataFrame, path: str):
 
 
 def encoder(shared, kind: str, dtype: str = "<u4") -> Encoder:
-    """The encoder of this Python worker; it keeps what it has learnt from task to task."""
-    key = (shared._jid if hasattr(shared, "_jid") else id(shared), kind, dtype)
-    if key not in _ENCODERS:
+    """The encoder of this Python worker; it keeps what it has learnt from task to task of the same vocabulary."""
+    known = _ENCODERS.get((kind, dtype))
+    if known is None or known.bpe is not shared.value:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(shared.value, kind, dtype=dtype)
-    return _ENCODERS[key]
+        _ENCODERS[kind, dtype] = known = Encoder(shared.value, kind, dtype=dtype)
+    return known
 
 
 def count_tokens(docs: DataFrame, vocab_path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
