@@ -16,19 +16,12 @@ def full(value: Column, aggregate: Column, window: WindowSpec, n: int) -> Column
     return F.when(F.count(value).over(window) == n, aggregate.over(window))
 
 
-def pearson(a: Column, b: Column, window: WindowSpec, n: int, least_std: float | None = None) -> Column:
-    """Correlation over a frame with ``n`` complete pairs; null where either side does not vary.
-
-    ``least_std``: also null where one column's own sample deviation over a full frame is below it.
-    """
+def pearson(a: Column, b: Column, window: WindowSpec, n: int) -> Column:
+    """Correlation over a frame with ``n`` complete pairs; null where either side does not vary."""
     x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
     scale = F.sqrt(F.var_pop(x).over(window)) * F.sqrt(F.var_pop(y).over(window))
     r = no_nan(F.try_divide(F.covar_pop(x, y).over(window), scale))
-    ok = F.count(x).over(window) == n
-    if least_std is not None:
-        for c in (a, b):
-            ok = ok & ~F.coalesce(full(c, F.stddev_samp(c), window, n) < least_std, F.lit(False))
-    return F.when(ok, r)
+    return F.when(F.count(x).over(window) == n, r)
 
 
 def median(c: Column) -> Column:

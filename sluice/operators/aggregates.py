@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numeric
@@ -43,16 +44,19 @@ def complete_columns(df: DataFrame, columns: list[str]) -> list[str]:
 
 
 def below_typical(df: DataFrame, column: str) -> DataFrame:
-    """Each group's value beside mean - population deviation over all groups that have one."""
-    limit = df.agg((F.avg(column) - F.stddev_pop(column)).alias("threshold"))
-    return df.crossJoin(F.broadcast(limit))
+    """Each group's value beside ``threshold``: mean - population deviation over all groups that have one.
+
+    For tables of one row per group, as is `from_median`: a window over all rows reads what lies below it once,
+    where a joined-back aggregate would compute it again.
+    """
+    every = W.partitionBy()
+    return df.withColumn("threshold", F.avg(column).over(every) - F.stddev_pop(column).over(every))
 
 
 def from_median(df: DataFrame, column: str, name: str) -> DataFrame:
     """(value - median) / population deviation over all rows; missing values count as 0, and so does the result without spread."""
-    filled = df.withColumn("_v", F.coalesce(F.col(column), F.lit(0.0)))
-    of = filled.agg(numeric.median(F.col("_v")).alias("_m"), F.stddev_pop("_v").alias("_s"))
-    return filled.crossJoin(F.broadcast(of)).withColumn(name, F.coalesce(F.try_divide(F.col("_v") - F.col("_m"), "_s"), F.lit(0.0))).drop("_v", "_m", "_s")
+    every, v = W.partitionBy(), F.coalesce(F.col(column), F.lit(0.0))
+    return df.withColumn(name, F.coalesce(F.try_divide(v - numeric.median(v).over(every), F.stddev_pop(v).over(every)), F.lit(0.0)))
 
 
 def surplus_rows(df: DataFrame, keys: list[str]) -> DataFrame:

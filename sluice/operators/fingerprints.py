@@ -52,21 +52,21 @@ def inspection_dip(readings: DataFrame, inspections: DataFrame, first_day: str =
     return readings.select("factory_id").distinct().join(dips, "factory_id", "left")
 
 
-def flag_shares(features: DataFrame) -> DataFrame:
-    """(factory_id, flatline, limit_hugging, copy_paste): percentages of the readings that have the feature."""
+def summarise(features: DataFrame, correlation_columns: list[str]) -> DataFrame:
+    """Per factory, in one pass over the feature matrix: flatline, limit_hugging, copy_paste, correlation_break, missing, errors.
+
+    The first three are percentages of the readings that have the feature, correlation_break the mean of the
+    rows' mean correlations, missing the mean missing rate and errors the quality error rate in percent.
+    """
     of = numeric.percent_of
+    present = F.filter(F.array(*(F.col(f"`{c}`") for c in correlation_columns)), lambda x: x.isNotNull())
+    mean = F.try_divide(F.aggregate(present, F.lit(0.0), lambda a, x: a + x), F.size(present))
     return features.groupBy("factory_id").agg(
         of(F.col("flatline_flag") == 1, F.col("flatline_flag")).alias("flatline"),
         of(F.col("limit_hugging") == 1, F.col("limit_hugging")).alias("limit_hugging"),
         of(F.col("autocorrelation") > 0.95, F.col("autocorrelation")).alias("copy_paste"),
-    )
-
-
-def correlation_break(features: DataFrame, columns: list[str]) -> DataFrame:
-    """(factory_id, correlation_break, threshold): the mean of the rows' mean correlations, beside mean - deviation of all factories."""
-    present = F.filter(F.array(*(F.col(f"`{c}`") for c in columns)), lambda x: x.isNotNull())
-    mean = F.try_divide(F.aggregate(present, F.lit(0.0), lambda a, x: a + x), F.size(present))
-    return aggregates.below_typical(features.groupBy("factory_id").agg(F.avg(mean).alias("correlation_break")), "correlation_break")
+        F.avg(mean).alias("correlation_break"), F.avg("missing_rate").alias("missing"), (100 * F.max("quality_error_rate")).alias("errors"),
+    )
 
 
 def triggers(scores: DataFrame) -> DataFrame:

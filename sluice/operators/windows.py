@@ -66,9 +66,14 @@ def correlation_names(parameters: tuple[str, ...]) -> list[tuple[str, str, str]]
 
 def correlations(wide_: DataFrame, cfg: FeatureConfig) -> DataFrame:
     """corr_a_b for each pair of parameters over the factory's last rows, complete pairs only."""
-    frame = last_rows(cfg.correlation_rows, W.partitionBy("factory_id").orderBy("timestamp"))
-    named = {name: numeric.pearson(F.col(f"`{a}`"), F.col(f"`{b}`"), frame, cfg.correlation_rows, 1e-9) for a, b, name in correlation_names(cfg.parameters)}
-    return wide_.withColumns(named).select("factory_id", "timestamp", *(F.col(f"`{n}`") for n in named))
+    n = cfg.correlation_rows
+    frame = last_rows(n, W.partitionBy("factory_id").orderBy("timestamp"))
+    # a column that hardly varies over its own full frame has no correlations; found once per column
+    still = {p: F.coalesce(numeric.full(F.col(f"`{p}`"), F.stddev_samp(f"`{p}`"), frame, n) < 1e-9, F.lit(False)) for p in cfg.parameters}
+    rows = wide_.withColumns({f"_still_{p}": c for p, c in still.items()})
+    moves = lambda a, b: ~(F.col(f"`_still_{a}`") | F.col(f"`_still_{b}`"))
+    named = {name: F.when(moves(a, b), numeric.pearson(F.col(f"`{a}`"), F.col(f"`{b}`"), frame, n)) for a, b, name in correlation_names(cfg.parameters)}
+    return rows.withColumns(named).select("factory_id", "timestamp", *(F.col(f"`{n}`") for n in named))
 
 
 def autocorrelation(df: DataFrame, cfg: FeatureConfig, w: WindowSpec) -> DataFrame:

@@ -601,12 +601,10 @@ def inspection_dip(spark, d):
 @query()
 def fingerprint_scores(spark, d):
     features = feature_matrix_rows(spark, d)
-    corr = fingerprints.correlation_break(features, [n for *_, n in windows.correlation_names(PARAMETERS)])
-    out = fingerprints.flag_shares(features).join(fingerprints.inspection_dip(clean(spark, d), insp(spark, d)), "factory_id").join(corr, "factory_id")
-    out = out.join(fingerprints.impossible_ph(clean(spark, d), lim(spark, d).filter("parameter_id = 'signup'"), "signup"), "factory_id")
-    rate = features.groupBy("factory_id").agg(F.avg("missing_rate").alias("missing"), (100 * F.first("quality_error_rate")).alias("errors"))
-    out = aggregates.from_median(aggregates.from_median(out.join(rate, "factory_id"), "missing", "coordinated_missing_data"), "errors", "data_integrity")
-    return fingerprints.triggers(out)
+    out = fingerprints.summarise(features, [n for *_, n in windows.correlation_names(PARAMETERS)])
+    out = out.join(fingerprints.inspection_dip(clean(spark, d), insp(spark, d)), "factory_id").join(fingerprints.impossible_ph(clean(spark, d), lim(spark, d).filter("parameter_id = 'signup'"), "signup"), "factory_id")
+    out = aggregates.from_median(aggregates.from_median(out, "missing", "coordinated_missing_data"), "errors", "data_integrity")
+    return fingerprints.triggers(aggregates.below_typical(out, "correlation_break"))
 
 
 @query(f"SELECT factory_id, risk_score, risk_category, round(norm, 4) AS anomaly_norm FROM ({_RISK})", "mag")
