@@ -4,11 +4,16 @@ Pass 1 reads every text once and keeps its counts and two small histograms: char
 words of the supported languages (all other words share one bin).  Their sums over all documents that pass the
 base rules are the languages' references.  Pass 2 compares each document with every reference by Jensen-Shannon
 distance and takes the nearest, so that a wrong or missing language label costs nothing.
+
+The distance of common words is mostly noise in short texts and falls as 1 / sqrt(words), so its limit does too,
+between a floor and a ceiling.  Texts in two languages lie far from either; beyond the limit the nearest mix of two
+references counts.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -104,12 +109,17 @@ class Rules:
 
     def __init__(self, references: list[tuple[np.ndarray, np.ndarray]], limits: dict[str, float]):
         self.references, self.limits = references, limits
+        shares = [(r[1] / max(r[1].sum(), 1)) for r in references]
+        self.mixes = [(k * a + (8 - k) * b) / 8 for a, b in combinations(shares, 2) for k in range(1, 8)]
 
     def __call__(self, n_words: np.ndarray, chars: np.ndarray, repeats: np.ndarray, classes: np.ndarray, words: np.ndarray):
         """(base_failed, class distance, word distance, kept) of each row."""
         far = [np.min([js_distance(x, r[k]) for r in self.references], 0) if self.references and len(x) else np.zeros(len(x)) for k, x in enumerate((classes, words))]
         failed = (n_words < 50) | (100 * repeats > 50 * n_words)
-        odd = (far[0] > self.limits["classes"]) & (chars >= self.limits["chars"]) | (far[1] > self.limits["common"]) & (n_words >= self.limits["words"])
+        limit = np.clip(self.limits["noise"] / np.sqrt(np.maximum(n_words, 1)), self.limits["least"], self.limits["common"])
+        if self.mixes and (at := np.flatnonzero(far[1] > limit)).size:
+            far[1][at] = np.min([far[1][at], *(js_distance(words[at], m) for m in self.mixes)], 0)
+        odd = (far[0] > self.limits["classes"]) & (chars >= self.limits["chars"]) | (far[1] > limit)
         return failed, *far, ~failed & ~odd
 
 
@@ -146,8 +156,8 @@ def references(counted: DataFrame, common: dict[str, list[str]]) -> list[tuple[n
     return [(np.array(r[1 : 1 + n_classes], float), np.array(r[1 + n_classes :], float)) for r in sorted(found)]
 
 
-def _limits(max_class_distance: float, max_word_distance: float, min_chars: int, min_words: int) -> dict[str, float]:
-    return {"classes": max_class_distance, "common": max_word_distance, "chars": min_chars, "words": min_words}
+def _limits(max_class_distance: float, max_word_distance: float, least_word_distance: float, word_noise: float, min_chars: int) -> dict[str, float]:
+    return {"classes": max_class_distance, "common": max_word_distance, "least": least_word_distance, "noise": word_noise, "chars": min_chars}
 
 
 def judge(
@@ -157,23 +167,25 @@ def judge(
     lang_col: str = "lang",
     common: dict[str, list[str]] | None = None,
     max_class_distance: float = 0.30,
-    max_word_distance: float = 0.33,
+    max_word_distance: float = 0.35,
+    least_word_distance: float = 0.24,
+    word_noise: float = 3.6,
     min_chars: int = 300,
-    min_words: int = 150,
 ) -> DataFrame:
     """For each row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance, kept.
 
     ``base_failed``: fewer than 50 words, or over half of them in repeated three-word windows.  Otherwise a
     document is rejected if its character classes lie further than ``max_class_distance`` from every
     language's reference (and it has ``min_chars`` characters), or its common words further than
-    ``max_word_distance`` (and it has ``min_words`` words).  Null texts count as empty and fail the base rules;
+    ``word_noise`` / sqrt(n_words), but no less than ``least_word_distance`` and no more than ``max_word_distance``,
+    from every reference and every mix of two in eighths.  Null texts count as empty and fail the base rules;
     null or unknown languages add to no reference.  Without any reference (an empty table, no known language)
     nothing is rejected beyond the base rules.  Repeated rows come back one by one.
     """
     common = common or COMMON
     id_type = docs.schema[id_col].dataType.simpleString()
     counted = checkpoint(count_texts(docs, id_col, text_col, lang_col, common))
-    rules = docs.sparkSession.sparkContext.broadcast(Rules(references(counted, common), _limits(max_class_distance, max_word_distance, min_chars, min_words)))
+    rules = docs.sparkSession.sparkContext.broadcast(Rules(references(counted, common), _limits(max_class_distance, max_word_distance, least_word_distance, word_noise, min_chars)))
 
     def compare(batches):
         for b in batches:
@@ -188,7 +200,7 @@ def judge(
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **limits) -> DataFrame:
     """The rows that `judge` keeps, with all their columns.  Texts are counted twice; nothing is shuffled but the references."""
-    limits = {"max_class_distance": 0.30, "max_word_distance": 0.33, "min_chars": 300, "min_words": 150} | limits
+    limits = {"max_class_distance": 0.30, "max_word_distance": 0.35, "least_word_distance": 0.24, "word_noise": 3.6, "min_chars": 300} | limits
     counted = count_texts(docs, text_col, text_col, lang_col, COMMON).drop("id")
     rules = docs.sparkSession.sparkContext.broadcast(Rules(references(counted, COMMON), _limits(**limits)))
     at = docs.columns.index(text_col)

@@ -167,6 +167,20 @@ def test_quality(spark, docs, empty):
     assert {r.doc_id: r.kept for r in quality.judge(both).collect()}[1] is False
 
 
+def test_quality_word_limit(spark):
+    rng = random.Random(3)
+    other = [f"{a}{b}{c}{d}st" for a in "bcdfgklmnprst" for b in "aeiou" for c in "bdgklmnprt" for d in "aeiou"]
+    prose = lambda lang, n, share: [rng.choice(quality.COMMON[lang]) if rng.random() < share else rng.choice(other) for _ in range(n)]
+    clean = [" ".join(prose(lang, n, 0.35)) for lang in ("en", "de") for n in (200, 400, 800, 2000) for _ in range(4)]
+    both = [" ".join(prose("en", n, 0.35) + prose("de", n, 0.35)) for n in (300, 800)]
+    tables = [" | ".join(prose("en", n, 0.0)) for n in (40, 60, 90, 200)]  # 79 to 399 words
+    thin = [" | ".join(prose("en", 400, 0.13))]  # within 0.33 of its language
+    rows = [(i, t, "de" if 16 <= i < 32 else "en") for i, t in enumerate([*clean, *both, *tables, *thin])]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert 0.24 < got[len(rows) - 1].word_distance < 0.33
+    assert [i for i, r in sorted(got.items()) if r.kept] == list(range(len(clean) + len(both)))
+
+
 def near_components():
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = []
