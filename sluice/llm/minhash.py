@@ -2,10 +2,11 @@
 
 Every text becomes the set of its five-word shingles (64-bit hashes) and a signature of minima.  Texts with the
 same set form one class, which is a single node from here on.  A tree of the forest sorts all signatures by its
-own order of components; texts that agree on the first ``least_depth`` components share a region, and a region
-with more than ``crowd`` nodes is cut by the next components until it is small enough.  Nodes of one region
-become candidates.  In a crowd that no depth can cut, a node's candidates are its next neighbours in order and those
-among many more neighbours whose whole signatures agree with its own most.
+own order of components; texts that agree on the first ``least_depth`` components share a region, and all nodes of
+a region of up to ``whole`` nodes become candidates.  A larger region is cut by the next components until its parts
+hold ``crowd`` nodes at most, which become candidates; as a part may hold a single node, every node also has those
+whose whole signatures agree with its own most, among many neighbours in the uncut region: in the order of the
+components (longest common prefix first) and in a shuffled order, both others in each tree.  The same holds for parts that no depth can cut.
 
 Candidates whose signatures agree on too few components are dropped; the rest is verified on the full shingle
 sets, in two rounds: first each node against its likeliest smaller partner, then whatever candidates still lie in
@@ -87,21 +88,21 @@ def orders(trees: int, depth: int, n: int, seed: int = 11) -> np.ndarray:
     return need[: trees * depth].reshape(trees, depth)
 
 
-def _region_pairs(sig: np.ndarray, least: int, crowd: int, neighbours: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _region_pairs(sig: np.ndarray, least: int, crowd: int, neighbours: int, whole: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j) of candidates among the sorted rows of ``sig``, a few arrays at a time."""
     n, depth = sig.shape
     if n < 2:
         return
     same = sig[1:] == sig[:-1]
     lcp = np.where(same.all(1), depth, same.argmin(1))
-    # how deep the region of each row is: the least depth at which it holds no crowd
+    # how deep the region of each row is: the least depth if it is compared as a whole, else that at which it holds no crowd
     need, crowded = np.full(n, depth), np.ones(n, bool)
     for d in range(depth, least - 1, -1):
         region = np.cumsum(np.concatenate([[0], lcp < d]))
-        small = np.bincount(region)[region] <= crowd
+        small = np.bincount(region)[region] <= (max(crowd, whole) if d == least else crowd)
         need[small], crowded[small] = d, False
     reach = lcp.copy()
-    for step in range(1, crowd):
+    for step in range(1, max(crowd, whole)):
         if step > 1:
             reach = np.minimum(reach[:-1], lcp[step - 1 :])
         i = np.flatnonzero((reach >= need[: len(reach)]) & ((step <= neighbours) | ~crowded[: len(reach)]))
@@ -110,6 +111,20 @@ def _region_pairs(sig: np.ndarray, least: int, crowd: int, neighbours: int) -> I
         yield i, i + step
 
 
+def _enclosing_pairs(sig: np.ndarray, bits: np.ndarray, least: int, whole: int, best: int, window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What `_crowd_pairs` finds in the regions of depth ``least`` with more than ``whole`` rows: as sorted, and shuffled."""
+    outer = sig[:, :least]
+    yield from _crowd_pairs(outer, bits, whole, best, window)
+    region = np.cumsum(np.concatenate([[0], (outer[1:] != outer[:-1]).any(1)])) if len(sig) else np.empty(0, np.int64)
+    # a row's place in its region decides, so that reruns agree
+    at = np.flatnonzero(np.bincount(region, minlength=1)[region] > max(whole, window + 1))
+    if len(at):
+        place = at - np.searchsorted(region, region[at])
+        at = at[np.lexsort((_mix(place.astype(np.uint64) + _U(1)), region[at]))]
+        for i, j in _crowd_pairs(outer[at], bits[at], whole, best, window):
+            yield at[i], at[j]
+
+
 def _crowd_pairs(sig: np.ndarray, bits: np.ndarray, crowd: int, best: int, window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions of each crowded row and the ``best`` rows of its region, within ``window`` rows in order, whose whole signatures agree most."""
     region = np.cumsum(np.concatenate([[0], (sig[1:] != sig[:-1]).any(1)])) if len(sig) else np.empty(0, np.int64)
@@ -141,6 +156,7 @@ def near_duplicates(
     depth: int = 8,
     least_depth: int = 3,
     crowd: int = 24,
+    whole: int = 256,
     neighbours: int = 3,
     best: int = 8,
     window: int = 256,
@@ -153,8 +169,10 @@ def near_duplicates(
     repeat an id are one document, linked if any of its rows is.  A null id links with nothing: its
     component_id is null and the row is kept.  An empty table gives an empty result.
 
-    Of pairs at the limit of 0.75 a tree finds 0.42, so 24 trees miss about one in 500,000; closer pairs are
-    missed still more rarely.
+    Of pairs at the limit of 0.75 a tree has 0.42 in one region, so 24 trees miss about one in 500,000, and closer pairs
+    still more rarely, where such regions hold ``whole`` nodes at most.  In larger regions candidates are chosen by
+    depth, order and agreement of signatures (at most ``best`` of 2 * ``window`` neighbours a time), so that their number
+    stays in proportion to the rows; there, among many texts that are all nearly as close, more pairs are missed.
     """
     spark = session(docs)
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -208,7 +226,11 @@ def near_duplicates(
             path = np.frombuffer(b"".join(t["path"].take(at).to_pylist()), ">u4").astype(np.int64).reshape(len(at), depth)
             bits = np.frombuffer(b"".join(t["bits"].take(at).to_pylist()), np.uint8).reshape(len(at), components_)
             numbered = np.concatenate([np.cumsum(np.concatenate([[0], region[at][1:] != region[at][:-1]]))[:, None], path], 1)
-            for i, j in chain(_region_pairs(numbered, least_depth + 1, crowd, neighbours), _crowd_pairs(numbered, bits, crowd, best, window)):
+            for i, j in chain(
+                _region_pairs(numbered, least_depth + 1, crowd, neighbours, whole),
+                _crowd_pairs(numbered, bits, crowd, best, window),
+                _enclosing_pairs(numbered, bits, least_depth + 1, max(crowd, whole), best, window),
+            ):
                 for lo in range(0, len(i), 100_000):
                     x, y = i[lo : lo + 100_000], j[lo : lo + 100_000]
                     agree = (bits[x] == bits[y]).sum(1)
@@ -231,7 +253,7 @@ def near_duplicates(
             yield from regions(held)
 
     forest = classes.select("node", "signature").mapInArrow(grow, f"region long, path binary, node {id_type}, bits binary")
-    sorted_ = forest.repartition(max(partitions(spark), 8), "region").sortWithinPartitions("region", "path", "node")
+    sorted_ = forest.repartition(max(partitions(spark), 8), "region").sortWithinPartitions("region", "path", F.xxhash64("region", "node"), "node")
     found = sorted_.mapInArrow(pair, f"a {id_type}, b {id_type}, agree int").filter("a <> b")
     candidates = checkpoint(found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("agree").alias("agree")))
 

@@ -203,6 +203,22 @@ def test_minhash(spark, docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_minhash_enclosing_regions():
+    # 25 rows of one region; the last one leaves the others at the next component and is alone there
+    sig = np.ones((25, 9), np.int64)
+    sig[24, 4:] = 2
+    pairs = lambda found: {(int(a), int(b)) for i, j in found for a, b in zip(i, j)}
+    got = pairs(minhash._region_pairs(sig, 4, 24, 3, 256))
+    assert got == set(itertools.combinations(range(25), 2))
+    # beyond ``whole``, a row that is alone in its part finds the one that agrees with it most, however far off in order
+    rng = np.random.default_rng(1)
+    sig = np.ones((400, 9), np.int64)
+    sig[:, 4] = np.arange(400)
+    bits = rng.integers(0, 256, (400, 64), np.uint8)
+    bits[399, :50] = bits[150, :50]
+    assert not pairs(minhash._region_pairs(sig, 4, 24, 3, 256)) and (399, 150) in pairs(minhash._enclosing_pairs(sig, bits, 4, 256, 8, 256))
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(40)] + [(None, 1), (7, 7)]
