@@ -15,18 +15,30 @@ BASE = [
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 ]
-#: Candidate strings of the entropy scan: runs of the characters that keys are written in.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Words of placeholders and alphabets in order.
+WORDS = r"(?i:example|placeholder|changeme|dummy|sample|your[_-]|xxxx|0123456789|abcdefgh)"
+#: Candidate strings of the entropy scan: runs of the characters that keys are written in, cut at `WORDS` (which match as themselves).
+CANDIDATE = WORDS + r"|(?:(?!" + WORDS + r")[A-Za-z0-9+/_=-]){20,}"
+#: Their pieces between signs, so that a name before a key does not decide on the key.
+PIECE = r"[A-Za-z0-9]{20,}"
 #: name -> (what a whole window is made of, what the candidate must hold besides, least entropy in bits over the window).
 CLASSES = {
     "hex": (r"^[0-9A-Fa-f]+$", r"(?=.*[0-9])(?=.*[A-Fa-f])", 3.0),
     "base64": (r"^[A-Za-z0-9+/_=-]+$", r"(?=.*[0-9].*[0-9])(?=.*[a-z])(?=.*[A-Z])", 3.9),
 }
+#: The same for pieces; base32 and base36 keys have one case only.
+PIECE_CLASSES = {
+    "hex": CLASSES["hex"],
+    "upper": (r"^[A-Z0-9]+$", r"(?=.*[0-9].*[0-9])(?=.*[A-Z])", 3.5),
+    "lower": (r"^[a-z0-9]+$", r"(?=.*[0-9].*[0-9])(?=.*[a-z])", 3.5),
+    "mixed": (r"^[A-Za-z0-9]+$", r"(?=.*[0-9].*[0-9])(?=.*[a-z])(?=.*[A-Z])", 3.7),
+}
 #: Strings that look random and are none: UUIDs, placeholders, alphabets in order, account numbers, paths and slugs of plain words.
 ALLOWED = [
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)example|placeholder|changeme|dummy|sample|your[_-]|xxxx|0123456789|abcdefgh",
+    WORDS,
     r"^[A-Z]{2}[0-9]{13,32}$",
+    r"^[A-Z]{2}[0-9]{2}[A-Z]{1,4}[0-9]{10,26}$",
     r"^[/_-]?[A-Za-z]*[0-9]{0,4}([/_-][A-Za-z]*[0-9]{0,4})*[/_=-]?$",
 ]
 
@@ -86,19 +98,27 @@ def window_entropy(s: Column, window: int) -> Column:
     return F.aggregate(steps, start, step, lambda st: F.log2(F.lit(float(window))) - st["least"] / F.lit(float(window)))
 
 
-def entropy_matches(text: Column, window: int = 20, classes: dict | None = None, allowed: list[str] | None = None) -> Column:
-    """array<struct<k, s, e, o>>: candidate strings of which some window is as mixed as random text of its class."""
-    classes, allowed = classes or CLASSES, ALLOWED if allowed is None else allowed
-
-    def suspicious(x: Column) -> Column:
-        ok = F.lit(False)
-        for pattern, needs, least in classes.values():
-            ok = ok | F.when(x["m"].rlike(pattern) & x["m"].rlike("^" + needs), window_entropy(x["m"], window) >= least).otherwise(F.lit(False))
-        for pattern in allowed:
-            ok = ~x["m"].rlike(pattern) & ok
-        return ok
+def entropy_matches(text: Column, window: int = 20, classes: dict | None = None, allowed: list[str] | None = None, piece_classes: dict | None = None) -> Column:
+    """array<struct<k, s, e, o>>: candidate strings, and pieces of others, of which some window is as mixed as random text of its class.
 
-    return _spans(F.filter(matches(text, CANDIDATE), suspicious), "entropy", len(BASE))
+    The allow-list is matched against the string or piece itself.
+    """
+    allowed = ALLOWED if allowed is None else allowed
+
+    def suspicious(kinds: dict):
+        def test(x: Column) -> Column:
+            ok = F.lit(False)
+            for pattern, needs, least in kinds.values():
+                ok = ok | F.when(x["m"].rlike(pattern) & x["m"].rlike("^" + needs), window_entropy(x["m"], window) >= least).otherwise(F.lit(False))
+            for pattern in allowed:
+                ok = ~x["m"].rlike(pattern) & ok
+            return (F.length(x["m"]) >= 20) & ok
+
+        return test
+
+    whole = _spans(F.filter(matches(text, CANDIDATE), suspicious(classes or CLASSES)), "entropy", len(BASE))
+    pieces = _spans(F.filter(matches(text, PIECE), suspicious(piece_classes or PIECE_CLASSES)), "entropy", len(BASE))
+    return F.concat(whole, F.filter(pieces, lambda x: ~F.exists(whole, lambda y: (y["s"] <= x["s"]) & (y["e"] >= x["e"]))))
 
 
 def _at_least(least: int):

@@ -100,6 +100,19 @@ def test_secrets(spark, docs, empty):
     assert "Python" not in secrets.digest(docs)._jdf.queryExecution().toString()
 
 
+def test_secret_pieces(spark):
+    rng = random.Random(8)
+    key = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    hexa, base32, base36 = key("0123456789ABCDEF", 40), key("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32), key("abcdefghijklmnopqrstuvwxyz0123456789", 32)
+    mixed = "Qz7pL0vX2mN9bR4tY6wE1uK8"
+    found = [("sig=" + hexa, hexa), ("id-" + hexa, hexa), ("key-" + base36, base36), (base32, base32), ("/docs/example/" + mixed, mixed), ("Qz7pL0vX2mQz7bR4tY6w", "Qz7pL0vX2mQz7bR4tY6w")]
+    free = ["GB82WEST12345698765432", "some/path_to-a/longer-chapter2024/of-words", "internationalisationen", "sample1A2b3C4d5E6f7G8h9J", "123e4567-e89b-12d3-a456-426614174000"]
+    texts = [t for t, _ in found] + free
+    got = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == [f"see {t} here" if i >= len(found) else got[i] for i, t in enumerate(texts)]
+    assert [k for i, (_, k) in enumerate(found) if k in got[i] or "[SECRET]" not in got[i]] == []
+
+
 def test_mixing(docs, empty, spark):
     got = mixing.mix(docs).collect()
     size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for i, r in enumerate(rows())}
