@@ -777,7 +777,7 @@ def linear_shap(spark, d):
 def kernel_shap(spark, d):
     rows = windows.rolling_stats(clean(spark, d), CFG, ordered())
     columns = ["value", "rolling_mean", "rolling_std"]
-    return models.kernel_attribution(rows, models.fit_isolation_forest(rows, columns, ["event_id"], trees=20), "factory_id", columns, ["event_id"], rows=20)
+    return models.kernel_attribution(rows, models.fit_isolation_forest(rows, columns, ["event_id"]), "factory_id", columns, ["event_id"])
 
 
 @query()

@@ -58,3 +58,14 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(catalogue.QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_kernel_shap_takes_the_defaults(spark, tables, monkeypatch):
+    from sluice.operators import models
+    from sluice.plans import catalogue
+
+    asked = []
+    monkeypatch.setattr(models, "fit_isolation_forest", lambda *a, **b: asked.append(b))
+    monkeypatch.setattr(models, "kernel_attribution", lambda *a, **b: asked.append(b))
+    catalogue.kernel_shap(spark, tables)
+    assert asked == [{}, {}]  # the forest of iso_scores, 150 readings a factory
