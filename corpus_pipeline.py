@@ -19,9 +19,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; so do documents without an id."""
+    """Of each group of near-duplicates the document with the smallest id stays, and of rows that repeat an id and text one.
+
+    Rows without an id are one document for each text; null texts count as equal.
+    """
     kept = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    # a digest instead of the text as the key; the row with the least other columns stays, so reruns agree
+    rest = [c for c in docs.columns if c != "doc_id"]
+    least = F.min(F.struct(*sorted(rest, key=lambda c: c == "text"))).alias("_row")
+    one = rows.groupBy("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("_text")).agg(least)
+    return one.select(*("doc_id" if c == "doc_id" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -363,3 +363,14 @@ def test_pipeline(spark, tables):
     assert sorted(map(tuple, corpus_pipeline.run(spark, tables).collect())) == want
     judged = {r.doc_id for r in quality.judge(docs).filter("kept").collect()}
     assert {r.doc_id for r in kept.collect()} <= judged
+
+
+def test_pipeline_keeps_one_row_of_repeats(spark):
+    import corpus_pipeline
+
+    texts = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "other words of the same id here"), (2, "a b c d e f g"), (None, "no id"), (None, "no id"), (None, "no id either"), (None, None), (None, None), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [texts[k] for k in (0, 2, 4, 6, 7, 9)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
