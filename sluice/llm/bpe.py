@@ -8,7 +8,8 @@ Three ideas make encoding fast and exact:
 
 * Texts are cut at every border between a non-space and a space.  No pre-token
   of the byte-level pattern crosses such a border, so a chunk (``" word,"``) is
-  encoded independently of its neighbours and can be remembered.
+  encoded independently of its neighbours and can be remembered.  Cutting and
+  looking up work on arrays: a chunk of up to 16 bytes is its own exact key.
 * A pre-token that the vocabulary holds *and* that provably encodes to that one
   entry needs no merging (`whole`).
 * Other pre-tokens are proposed by greedy longest match; the proposal is the
@@ -21,26 +22,34 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from itertools import chain, islice
+from itertools import chain
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Fixed by the byte-level pre-tokenizer: the white space it knows.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed by the byte-level pre-tokenizer: its pattern.
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
-#: With one of these in a text, its chunks cannot be told apart by single blanks and line ends.
-_ODD = [*(c for c in WHITE if c not in " \n"), "  ", "\n\n", " \n", "\n "]
 #: Code points whose class differs between Unicode versions lie beyond these; there the library itself cuts.
 _UNSURE = re.compile("[^\\u0000-\\u0530\\u1e00-\\u1fff\\u2010-\\u205e\\u20a0-\\u20b5\\u2190-\\u21ff\\u3000-\\u3096\\u30a1-\\u30fa\\u4e00-\\u9fa5\\uac00-\\ud7a3]")
-_CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _NAIVE_UP_TO = 24
 _MARK, _LATIN = "\u0100", lambda raw: raw.decode("latin-1")
 _MEMORY_BITS = 20
-#: Characters of text whose unknown chunks are encoded together.
-_TOGETHER = 1 << 20
+#: Bytes of text that are cut and looked up together.
+_TOGETHER = 1 << 22
+#: Chunks of so many bytes at most are keys of the table of known chunks; of longer ones those up to `_LONG` bytes are kept in a dict.
+_SHORT, _LONG = 16, 256
+_BLANK = np.zeros(256, bool)
+_BLANK[[ord(c) for c in WHITE if c < "\x80"]] = True
+_WIDE = np.array([int.from_bytes(c.encode().ljust(3, b"\0"), "big") for c in WHITE if c >= "\x80"], np.uint32)
+_WIDE_LEAD = np.zeros(256, bool)
+_WIDE_LEAD[_WIDE >> 16] = True
+#: Size of a chunk -> which bits of its 16 bytes count.
+_KEEP = np.array([[(1 << 8 * min(k, 8)) - 1, (1 << 8 * max(0, k - 8)) - 1] for k in range(_SHORT + 1)], np.uint64)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -291,33 +300,68 @@ class ByteBPE:
         """Ids to text; bytes that are no UTF-8 become U+FFFD, special tokens their string."""
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
+    def decode_many(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """`decode` for many texts: their ids joined, and how many each has."""
+        return [x.decode("utf-8", "replace") for x in spelled(self.token_bytes, ids, sizes)]
 
-class Pieces(dict):
-    """What is kept of a text's pieces, by piece; a piece stands for the chunk that `chunk` names."""
 
-    def __init__(self, chunk):
-        super().__init__()
-        self.chunk = chunk
+def gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches ``pool[start[k] : start[k] + size[k]]``, joined."""
+    ends = np.cumsum(size)
+    return pool[np.repeat(start - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+def spelled(strings: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """For each of the stretches of ``ids``, ``sizes[k]`` long, what its ids stand for, joined."""
+    length = np.fromiter(map(len, strings), np.int64, len(strings))
+    size = length[ids]
+    joined = gather(np.frombuffer(b"".join(strings), np.uint8), (np.cumsum(length) - length)[ids], size).tobytes()
+    ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+    return [joined[a:b] for a, b in zip(ends, ends[1:])]
+
+
+class Pool:
+    """Stretches of one growing array, by number."""
+
+    def __init__(self, dtype):
+        self.data, self.start, self.size = np.empty(1 << 16, dtype), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.used = self.n = 0
+
+    def add(self, data: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The numbers of new stretches: ``data`` joined, and the size of each."""
+        while self.used + len(data) > len(self.data):
+            self.data = np.concatenate([self.data, np.empty_like(self.data)])
+        while self.n + len(size) > len(self.size):
+            self.start, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.size))
+        at = slice(self.n, self.n + len(size))
+        self.data[self.used : self.used + len(data)] = data
+        self.start[at], self.size[at] = self.used + np.cumsum(size) - size, size
+        self.used, self.n = self.used + len(data), self.n + len(size)
+        return np.arange(at.start, at.stop)
 
 
 class Encoder:
-    """Values of whole texts: for each chunk the number of its tokens ("n") or its ids as bytes of ``dtype``.
+    """Token counts (``count``) or ids of whole columns of texts.
 
-    Chunks seen before are looked up inside the interpreter's C code.  Unknown ones of about a megabyte of
-    text are encoded together, so that all their token pairs are verified in one vectorised pass.  At most
-    ``keep`` chunks and words stay remembered: those seen first, which are mostly the frequent ones, until so
-    many are unknown that the text must have changed.
+    A column's bytes are cut into chunks and looked up as arrays.  Unknown chunks of some megabytes of text are
+    encoded together, so that all their token pairs are verified in one vectorised pass.  What is remembered is
+    bounded: a table of two places for each chunk, and at most ``keep`` chunks and eight times as many ids before everything is forgotten.
     """
 
-    def __init__(self, bpe: ByteBPE, kind: str, keep: int = 400_000, dtype: str = "<u4"):
-        self.bpe, self.count, self.keep, self.dtype = bpe, kind == "n", keep, dtype
-        self.spaced = Pieces(lambda piece: piece if piece[:1] == "\n" else " " + piece)
-        self.bare = Pieces(lambda piece: piece)
-        self.words: dict[str, object] = {}
+    def __init__(self, bpe: ByteBPE, count: bool = False, bits: int = 20, keep: int = 1 << 21):
+        self.bpe, self.count, self.bits, self.keep = bpe, count, bits, keep
         self.find_pre_tokens = regex.compile(PRE_TOKEN).findall
         self.library = None
-        self.specials = sorted(bpe.special, key=len, reverse=True)
-        self.find_special = regex.compile("|".join(map(regex.escape, self.specials)) or r"(?!)").finditer
+        self.specials = sorted((s.encode() for s in bpe.special), key=len, reverse=True)
+        self.find_special = re.compile(b"|".join(map(re.escape, self.specials)) or b"(?!)").finditer
+        self._forget()
+
+    def _forget(self) -> None:
+        #: per place: 16 bytes of a chunk, then its size and its number in the pool
+        self.table = np.zeros((2, 1 << self.bits, 3), np.uint64)
+        self.long: dict[bytes, int] = {}
+        self.pool = Pool(np.int32)
+        self.special_at = {s: int(self.pool.add(np.array([self.bpe.special[s.decode()]], np.int32), np.array([1]))[0]) for s in self.specials}
 
     def pre_tokens(self, chunk: str) -> list[str]:
         if chunk.isascii() or not _UNSURE.search(chunk):
@@ -332,70 +376,116 @@ class Encoder:
             self.library = ByteLevel(add_prefix_space=False, use_regex=True)
         return [chunk[a:b] for _, (a, b) in self.library.pre_tokenize_str(chunk)]
 
-    def _cut(self, text: str) -> list[tuple[Pieces, list[str]]]:
-        """The text as lists of pieces; sections beside special tokens stand alone."""
-        if any(s in text for s in self.specials):
-            out, at = [], 0
-            for m in self.find_special(text):
-                out += [*self._cut(text[at : m.start()]), (None, [m[0]])]
-                at = m.end()
-            return [*out, *self._cut(text[at:])]
-        if not text:
-            return []
-        if any(map(text.__contains__, _ODD)) or text[0] in " \n" or text[-1] in " \n":
-            return [(self.bare, _CHUNK.findall(text))]
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [(self.bare, [first]), (self.spaced, rest)]
-
-    def _learn(self, table: Pieces, new: list[str]) -> None:
-        parts = list(map(self.pre_tokens, map(table.chunk, new)))
-        words, whole = self.words, self.bpe.whole
-        unknown = list(set(chain.from_iterable(parts)).difference(words))
-        raw = [w.encode("utf-8", "surrogatepass") for w in unknown]
-        if self.count:  # a word proved whole is one token, whichever it is; the rest is merged
-            rest = [k for k, b in enumerate(raw) if b not in whole]
-            words.update(dict.fromkeys(unknown, 1))
-            words.update(zip((unknown[k] for k in rest), self.bpe.encode_words([raw[k] for k in rest])[1].tolist()))
-            table.update((x, words[p[0]] if len(p) == 1 else sum(map(words.__getitem__, p))) for x, p in zip(new, parts))
-        else:
-            flat, sizes = self.bpe.encode_words(raw)
-            blob, ends = flat.astype(self.dtype).tobytes(), (sizes.cumsum() * np.dtype(self.dtype).itemsize).tolist()
-            words.update(zip(unknown, map(blob.__getitem__, map(slice, [0, *ends], ends))))
-            table.update((x, words[p[0]] if len(p) == 1 else b"".join(map(words.__getitem__, p))) for x, p in zip(new, parts))
-
-    def _special(self, text: str):
-        return 1 if self.count else np.array([self.bpe.special[text]], self.dtype).tobytes()
-
-    def encode(self, texts):
-        """For each text (None: empty) its number of tokens or its ids as bytes, in order."""
-        texts = [t or "" for t in texts]
-        at = 0
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty), joined, and how many each text has; no ids if only counts are wanted."""
+        texts = pc.fill_null((texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.string()), "")
+        if not len(texts):
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        _, ends, data = texts.buffers()
+        ends = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(data or b"", np.uint8)
+        out, at = [], 0
         while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= _TOGETHER):
-                size += len(texts[end])
-                end += 1
-            yield from self._encode(texts[at:end])
+            end = max(at + 1, int(np.searchsorted(ends, ends[at] + _TOGETHER, "right")) - 1)
+            out.append(self._encode(data[ends[at] : ends[end]], ends[at : end + 1] - ends[at]))
             at = end
+        return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+
+    def _encode(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(raw):
+            return np.empty(0, np.int32), np.zeros(len(ends) - 1, np.int64)
+        if self.pool.n > self.keep or self.pool.used > 8 * self.keep:
+            self._forget()
+        padded = np.zeros(len(raw) + _SHORT, np.uint8)
+        padded[: len(raw)] = raw
+        blank = _BLANK[raw]
+        wide = np.flatnonzero(_WIDE_LEAD[raw])
+        if len(wide):  # white space of two or three bytes
+            code = padded[wide].astype(np.uint32) << 16 | padded[wide + 1].astype(np.uint32) << 8
+            for length, code in ((2, code), (3, code | padded[wide + 2])):
+                blank[(wide[np.isin(code, _WIDE)][:, None] + np.arange(length)).ravel()] = True
+        first = np.ones(len(raw), bool)
+        np.greater(blank[1:], blank[:-1], out=first[1:])
+        first[ends[:-1][ends[:-1] < len(raw)]] = True
+        alone = self._find_specials(raw, ends, first)
+        pos = np.flatnonzero(first)
+        found = self._look_up(padded, pos, np.diff(pos, append=len(raw)), alone)
+        size = self.pool.size[found]
+        upto = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(pos, ends)]
+        ids = np.empty(0, np.int32) if self.count else gather(self.pool.data, self.pool.start[found], size)
+        return ids, np.diff(upto)
+
+    def _find_specials(self, raw: np.ndarray, ends: np.ndarray, first: np.ndarray) -> dict[int, int]:
+        """Place -> number in the pool of special tokens; each becomes a chunk of its own."""
+        whole, out = raw.tobytes(), {}
+        if any(s in whole for s in self.specials):
+            for a, b in zip(ends.tolist(), ends[1:].tolist()):
+                for m in self.find_special(whole[a:b]):
+                    first[a + m.start() : a + m.end()] = False
+                    first[a + m.start()] = True
+                    if a + m.end() < b:
+                        first[a + m.end()] = True
+                    out[a + m.start()] = self.special_at[m[0]]
+        return out
 
-    def _encode(self, texts: list[str]):
-        cut = list(map(self._cut, texts))
-        tables, seen, added = (self.spaced, self.bare, self.words), 0, []
-        for table in tables[:2]:
-            now = set(chain.from_iterable(p for c in cut for t, p in c if t is table))
-            seen += len(now)
-            added.append(list(now.difference(table)))
-        words = len(self.words)
-        for table, new in zip(tables, added):
-            if new:
-                self._learn(table, new)
-        for sections in cut:
-            values = chain.from_iterable(map(t.__getitem__, p) if t is not None else map(self._special, p) for t, p in sections)
-            yield sum(values) if self.count else b"".join(values)
-        if sum(map(len, tables)) > self.keep:
-            if sum(map(len, added)) > 0.6 * seen:
-                added = [list(t) for t in tables[:2]]
-                words = 0
-            for table, gone in zip(tables, [*added, list(islice(self.words, words, None))]):
-                for x in gone:
-                    del table[x]
+    def _look_up(self, padded: np.ndarray, pos: np.ndarray, size: np.ndarray, alone: dict[int, int]) -> np.ndarray:
+        """The number in the pool of each chunk."""
+        found = np.full(len(pos), -1, np.int64)
+        key = np.lib.stride_tricks.sliding_window_view(padded, _SHORT)[pos].view(np.uint64)
+        key &= _KEEP[np.minimum(size, _SHORT)]
+        length = size.astype(np.uint64)
+        h = key[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ (key[:, 1] + length) * np.uint64(0xD1342543DE82EF95)
+        h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        places = (h >> np.uint64(64 - self.bits)).astype(np.int64), (h & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+        open_ = np.flatnonzero(size <= _SHORT)
+        for way in (0, 1):
+            row = self.table[way][places[way][open_]]
+            hit = (row[:, 0] == key[open_, 0]) & (row[:, 1] == key[open_, 1]) & (row[:, 2] >> np.uint64(32) == length[open_])
+            found[open_[hit]] = (row[hit, 2] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            open_ = open_[~hit]
+        for at, number in alone.items():
+            k = int(np.searchsorted(pos, at))
+            found[k] = number
+            open_ = open_[open_ != k]
+        raw = padded.tobytes()
+        if len(open_):
+            order = open_[np.lexsort((length[open_], key[open_, 1], key[open_, 0]))]
+            new = np.ones(len(order), bool)
+            new[1:] = (key[order[1:]] != key[order[:-1]]).any(1) | (length[order[1:]] != length[order[:-1]])
+            one = order[new]
+            numbers = self._learn([raw[p : p + n] for p, n in zip(pos[one].tolist(), size[one].tolist())])
+            found[order] = numbers[np.cumsum(new) - 1]
+            value = length[one] << np.uint64(32) | numbers.astype(np.uint64)
+            free = self.table[0][places[0][one], 2] == 0
+            for way, at in ((0, free), (1, ~free)):
+                self.table[way][places[way][one[at]]] = np.column_stack([key[one[at]], value[at]])
+        rest = np.flatnonzero(found < 0)
+        if len(rest):
+            chunks = [raw[p : p + n] for p, n in zip(pos[rest].tolist(), size[rest].tolist())]
+            known = self.long
+            new = [c for c in dict.fromkeys(chunks) if c not in known]
+            fresh = dict(zip(new, self._learn(new).tolist())) if new else {}
+            found[rest] = [fresh[c] if c in fresh else known[c] for c in chunks]
+            if len(known) > self.keep >> 4:
+                known.clear()
+            known.update((c, k) for c, k in fresh.items() if len(c) <= _LONG)
+        return found
+
+    def _learn(self, chunks: list[bytes]) -> np.ndarray:
+        """Encode new chunks; their numbers in the pool."""
+        parts = [self.pre_tokens(c.decode()) for c in chunks]
+        words = list(chain.from_iterable(parts))
+        place = {w: k for k, w in enumerate(dict.fromkeys(words))}
+        raw = [w.encode() for w in place]
+        which = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        per = np.fromiter(map(len, parts), np.int64, len(parts))
+        first = np.cumsum(per) - per
+        if self.count:  # a word proved whole is one token, whichever it is; only the rest is merged
+            sizes = np.ones(len(raw), np.int64)
+            rest = [k for k, w in enumerate(raw) if w not in self.bpe.whole]
+            sizes[rest] = [len(x) for x in self.bpe.merge_many([raw[k] for k in rest])]
+            # a stretch of no ids stands for the count
+            return self.pool.add(np.empty(0, np.int32), np.add.reduceat(sizes[which], first))
+        ids, sizes = self.bpe.encode_words(raw)
+        start = np.cumsum(sizes) - sizes
+        return self.pool.add(gather(ids, start[which], sizes[which]), np.add.reduceat(sizes[which], first))

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .bpe import spelled
 from .common import map_texts
 from .token_counts import encoder, vocabulary
 
@@ -17,13 +18,11 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
     shared = vocabulary(docs, vocab_path)
 
     def make():
-        run = encoder(shared, "raw").encode
+        run = encoder(shared).encode
 
         def of(texts):
-            found = [np.frombuffer(x, "<u4") for x in run(texts)]
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            flat = np.concatenate(found) if found else np.empty(0, "<u4")
-            return {"ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))}
+            ids, sizes = run(texts)
+            return {"ids": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids))}
 
         return of
 
@@ -36,7 +35,7 @@ def decode(encoded: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col:
 
     def make():
         bpe = shared.value
-        return lambda lists: {"text": pa.array([None if x is None else bpe.decode(x) for x in lists], pa.string())}
+        return lambda lists: {"text": pa.array([None if x is None else bpe.decode(x) for x in lists.to_pylist()], pa.string())}
 
     return map_texts(encoded, id_col, ids_col, "text string", make)
 
@@ -50,17 +49,14 @@ def round_trip(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_co
     shared = vocabulary(docs, vocab_path)
 
     def make():
-        bpe, run = shared.value, encoder(shared, "raw").encode
-        digits = [str(i) for i in range(bpe.size)]
+        bpe, run = shared.value, encoder(shared).encode
+        digits = [b"%d," % i for i in range(bpe.size)]
 
         def of(texts):
-            out = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-            for raw in run(texts):
-                ids = np.frombuffer(raw, "<u4").tolist()
-                out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(sha256(",".join(map(digits.__getitem__, ids)).encode()).hexdigest())
-                out["decoded_sha256"].append(sha256(bpe.decode(ids).encode()).hexdigest())
-            return {k: pa.array(v, pa.int64() if k == "n_tokens" else pa.string()) for k, v in out.items()}
+            ids, sizes = run(texts)
+            decimal = [sha256(x[:-1]).hexdigest() for x in spelled(digits, ids, sizes)]
+            decoded = [sha256(x.encode()).hexdigest() for x in bpe.decode_many(ids, sizes)]
+            return {"n_tokens": sizes, "ids_sha256": pa.array(decimal, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
 
         return of
 

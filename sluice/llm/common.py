@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,12 +15,12 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def session(df: DataFrame) -> SparkSession:
-    """The session of a frame, with Arrow batches bounded in rows and, where Spark can, in bytes."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
-    return spark
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of at most ``rows`` rows and about ``size`` bytes, whatever the session's settings; nothing is copied."""
+    for b in batches:
+        step = max(1, rows if b.nbytes <= size else min(rows, b.num_rows * size // b.nbytes))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
 
 
 def two_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -25,42 +28,51 @@ def two_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
 
-def map_texts(docs: DataFrame, id_col: str, text_col: str, schema: str, make: Callable[[], Callable[[list], dict[str, list]]]) -> DataFrame:
+def map_texts(docs: DataFrame, id_col: str, text_col: str, schema: str, make: Callable[[], Callable[[pa.Array], dict[str, list]]]) -> DataFrame:
     """One output row for each input row: `id_col` plus the columns that ``make()(texts)`` returns.
 
-    ``make`` runs once in each task; ``schema`` types its columns.  Null texts arrive as None.
+    ``make`` runs once in each task; ``schema`` types its columns.  Texts arrive as an Arrow array that may hold nulls.
     """
-    session(docs)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = make()
-        for b in batches:
-            out = of(b.column(1).to_pylist())
+        for b in pieces(batches):
+            out = of(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), *(c if isinstance(c, pa.Array) else pa.array(c) for c in out.values())], [id_col, *out])
 
     return two_columns(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, {schema}")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
 
-    Only where a session names no folder (tests, single machines) one is set here.
+    A cluster names it in ``spark.checkpoint.dir`` (or has set it on the context).  Only a session on one machine may
+    do without; there a temporary folder is made.  A cluster without one is refused: its nodes would write to their own disks.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    return df.checkpoint(eager=True)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder, by URI."""
-    import uuid
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table in the shared folder.
 
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    return f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    Unlike ``DataFrame.checkpoint``, whose size estimate is that of the plan it cuts (and grows beyond all bounds in
+    loops of joins), a written table has its true size, by which Spark chooses joins, and its columns are read as needed.
+    """
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below the shared folder, by URI."""
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
 
 
 def partitions(spark: SparkSession) -> int:

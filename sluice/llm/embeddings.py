@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import checkpoint, partitions, session
+from .common import checkpoint, partitions, pieces
 from .components import components
 
 #: Axes of the smallest vectors for which buckets are planned; more axes only make buckets smaller.
@@ -93,7 +93,7 @@ def near_duplicates(
     only with their like.  A row with a null id links with nothing, has a null component_id and is kept.
     Rows that repeat an id are one node, whose links are those of any of its rows.  An empty table gives an empty result.
     """
-    spark = session(table)
+    spark = table.sparkSession
     id_type = table.schema[id_col].dataType.simpleString()
     rows = table.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
     whole = F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists("v", lambda c: c != 0)
@@ -107,7 +107,7 @@ def near_duplicates(
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, CrossPolytope] = {}
-        for b in batches:
+        for b in pieces(batches):
             if not b.num_rows:
                 continue
             sizes = np.diff(b.column(0).offsets.to_numpy())
@@ -184,7 +184,7 @@ def near_duplicates(
             return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind), pa.array(n, pa.int64())], ["a", "b", "n"])
 
         last, held = None, []
-        for b in batches:
+        for b in pieces(batches):
             if not b.num_rows:
                 continue
             t = pa.Table.from_batches([b])

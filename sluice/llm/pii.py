@@ -106,7 +106,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def make():
-        return lambda texts: {"spans": pa.array([[dict(zip(("kind", "start", "end", "score"), x)) for x in find(t or "")[1]] for t in texts], kind)}
+        return lambda texts: {"spans": pa.array([[dict(zip(("kind", "start", "end", "score"), x)) for x in find(t or "")[1]] for t in texts.to_pylist()], kind)}
 
     return map_texts(docs, id_col, text_col, "spans array<struct<kind:string,start:int,end:int,score:double>>", make)
 
@@ -118,7 +118,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def make():
         def of(texts):
             out: dict[str, list] = {c: [] for c in [*columns, "base_sha256", "spans"]}
-            for t in texts:
+            for t in texts.to_pylist():
                 base, every = find(t or "")
                 for k in KINDS:
                     out[f"n_{k}"].append(sum(x[0] == k for x in base))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, session
+from .common import checkpoint, pieces
 
 #: The commonest function words of each supported language (general knowledge, a parameter of the operator).
 COMMON = {
@@ -128,13 +128,12 @@ NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 def count_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, common: dict[str, list[str]]) -> DataFrame:
     """(id, lang, base counts, classes, words) of each row."""
-    session(docs)
     id_type = docs.schema[id_col].dataType.simpleString()
     ints = pa.list_(pa.int32())
 
     def count(batches):
         of = Counts(common)
-        for b in batches:
+        for b in pieces(batches):
             rows = [of(t) for t in b.column(2).to_pylist()]
             base = [pa.array([r[0][k] for r in rows], pa.int64()) for k in range(len(NAMES))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *base, pa.array([r[1] for r in rows], ints), pa.array([r[2] for r in rows], ints)], ["id", "lang", *NAMES, "classes", "words"])
@@ -188,7 +187,7 @@ def judge(
     rules = docs.sparkSession.sparkContext.broadcast(Rules(references(counted, common), _limits(max_class_distance, max_word_distance, least_word_distance, word_noise, min_chars)))
 
     def compare(batches):
-        for b in batches:
+        for b in pieces(batches):
             classes, words = (np.array(b.column(k).to_pylist(), float).reshape(b.num_rows, -1) for k in (6, 7))
             n_words, chars, repeats = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 5))
             verdict = [pa.array(x) for x in rules.value(n_words, chars, repeats, classes, words)]
@@ -207,7 +206,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *
 
     def keep(batches):
         of = Counts(COMMON)
-        for b in batches:
+        for b in pieces(batches):
             if not b.num_rows:
                 continue
             base, classes, words = zip(*map(of, b.column(at).to_pylist()))

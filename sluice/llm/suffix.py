@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, session, shared_dir
+from .common import partitions, pieces, shared_dir
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -242,14 +242,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
     ``stamp`` is the text's hash, which tells rows of one id apart.  Spans are byte positions, end exclusive.
     """
-    spark = session(docs)
+    spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).filter(F.octet_length("text") >= length)
     rows = rows.select("id", "text", F.xxhash64("text").alias("stamp"))
     parts = max(partitions(spark), 8)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             found = [anchors(_raw(t), length, gram)[0] for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *found]))], ["key"])
 
@@ -277,14 +277,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         return md5(context + b":%d:%d" % (near, far), usedforsecurity=False).digest()
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             found = [(k, near, far, c) for k, near, far, c, *_ in cut(b, b.column(3).to_pylist() if b.num_columns > 3 else None)]
             for lo in range(0, len(found), 5000):
                 cols = list(zip(*found[lo : lo + 5000]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["key", "near", "far", "context"])
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             found = [(class_of(near, far, c), i, stamp, at) for _, near, far, c, i, stamp, at in cut(b, b.column(3).to_pylist() if b.num_columns > 3 else None)]
             cols = list(zip(*found)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], kind), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], ["class", "id", "stamp", "at"])
@@ -295,7 +295,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     source = rows.select("id", "text", "stamp")
     if not few:  # the repeated anchors of each text come to it by two shuffles
         def own(batches):
-            for b in batches:
+            for b in pieces(batches):
                 found = [(i, s, anchors(_raw(t), length, gram)[0]) for i, t, s in zip(*(c.to_pylist() for c in b.columns))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([i for i, _, k in found for _ in k], kind), pa.array([s for _, s, k in found for _ in k], pa.int64()), pa.array(np.concatenate([np.empty(0, np.int64), *(k for *_, k in found)]))], ["i", "s", "key"]
@@ -336,7 +336,7 @@ def settle(classes: DataFrame, path: str, length: int, gram: int, parts: int, wi
             return pa.RecordBatch.from_arrays([t["class"].take(good).combine_chunks(), pa.array(low[good]), pa.array(high[good])], ["class", "low", "high"])
 
         held: list[pa.Table] = []
-        for b in batches:
+        for b in pieces(batches):
             if not b.num_rows:
                 continue
             t = pa.Table.from_batches([b])
@@ -389,7 +389,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = rows.join(spans, F.col("id").eqNullSafe(F.col("i")) & (F.col("stamp") == F.col("s")), "left").select("id", "text", F.transform("spans", lambda x: F.array(x["s"], x["e"])).alias("spans"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for t, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 raw, runs, at, kept = _raw(t), cover(found or []), 0, []

@@ -8,25 +8,26 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .bpe import ByteBPE, Encoder
-from .common import map_texts, session
+from .common import map_texts
 
 _ENCODERS: dict = {}
 
 
 def vocabulary(df: DataFrame, path: str):
     """The tables of a vocabulary file, read and proved by the driver and broadcast; their size is the file's."""
-    return session(df).sparkContext.broadcast(ByteBPE.from_json(Path(path).read_text(encoding="utf-8")))
+    return df.sparkSession.sparkContext.broadcast(ByteBPE.from_json(Path(path).read_text(encoding="utf-8")))
 
 
-def encoder(shared, kind: str, dtype: str = "<u4") -> Encoder:
+def encoder(shared, count: bool = False) -> Encoder:
     """The encoder of this Python worker; it keeps what it has learnt from task to task of the same vocabulary."""
-    known = _ENCODERS.get((kind, dtype))
+    known = _ENCODERS.get(count)
     if known is None or known.bpe is not shared.value:
         _ENCODERS.clear()
-        _ENCODERS[kind, dtype] = known = Encoder(shared.value, kind, dtype=dtype)
+        _ENCODERS[count] = known = Encoder(shared.value, count)
     return known
 
 
@@ -41,11 +42,11 @@ def count_tokens(docs: DataFrame, vocab_path: str, limit: int = 1024, id_col: st
     shared = vocabulary(docs, vocab_path)
 
     def make():
-        count = encoder(shared, "n").encode
+        count = encoder(shared, count=True).encode
 
         def of(texts):
-            n = list(count(texts))
-            return {"n_bytes": [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
+            n = count(texts)[1]
+            return {"n_bytes": pc.fill_null(pc.binary_length(texts), 0).cast("int64"), "n_tokens": n, "over_limit": n > limit}
 
         return of
 

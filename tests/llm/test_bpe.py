@@ -21,10 +21,11 @@ PARTS = ["a", "b", " ", "  ", "\n", "\t", "the", "ing", "'s", "'ll", "é", "ß",
 
 def same(texts):
     want = [e.ids for e in LIBRARY.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-    got = [np.frombuffer(x, "<u4").tolist() for x in Encoder(BPE, "raw").encode(texts)]
-    assert got == want
-    assert list(Encoder(BPE, "n").encode(texts)) == list(map(len, want))
-    assert [BPE.decode(w) for w in want] == [LIBRARY.decode(w, skip_special_tokens=False) for w in want]
+    ids, sizes = Encoder(BPE).encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])][: len(want)] == want
+    assert Encoder(BPE, count=True).encode(texts)[1].tolist() == list(map(len, want))
+    decoded = [LIBRARY.decode(w, skip_special_tokens=False) for w in want]
+    assert [BPE.decode(w) for w in want] == BPE.decode_many(ids, sizes) == decoded
 
 
 def test_mixed_texts():
@@ -44,11 +45,18 @@ def test_any_text(texts):
 
 def test_memory_is_bounded_and_forgetting_is_harmless():
     rng = random.Random(2)
-    small = Encoder(BPE, "n", keep=50)
-    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(30)) for _ in range(40)]
+    small, large = Encoder(BPE, keep=50, bits=3), Encoder(BPE)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(rng.choice([6, 20]))) for _ in range(30)) for _ in range(40)]
     for t in texts:
-        assert list(small.encode([t])) == list(Encoder(BPE, "n").encode([t]))
-        assert len(small.spaced) + len(small.bare) + len(small.words) <= 200
+        assert [x.tolist() for x in small.encode([t])] == [x.tolist() for x in large.encode([t])]
+        assert small.pool.n <= 50 + 40 and small.pool.used <= 8 * 50 + 900 and len(small.long) <= 40
+
+
+def test_white_space_of_any_width_and_chunks_of_any_length():
+    rng = random.Random(4)
+    blanks = [" ", "\n", "\t", "\xa0", "\x85", "\u2003", "\u2028", "\u3000", "\u1680", "\x1c", "\u200b"]
+    words = ["", "a", "\x00", "a\x00", "a\x00\x00", "abcdefgh", "abcdefghijklmnop", "abcdefghijklmnopq", "é" * 8, "日本語の文章です。", "<|endoftext|>", "it's", "x" * 300]
+    same([None, "", *("".join(rng.choice(blanks) * rng.randint(0, 2) + rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(1500))])
 
 
 def test_whole_tokens_are_proved():
