@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 
+def _least(e: DataFrame) -> DataFrame:
+    """(k, m): the least neighbour of each end ``a``.  A table of its own, so that the join with all links of a hot end can be split."""
+    return checkpoint(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m"))
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return both.filter("b > a").join(_least(both), F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.least("k", "m").alias("b"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
+    least = _least(down)
     rest = down.join(least, F.col("a") == F.col("k"))
     return rest.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select(F.col("k").alias("a"), F.col("m").alias("b")))
 
@@ -32,7 +36,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = checkpoint(e)
     before = None
     while True:
-        e = checkpoint(_small_star(_large_star(e).distinct()).distinct())
+        e = checkpoint(_small_star(checkpoint(_large_star(e).distinct())).distinct())
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break

@@ -2,22 +2,24 @@
 
 Every text becomes the set of its five-word shingles (64-bit hashes) and a signature of minima.  Texts with the
 same set form one class, which is a single node from here on.  A tree of the forest sorts all signatures by its
-own order of components; texts that agree on the first ``least_depth`` components share a region, and all nodes of
-a region of up to ``whole`` nodes become candidates.  A larger region is cut by the next components until its parts
-hold ``crowd`` nodes at most, which become candidates; as a part may hold a single node, every node also has those
-whose whole signatures agree with its own most, among many neighbours in the uncut region: in the order of the
-components (longest common prefix first) and in a shuffled order, both others in each tree.  The same holds for parts that no depth can cut.
-
-Candidates whose signatures agree on too few components are dropped; the rest is verified on the full shingle
-sets, in two rounds: first each node against its likeliest smaller partner, then whatever candidates still lie in
-different components.  So a group of thousands of near copies costs a verification per copy, not per pair.
+own order of components; texts that agree on the first ``least_depth`` components share a region, and any two
+texts that share a region of any tree are compared.  How, depends on the region:
+
+* In a region of up to ``crowd`` nodes all pairs whose signatures agree enough are candidates.
+* A larger one is cut by further components until its parts hold ``crowd`` nodes at most; pairs of a part and next
+  neighbours in the order (longest common prefix) are candidates.  Most links of the region are among them.
+* What then still lies in different components of the links is compared in full, by the shingle sets themselves:
+  the region is cut into blocks, a task meets two blocks, and a spanning forest of the links is all that leaves it.
+
+Candidates are verified on the full shingle sets in two rounds: first each node against its likeliest smaller
+partner, then whatever candidates still lie in different components.  So a group of thousands of near copies costs
+a verification per copy, not per pair, and no step makes a row per pair of a large region.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, partitions, session
+from .common import checkpoint, partitions, pieces, shared_dir
 from .components import components
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -88,61 +90,69 @@ def orders(trees: int, depth: int, n: int, seed: int = 11) -> np.ndarray:
     return need[: trees * depth].reshape(trees, depth)
 
 
-def _region_pairs(sig: np.ndarray, least: int, crowd: int, neighbours: int, whole: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (i, j) of candidates among the sorted rows of ``sig``, a few arrays at a time."""
+def _region_pairs(sig: np.ndarray, least: int, crowd: int, neighbours: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j) of candidates among the sorted rows of ``sig``, a few arrays at a time.
+
+    Rows that agree on ``least`` columns share a region.  Each is cut at the least depth at which it holds ``crowd`` rows at most.
+    """
     n, depth = sig.shape
     if n < 2:
         return
     same = sig[1:] == sig[:-1]
     lcp = np.where(same.all(1), depth, same.argmin(1))
-    # how deep the region of each row is: the least depth if it is compared as a whole, else that at which it holds no crowd
     need, crowded = np.full(n, depth), np.ones(n, bool)
     for d in range(depth, least - 1, -1):
         region = np.cumsum(np.concatenate([[0], lcp < d]))
-        small = np.bincount(region)[region] <= (max(crowd, whole) if d == least else crowd)
+        small = np.bincount(region)[region] <= crowd
         need[small], crowded[small] = d, False
     reach = lcp.copy()
-    for step in range(1, max(crowd, whole)):
+    for step in range(1, max(crowd, neighbours + 1)):
         if step > 1:
             reach = np.minimum(reach[:-1], lcp[step - 1 :])
-        i = np.flatnonzero((reach >= need[: len(reach)]) & ((step <= neighbours) | ~crowded[: len(reach)]))
-        if not len(i):
+        whole = (reach >= need[: len(reach)]) & ~crowded[: len(reach)]
+        near = (reach >= least) & (step <= neighbours)
+        i = np.flatnonzero(whole | near)
+        if not len(i) and step > neighbours:
             break
         yield i, i + step
 
 
-def _enclosing_pairs(sig: np.ndarray, bits: np.ndarray, least: int, whole: int, best: int, window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """What `_crowd_pairs` finds in the regions of depth ``least`` with more than ``whole`` rows: as sorted, and shuffled."""
-    outer = sig[:, :least]
-    yield from _crowd_pairs(outer, bits, whole, best, window)
-    region = np.cumsum(np.concatenate([[0], (outer[1:] != outer[:-1]).any(1)])) if len(sig) else np.empty(0, np.int64)
-    # a row's place in its region decides, so that reruns agree
-    at = np.flatnonzero(np.bincount(region, minlength=1)[region] > max(whole, window + 1))
-    if len(at):
-        place = at - np.searchsorted(region, region[at])
-        at = at[np.lexsort((_mix(place.astype(np.uint64) + _U(1)), region[at]))]
-        for i, j in _crowd_pairs(outer[at], bits[at], whole, best, window):
-            yield at[i], at[j]
-
-
-def _crowd_pairs(sig: np.ndarray, bits: np.ndarray, crowd: int, best: int, window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of each crowded row and the ``best`` rows of its region, within ``window`` rows in order, whose whole signatures agree most."""
-    region = np.cumsum(np.concatenate([[0], (sig[1:] != sig[:-1]).any(1)])) if len(sig) else np.empty(0, np.int64)
-    at = np.flatnonzero(np.bincount(region, minlength=1)[region] > crowd)
-    for lo in range(0, len(at), 4096):
-        # rows lo - window .. lo + 4096 + window, so that every row of the middle sees both sides
-        first, last = max(0, lo - window), min(len(at), lo + 4096 + window)
-        rows = at[first:last]
-        x, g = bits[rows], region[rows]
-        agree = np.full((len(rows), 2 * window), -1, np.int16)
-        for step in range(1, min(window, len(rows) - 1) + 1):
-            a = np.where(g[step:] == g[:-step], (x[step:] == x[:-step]).sum(1), -1)
-            agree[:-step, step - 1], agree[step:, window + step - 1] = a, a
-        top = np.argpartition(-agree, best - 1, 1)[:, :best]
-        shift = np.where(top < window, top + 1, window - 1 - top)
-        i = np.repeat(np.arange(len(rows)), best)
-        good = (np.take_along_axis(agree, top, 1) >= 0).ravel() & (i >= lo - first) & (i < lo - first + 4096)
-        yield rows[i[good]], rows[(i + shift.ravel())[good]]
+def _binary(rows: np.ndarray) -> pa.Array:
+    """The bytes of each row of a two-dimensional array."""
+    width = rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _joined(column: pa.ChunkedArray | pa.Array, kind, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
+def block_links(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets of different ``label``; with two sides, of those across the sides.
+
+    Every set outside the largest label meets all others: its shingles are marked, and the marks are counted set by set.
+    """
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    start = np.cumsum(size) - size
+    mark = np.zeros(int(code.max()) + 1, bool)
+    label, out = label.copy(), []
+    across = side.min() != side.max()
+    for i in np.flatnonzero(label != np.bincount(label).argmax()).tolist():
+        if (label == label[i]).all():
+            break
+        own = code[start[i] : start[i] + size[i]]
+        mark[own] = True
+        both = np.add.reduceat(mark[code], start, dtype=np.int64)
+        mark[own] = False
+        near = (100 * both >= percent * (size + size[i] - both)) & (label != label[i])
+        if across:
+            near &= side != side[i]
+        for j in np.flatnonzero(near).tolist():
+            if label[j] != label[i]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
 
 
 def near_duplicates(
@@ -156,10 +166,9 @@ def near_duplicates(
     depth: int = 8,
     least_depth: int = 3,
     crowd: int = 24,
-    whole: int = 256,
     neighbours: int = 3,
-    best: int = 8,
-    window: int = 256,
+    block: int = 1024,
+    block_shingles: int = 1 << 21,
 ) -> DataFrame:
     """For each row: id, n_shingles, component_id, kept.
 
@@ -169,18 +178,21 @@ def near_duplicates(
     repeat an id are one document, linked if any of its rows is.  A null id links with nothing: its
     component_id is null and the row is kept.  An empty table gives an empty result.
 
-    Of pairs at the limit of 0.75 a tree has 0.42 in one region, so 24 trees miss about one in 500,000, and closer pairs
-    still more rarely, where such regions hold ``whole`` nodes at most.  In larger regions candidates are chosen by
-    depth, order and agreement of signatures (at most ``best`` of 2 * ``window`` neighbours a time), so that their number
-    stays in proportion to the rows; there, among many texts that are all nearly as close, more pairs are missed.
+    Any two documents that share a region of any tree are compared, however large it is.  Of pairs at the limit of
+    0.75 a tree has 0.42 in one region, so 24 trees miss about one in 500,000, and closer pairs still more rarely.
+
+    Regions of more than ``crowd`` nodes are compared in blocks of about ``block`` nodes and ``block_shingles``
+    shingles at most (a single text may be larger); that work grows with the square of a region's nodes outside its
+    largest component, and is split over as many tasks as there are pairs of blocks.
     """
-    spark = session(docs)
+    spark = docs.sparkSession
+    parts = max(partitions(spark), 8)
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Hasher(components_)
-        for b in batches:
+        for b in pieces(batches):
             n, digests, signatures = [], [], []
             for t in b.column(1).to_pylist():
                 s = shingles(t, width)
@@ -192,82 +204,118 @@ def near_duplicates(
     signed = checkpoint(rows.mapInArrow(sign, f"id {id_type}, n long, digest binary, signature binary"))
     linked = signed.filter("id is not null and n > 0")
     classes = checkpoint(linked.groupBy("digest").agg(F.min("id").alias("node"), F.first("signature").alias("signature")))
+    # ids whose rows fall into several classes tie these together
+    several = linked.groupBy("id").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).filter("one <> other").select("id")
+    ties = linked.select("id", "digest").join(several, "id").distinct().join(classes.select("digest", "node"), "digest").select(F.col("id").alias("a"), F.col("node").alias("b")).filter("a <> b")
+
     order = orders(trees, depth, components_)
 
-    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def regions(sig: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         salt = _mix(np.arange(1, trees + 1, dtype=np.uint64))
-        for b in batches:
-            if not b.num_rows:
-                continue
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(b.num_rows, components_)
-            bits = pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())
-            for t in range(trees):
-                own = sig[:, order[t]]
-                key = np.full(len(own), salt[t])
-                with np.errstate(over="ignore"):
-                    for k in range(least_depth):
-                        key = _mix(key * _U(0x9E3779B97F4A7C15) + own[:, k].astype(np.uint64))
-                path = pa.array([x.tobytes() for x in own.astype(">u4")], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), path, b.column(0), bits], ["region", "path", "node", "bits"])
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floor = _least_agreement(components_, percent)
-
-        def regions(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(parts).combine_chunks()
-            region, node = t["region"].to_numpy(), t["node"]
-            # a region of one node has no candidates
+        for t in range(trees):
+            key = np.full(len(sig), salt[t])
+            with np.errstate(over="ignore"):
+                for k in order[t][:least_depth]:
+                    key = _mix(key * _U(0x9E3779B97F4A7C15) + sig[:, k].astype(np.uint64))
+            yield t, key.view(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 10_000):
+            for _, key in regions(_joined(b.column(0), np.uint32, components_)):
+                yield pa.RecordBatch.from_arrays([pa.array(key)], ["region"])
+
+    def grow(kept):
+        """(region, tree, node, what ``kept`` makes of the signatures) of each node in each tree."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in pieces(batches, 10_000):
+                sig = _joined(b.column(1), np.uint32, components_)
+                rest = _binary(kept(sig))
+                for t, key in regions(sig):
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(sig), t, np.int32)), b.column(0), rest], ["region", "tree", "node", "rest"])
+
+        return classes.select("node", "signature").mapInArrow(run, f"region long, tree int, node {id_type}, rest binary")
+
+    path = shared_dir(spark)
+    large = classes.select("signature").mapInArrow(count, "region long").groupBy("region").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > crowd)
+    large.select("region").write.parquet(f"{path}/large")
+    large = spark.read.parquet(f"{path}/large")
+    floor = _least_agreement(components_, percent)
+
+    def pairs_of(t: pa.Table, keys: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
+        node, bits = t["node"], _joined(t["bits"], np.uint8, components_)
+        for i, j in _region_pairs(keys, least, crowd, neighbours):
+            for lo in range(0, len(i), 100_000):
+                x, y = i[lo : lo + 100_000], j[lo : lo + 100_000]
+                agree = (bits[x] == bits[y]).sum(1)
+                good = agree >= floor
+                if good.any():
+                    a, b = node.take(pa.array(x[good])).combine_chunks(), node.take(pa.array(y[good])).combine_chunks()
+                    yield pa.RecordBatch.from_arrays([a, b, pa.array(agree[good].astype(np.int32))], ["a", "b", "agree"])
+
+    def pair_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Regions of up to ``crowd`` rows, sorted by region: all pairs."""
+
+        def close(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            region = t["region"].to_numpy()
             alone = np.ones(len(region), bool)
             alone[1:] &= region[1:] != region[:-1]
             alone[:-1] &= region[1:] != region[:-1]
-            at = np.flatnonzero(~alone)
-            if not len(at):
-                return
-            path = np.frombuffer(b"".join(t["path"].take(at).to_pylist()), ">u4").astype(np.int64).reshape(len(at), depth)
-            bits = np.frombuffer(b"".join(t["bits"].take(at).to_pylist()), np.uint8).reshape(len(at), components_)
-            numbered = np.concatenate([np.cumsum(np.concatenate([[0], region[at][1:] != region[at][:-1]]))[:, None], path], 1)
-            for i, j in chain(
-                _region_pairs(numbered, least_depth + 1, crowd, neighbours, whole),
-                _crowd_pairs(numbered, bits, crowd, best, window),
-                _enclosing_pairs(numbered, bits, least_depth + 1, max(crowd, whole), best, window),
-            ):
-                for lo in range(0, len(i), 100_000):
-                    x, y = i[lo : lo + 100_000], j[lo : lo + 100_000]
-                    agree = (bits[x] == bits[y]).sum(1)
-                    good = agree >= floor
-                    if good.any():
-                        a, b = node.take(at[x[good]]).combine_chunks(), node.take(at[y[good]]).combine_chunks()
-                        yield pa.RecordBatch.from_arrays([a, b, pa.array(agree[good].astype(np.int32))], ["a", "b", "agree"])
+            t, region = t.filter(pa.array(~alone)), region[~alone]
+            if len(region):
+                yield from pairs_of(t, np.cumsum(np.concatenate([[0], region[1:] != region[:-1]]))[:, None], 1)
 
         held: list[pa.RecordBatch] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in pieces(batches, 10_000):
             held.append(b)
-            region = b.column(0).to_numpy()
-            cut = int(np.searchsorted(np.arange(len(region)), np.flatnonzero(region != region[-1]).max(initial=-1))) + 1
-            if cut and sum(x.num_rows for x in held) > 20_000:  # all but the last region is complete
-                yield from regions([*held[:-1], b.slice(0, cut)])
-                held = [b.slice(cut)]
+            if sum(x.num_rows for x in held) > 20_000:
+                t = pa.Table.from_batches(held)
+                whole = int(np.flatnonzero(np.diff(t["region"].to_numpy())).max(initial=-1)) + 1
+                yield from close(t.slice(0, whole))
+                held = t.slice(whole).to_batches()
         if held:
-            yield from regions(held)
-
-    forest = classes.select("node", "signature").mapInArrow(grow, f"region long, path binary, node {id_type}, bits binary")
-    sorted_ = forest.repartition(max(partitions(spark), 8), "region").sortWithinPartitions("region", "path", F.xxhash64("region", "node"), "node")
-    found = sorted_.mapInArrow(pair, f"a {id_type}, b {id_type}, agree int").filter("a <> b")
+            yield from close(pa.Table.from_batches(held))
+
+    def pair_large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Larger regions in sorted order, some thousand rows at a time: parts and next neighbours."""
+        for b in pieces(batches, 20_000):
+            t = pa.Table.from_batches([b])
+            keys = np.column_stack([np.unique(t["region"].to_numpy(), return_inverse=True)[1], _joined(t["path"], ">u4", depth - least_depth)]).astype(np.int64)
+            yield from pairs_of(t, keys, 1)
+
+    def deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The components behind the region's, as bytes in sorting order."""
+        for b in pieces(batches, 10_000):
+            sig, tree = _joined(b.column(3), np.uint32, components_), b.column(1).to_numpy()
+            own = np.take_along_axis(sig, order[tree][:, least_depth:], 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), _binary(own.astype(">u4")), b.column(2), _binary(sig.astype(np.uint8))], ["region", "path", "node", "bits"])
+
+    kinds = f"a {id_type}, b {id_type}, agree int"
+    small = grow(lambda sig: sig.astype(np.uint8)).join(large, "region", "left_anti").select("region", "node", F.col("rest").alias("bits"))
+    small = small.repartition(parts, "region").sortWithinPartitions("region", "node").mapInArrow(pair_small, kinds)
+
+    crowds = grow(lambda sig: sig).join(large, "region", "left_semi")
+    crowds = checkpoint(crowds.mapInArrow(deeper, f"region long, path binary, node {id_type}, bits binary"))
+    ranged = crowds.repartitionByRange(parts, "region", "path", "node").sortWithinPartitions("region", "path", "node")
+    found = small.union(ranged.mapInArrow(pair_large, kinds)).filter("a <> b")
     candidates = checkpoint(found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("agree").alias("agree")))
 
     # round 1: each node and its likeliest smaller partner
     first = candidates.groupBy("b").agg(F.max_by("a", F.struct("agree", F.hash("a", "b"))).alias("a")).select("a", "b")
-    sure = checkpoint(verify(rows, first, percent, width))
-    labels = checkpoint(components(sure))
+    links = checkpoint(verify(rows, first, percent, width).union(ties))
+    labels = checkpoint(components(links))
     # round 2: candidates that round 1 has not brought together
     side = lambda c: labels.select(F.col("node").alias(f"n{c}"), F.col("component").alias(f"c{c}"))
     apart = candidates.join(side("a"), F.col("a") == F.col("na"), "left").join(side("b"), F.col("b") == F.col("nb"), "left")
     apart = apart.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).filter("ca <> cb").join(first.select(F.col("a").alias("fa"), F.col("b").alias("fb")), (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")), "left_anti")
     more = checkpoint(verify(rows, apart.select("a", "b"), percent, width))
     if not more.isEmpty():
-        labels = components(sure.union(more))
+        links = links.union(more)
+        labels = checkpoint(components(links))
+    # round 3: what large regions hold besides
+    more = checkpoint(_crowd_links(rows, crowds.select("region", "node"), labels, signed, percent, width, block, block_shingles, parts))
+    if not more.isEmpty():
+        labels = components(links.union(more))
 
     # every member of a class is in the component of its node
     node = classes.select("digest", F.col("node").alias("own"))
@@ -278,6 +326,61 @@ def near_duplicates(
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
+def _crowd_links(rows: DataFrame, crowds: DataFrame, labels: DataFrame, signed: DataFrame, percent: int, width: int, block: int, block_shingles: int, parts: int) -> DataFrame:
+    """(a, b): links between nodes of one region in ``crowds`` (region, node) that lie in different components, enough to join these.
+
+    Regions in blocks, by the number of their nodes and shingles; a pair of blocks is one unit of work.
+    """
+    kind = crowds.schema["node"].dataType
+    known = labels.select(F.col("node").alias("key"), "component")
+    members = crowds.distinct().join(known, F.col("node") == F.col("key"), "left").select("region", "node", F.coalesce("component", "node").alias("component"))
+    weights = signed.join(crowds.select(F.col("node").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.max("n").alias("n")).select(F.col("id").alias("weighed"), "n")
+    members = checkpoint(members.join(weights, F.col("node") == F.col("weighed")).select("region", "node", "component", "n"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / block_shingles)).cast("int")
+    open_ = members.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("most"), blocks.alias("blocks")).filter("least <> most").select(F.col("region").alias("open"), "blocks")
+    placed = checkpoint(members.join(open_, F.col("region") == F.col("open")).select("region", "node", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, width).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["of", "set"])
+
+    texts = _texts(rows, placed.select(F.col("node").alias("id")))
+    sets = texts.mapInArrow(cut, f"of {kind.simpleString()}, set binary").filter("length(set) > 0")
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
+    work = placed.select("region", "block", "node", "component", F.explode(meets).alias("m")).select("region", F.col("m.x").alias("x"), F.col("m.y").alias("y"), "block", "node", "component")
+    units = work.join(sets, F.col("node") == F.col("of")).select("region", "x", "y", "block", "node", "component", "set")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            node = t["node"].combine_chunks()
+            label = t["component"].combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+            found = block_links([np.frombuffer(x, np.uint64) for x in t["set"].to_pylist()], label, t["block"].to_numpy(), percent)
+            if found:
+                i, j = (pa.array(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([node.take(i), node.take(j)], ["a", "b"])
+
+        last, held = None, []
+        for b in pieces(batches, 10_000):
+            keys = np.column_stack([b.column(k).to_numpy() for k in range(3)])
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if (key := tuple(keys[lo])) != last:
+                    if held:
+                        yield from close(held)
+                    last, held = key, []
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield from close(held)
+
+    return units.repartition(parts, "region", "x", "y").sortWithinPartitions("region", "x", "y").mapInArrow(compare, f"a {kind.simpleString()}, b {kind.simpleString()}")
+
+
+def _texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the given ids, rows that repeat both once."""
+    return rows.filter("id is not null").join(ids.distinct(), "id", "left_semi").groupBy("id", F.md5("text").alias("digest")).agg(F.first("text").alias("text")).select("id", "text")
+
+
 def _least_agreement(n: int, percent: int) -> int:
     """Signature components that must agree: five standard deviations below what a pair at the limit shows."""
     p = percent / 100
@@ -293,7 +396,7 @@ def verify(rows: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataF
     spark = rows.sparkSession
     kind = pairs.schema["a"].dataType.simpleString()
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key"), "a", "b")
-    texts = rows.filter("id is not null").join(ends.select(F.col("key").alias("id")).distinct(), "id", "left_semi")
+    texts = _texts(rows, ends.select(F.col("key").alias("id")))
     met = ends.join(texts, F.col("key") == F.col("id")).select("a", "b", (F.col("key") == F.col("b")).alias("right"), "text")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +406,7 @@ def verify(rows: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataF
             if last is not None and any(_similar(x, y, percent) for x in sets[False] for y in sets[True]):
                 out.append(last)
 
-        for batch in batches:
+        for batch in pieces(batches):
             for a, b, right, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if (a, b) != last:
                     close()

@@ -216,20 +216,73 @@ def test_minhash(spark, docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
-def test_minhash_enclosing_regions():
-    # 25 rows of one region; the last one leaves the others at the next component and is alone there
-    sig = np.ones((25, 9), np.int64)
-    sig[24, 4:] = 2
+def test_minhash_regions():
     pairs = lambda found: {(int(a), int(b)) for i, j in found for a, b in zip(i, j)}
-    got = pairs(minhash._region_pairs(sig, 4, 24, 3, 256))
-    assert got == set(itertools.combinations(range(25), 2))
-    # beyond ``whole``, a row that is alone in its part finds the one that agrees with it most, however far off in order
-    rng = np.random.default_rng(1)
-    sig = np.ones((400, 9), np.int64)
-    sig[:, 4] = np.arange(400)
-    bits = rng.integers(0, 256, (400, 64), np.uint8)
-    bits[399, :50] = bits[150, :50]
-    assert not pairs(minhash._region_pairs(sig, 4, 24, 3, 256)) and (399, 150) in pairs(minhash._enclosing_pairs(sig, bits, 4, 256, 8, 256))
+    # two regions of 3 and 30; the second falls into parts of 10, 2 and 18 by the next component
+    sig = np.array([[1, 0]] * 3 + [[2, 0]] * 10 + [[2, 1]] * 2 + [[2, 2]] * 18)
+    got = pairs(minhash._region_pairs(sig, 1, 12, 1))
+    whole = lambda lo, hi: set(itertools.combinations(range(lo, hi), 2))
+    assert got == whole(0, 3) | whole(3, 13) | whole(13, 15) | {(i, i + 1) for i in range(3, 32)}
+    assert pairs(minhash._region_pairs(sig[:1], 1, 12, 1)) == set()
+
+
+def test_minhash_block_links():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 40).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[: rng.integers(20, 40)], rng.integers(0, 2**63, rng.integers(0, 12)).astype(np.uint64)])) for _ in range(60)]
+    near = lambda x, y: 100 * len(np.intersect1d(x, y)) >= 75 * len(np.union1d(x, y))
+
+    def components(links, n):
+        c = list(range(n))
+        for _ in range(n):
+            for i, j in links:
+                c[i] = c[j] = min(c[i], c[j])
+        return c
+
+    links = [(i, j) for i, j in itertools.combinations(range(60), 2) if near(sets[i], sets[j])]
+    one = np.zeros(60, int)
+    got = minhash.block_links(sets, np.arange(60), one, 75)
+    assert set(map(tuple, map(sorted, got))) <= set(links) and components(got, 60) == components(links, 60)
+    side = np.arange(60) % 2
+    across = [(i, j) for i, j in links if side[i] != side[j]]
+    assert components(minhash.block_links(sets, np.arange(60), side, 75), 60) == components(across, 60)
+    assert minhash.block_links(sets, one, one, 75) == []
+
+
+def test_minhash_crowd(spark):
+    """A template that 150 texts share at similarities about the limit, in blocks of 8 nodes: components equal brute force."""
+    rng = random.Random(11)
+    template = [f"w{k}" for k in range(60)]
+    texts = [" ".join(template[: rng.randint(36, 60)] + [f"x{i}{k}" for k in range(rng.randint(0, 14))]) for i in range(150)]
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in map(str.split, texts)]
+    comp = list(range(150))
+    links = [(i, j) for i, j in itertools.combinations(range(150), 2) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    for _ in comp:
+        for i, j in links:
+            comp[i] = comp[j] = min(comp[i], comp[j])
+    assert 5 < len(set(comp)) < 140
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for options in ({}, {"crowd": 4, "block": 8, "neighbours": 1}):
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, **options).collect()}
+        assert [got[i] for i in range(150)] == comp
+
+
+def test_minhash_id_in_several_classes(spark):
+    rows = [(5, "a b c d e f g h"), (9, "a b c d e f g h"), (9, "quite another text of nine words it is here"), (12, "quite another text of nine words it is here"), (1, "x y z")]
+    got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1), (5, 5), (9, 5), (9, 5), (12, 5)]
+
+
+@pytest.mark.parametrize("shared", range(3, 9))
+def test_minhash_recall_by_depth(shared):
+    """The share of pairs at the limit that some tree brings into one region of ``shared`` components (a region is at least three deep)."""
+    rng = np.random.default_rng(shared)
+    order = minhash.orders(24, 8, 64)
+    agree = rng.random((20_000, 64)) < 0.75
+    found = np.any([agree[:, o[:shared]].all(1) for o in order], 0).mean()
+    assert found == pytest.approx(1 - (1 - 0.75**shared) ** 24, abs=0.08)  # the trees share components, so deep orders are less independent
+    if shared == 3:
+        assert found > 0.999
 
 
 def test_components(spark):
