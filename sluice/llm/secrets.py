@@ -18,7 +18,7 @@ BASE = [
 #: Words of placeholders and alphabets in order.
 WORDS = r"(?i:example|placeholder|changeme|dummy|sample|your[_-]|xxxx|0123456789|abcdefgh)"
 #: Candidate strings of the entropy scan: runs of the characters that keys are written in, cut at `WORDS` (which match as themselves).
-CANDIDATE = WORDS + r"|(?:(?!" + WORDS + r")[A-Za-z0-9+/_=-]){20,}"
+CANDIDATE = WORDS + r"|(?:(?!" + WORDS + r")[A-Za-z0-9+/_=-]){20,}+"
 #: Their pieces between signs, so that a name before a key does not decide on the key.
 PIECE = r"[A-Za-z0-9]{20,}"
 #: name -> (what a whole window is made of, what the candidate must hold besides, least entropy in bits over the window).
@@ -39,10 +39,35 @@ ALLOWED = [
     WORDS,
     r"^[A-Z]{2}[0-9]{13,32}$",
     r"^[A-Z]{2}[0-9]{2}[A-Z]{1,4}[0-9]{10,26}$",
-    r"^[/_-]?[A-Za-z]*[0-9]{0,4}([/_-][A-Za-z]*[0-9]{0,4})*[/_=-]?$",
+    r"^[/_-]?+[A-Za-z]*+[0-9]{0,4}+(?:[/_-][A-Za-z]*+[0-9]{0,4}+)*+=?$",
 ]
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once: inside a lambda only variables are not computed again at each step."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, join, zero: Column) -> Column:
+    """For each element what ``join`` makes of all elements before it.
+
+    An accumulator that holds an array is copied at each step, so this goes in two levels: over blocks of about the
+    root of the size, and inside a block.
+    """
+    total = lambda part: F.aggregate(part, zero, join)
+
+    def blocks(v: Column) -> Column:
+        def inside(step: Column) -> Column:
+            sums = F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / step).cast("int")), lambda b: total(F.slice(v, b * step + 1, step)))
+            before = lambda s: F.transform(s, lambda _, b: total(F.slice(s, F.lit(1), b)))
+            each = lambda p: F.transform(v, lambda _, i: join(F.get(p, F.floor(i / step).cast("int")), total(F.slice(v, i - i % step + 1, i % step))))
+            return let(sums, lambda s: let(before(s), each))
+
+        return let(F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1)), inside)
+
+    return let(values, blocks)
+
+
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """All leftmost non-overlapping matches as array<struct<s, e, m, g>>: code points, end exclusive, the match, its group.
 
@@ -52,73 +77,83 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     between = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, p, F.lit(0))
     groups = F.regexp_extract_all(text, p, F.lit(group)) if group else found
-    rows = F.arrays_zip(found.alias("m"), groups.alias("g"), F.transform(F.slice(between, 1, F.size(found)), F.length).alias("gap"))
-    none = F.array().cast("array<struct<s:int,e:int,m:string,g:string>>")
-    walked = F.aggregate(
-        rows,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("s"), (acc["at"] + x["gap"] + F.length(x["m"])).alias("e"), x["m"].alias("m"), x["g"].alias("g")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+
+    def placed(rows: Column) -> Column:
+        sizes = F.transform(rows, lambda x: x["gap"] + F.length(x["m"]))
+        both = F.arrays_zip(rows.alias("row"), running(sizes, lambda x, y: x + y, F.lit(0)).alias("before"))
+        start = lambda x: x["before"] + x["row"]["gap"]
+        return F.transform(both, lambda x: F.struct(start(x).alias("s"), (start(x) + F.length(x["row"]["m"])).alias("e"), x["row"]["m"].alias("m"), x["row"]["g"].alias("g")))
+
+    gaps = lambda m: F.transform(F.slice(between, F.lit(1), F.size(m)), F.length)
+    walked = let(found, lambda m: let(F.arrays_zip(m.alias("m"), groups.alias("g"), gaps(m).alias("gap")), placed))
+    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast("array<struct<s:int,e:int,m:string,g:string>>"))
 
 
 def window_entropy(s: Column, window: int) -> Column:
     """The largest Shannon entropy in bits of any ``window`` characters in a row of ``s``.
 
     The window slides by one character at a time.  Its state is the count of every character in it and the
-    sum of count * log2(count); a step changes the counts and the two terms of the character that comes and the one that goes.
+    sum of count * log2(count); a step changes the counts and the two terms of the character that comes and the
+    one that goes.  Nothing else is carried along, so the cost of a step does not depend on the string's length.
     """
-    chars = F.filter(F.split(s, ""), lambda c: c != "")
     term = lambda n: F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
-    alphabet = F.array_distinct(chars)
-    codes = F.transform(chars, lambda c: F.array_position(alphabet, c).cast("int"))
-
-    def step(state: Column, i: Column) -> Column:
-        codes_, counts = state["codes"], state["counts"]
-        new, old = F.get(codes_, i), F.when(i >= window, F.get(codes_, i - window)).otherwise(F.lit(0))
-        changes = new != old
-        up, down = F.get(counts, new - 1), F.get(counts, old - 1)
-        gained = F.when(changes, term(up + 1) - term(up)).otherwise(F.lit(0.0))
-        lost = F.when(changes & (old > 0), term(down - 1) - term(down)).otherwise(F.lit(0.0))
-        total = state["total"] + gained + lost
-        return F.struct(
-            codes_.alias("codes"),
-            F.when(changes, F.transform(counts, lambda n, k: n + (k == new - 1).cast("int") - (k == old - 1).cast("int"))).otherwise(counts).alias("counts"),
-            total.alias("total"),
-            F.when(i >= window - 1, F.least(state["least"], total)).otherwise(state["least"]).alias("least"),
-        )
-
-    start = F.struct(codes.alias("codes"), F.transform(alphabet, lambda _: F.lit(0)).alias("counts"), F.lit(0.0).alias("total"), F.lit(1e9).alias("least"))
-    steps = F.sequence(F.lit(0), F.greatest(F.length(s) - 1, F.lit(0)))
-    # H = log2(w) - sum(c log2 c) / w
-    return F.aggregate(steps, start, step, lambda st: F.log2(F.lit(float(window))) - st["least"] / F.lit(float(window)))
+
+    def slide(codes: Column, size: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            counts = state["counts"]
+            new, old = F.get(codes, i), F.when(i >= window, F.get(codes, i - window)).otherwise(F.lit(0))
+            changes = new != old
+            up, down = F.get(counts, new - 1), F.get(counts, old - 1)
+            gained = F.when(changes, term(up + 1) - term(up)).otherwise(F.lit(0.0))
+            lost = F.when(changes & (old > 0), term(down - 1) - term(down)).otherwise(F.lit(0.0))
+            total = state["total"] + gained + lost
+            return F.struct(
+                F.when(changes, F.transform(counts, lambda n, k: n + (k == new - 1).cast("int") - (k == old - 1).cast("int"))).otherwise(counts).alias("counts"),
+                total.alias("total"),
+                F.when(i >= window - 1, F.least(state["least"], total)).otherwise(state["least"]).alias("least"),
+            )
+
+        start = F.struct(F.array_repeat(F.lit(0), size).alias("counts"), F.lit(0.0).alias("total"), F.lit(1e9).alias("least"))
+        steps = F.sequence(F.lit(0), F.greatest(F.size(codes) - 1, F.lit(0)))
+        # H = log2(w) - sum(c log2 c) / w
+        return F.aggregate(steps, start, step, lambda st: F.log2(F.lit(float(window))) - st["least"] / F.lit(float(window)))
+
+    coded = lambda chars, alphabet: let(F.transform(chars, lambda c: F.array_position(alphabet, c).cast("int")), lambda codes: slide(codes, F.size(alphabet)))
+    return let(F.filter(F.split(s, ""), lambda c: c != ""), lambda chars: let(F.array_distinct(chars), lambda alphabet: coded(chars, alphabet)))
 
 
 def entropy_matches(text: Column, window: int = 20, classes: dict | None = None, allowed: list[str] | None = None, piece_classes: dict | None = None) -> Column:
     """array<struct<k, s, e, o>>: candidate strings, and pieces of others, of which some window is as mixed as random text of its class.
 
-    The allow-list is matched against the string or piece itself.
+    The allow-list is matched against the string or piece itself, before any entropy is computed.
     """
     allowed = ALLOWED if allowed is None else allowed
 
     def suspicious(kinds: dict):
         def test(x: Column) -> Column:
-            ok = F.lit(False)
+            of = lambda pattern, needs: x["m"].rlike(pattern) & x["m"].rlike("^" + needs)
+            some, mixed, free = F.lit(False), F.lit(False), F.lit(True)
             for pattern, needs, least in kinds.values():
-                ok = ok | F.when(x["m"].rlike(pattern) & x["m"].rlike("^" + needs), window_entropy(x["m"], window) >= least).otherwise(F.lit(False))
+                some = some | of(pattern, needs)
+                mixed = mixed | F.when(of(pattern, needs), window_entropy(x["m"], window) >= least).otherwise(F.lit(False))
             for pattern in allowed:
-                ok = ~x["m"].rlike(pattern) & ok
-            return (F.length(x["m"]) >= 20) & ok
+                free = free & ~x["m"].rlike(pattern)
+            return F.when((F.length(x["m"]) >= 20) & some & free, mixed).otherwise(F.lit(False))
 
         return test
 
     whole = _spans(F.filter(matches(text, CANDIDATE), suspicious(classes or CLASSES)), "entropy", len(BASE))
-    pieces = _spans(F.filter(matches(text, PIECE), suspicious(piece_classes or PIECE_CLASSES)), "entropy", len(BASE))
-    return F.concat(whole, F.filter(pieces, lambda x: ~F.exists(whole, lambda y: (y["s"] <= x["s"]) & (y["e"] >= x["e"]))))
+    pieces = _spans(F.filter(matches(text, PIECE), suspicious(piece_classes or PIECE_CLASSES)), "entropy", len(BASE) + 1)
+    return F.concat(whole, pieces)
+
+
+def uncovered(spans: Column) -> Column:
+    """Of spans by start, then order: those that no span of a lower order before them covers; the fixed patterns' all stay."""
+    ends = lambda below: running(F.transform(spans, lambda x: F.when(x["o"] < below, x["e"]).otherwise(F.lit(0))), lambda x, y: F.greatest(x, y), F.lit(0))
+    n = len(BASE)
+    zipped = F.arrays_zip(spans.alias("x"), ends(n).alias("base"), ends(n + 1).alias("whole"))
+    stays = lambda z: (z["x"]["o"] < n) | (F.when(z["x"]["o"] == n, z["base"]).otherwise(z["whole"]) < z["x"]["e"])
+    return F.transform(F.filter(zipped, stays), lambda z: z["x"])
 
 
 def _at_least(least: int):
@@ -144,8 +179,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         parts.append(_spans(F.filter(matches(text, pattern, group), _at_least(least)), kind, order))
     by_start = lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(a["o"] - b["o"])
     found = rows.withColumn("base", F.array_sort(F.concat(*parts), by_start)).withColumn("more", entropy_matches(text, window))
-    fresh = F.filter("more", lambda x: ~F.exists(F.col("base"), lambda y: (y["s"] <= x["s"]) & (y["e"] >= x["e"])))
-    merged = F.when(F.size("more") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", fresh), by_start))
+    merged = F.when(F.size("more") == 0, F.col("base")).otherwise(let(F.array_sort(F.concat("base", "more"), by_start), uncovered))
     return found.select("row", "base", merged.alias("all"))
 
 
@@ -161,16 +195,16 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", id_col: str = "doc_id") -> DataFrame:
-    """The rows with every secret replaced by ``mark``; overlapping spans become one mark, null texts stay null."""
+    """The rows with every secret replaced by ``mark``; overlapping spans become one mark, null and empty texts stay as they are.
+
+    Repeated rows come back one by one; an empty table gives an empty result; columns may have any names.
+    """
     columns = docs.columns
     found = find_secrets(docs, id_col, text_col, keep=[c for c in columns if c != id_col])
     text = F.col(f"row.`{text_col}`")
-    cut = F.aggregate(
-        F.col("all"),
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda a, x: F.when(x["s"] >= a["at"], F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, x["s"] - a["at"]), F.lit(mark)).alias("out"), x["e"].alias("at"))).otherwise(
-            F.struct(a["out"].alias("out"), F.greatest(a["at"], x["e"]).alias("at"))
-        ),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
-    )
+    reached = running(F.transform("all", lambda x: x["e"]), lambda x, y: F.greatest(x, y), F.lit(0))
+    both = F.arrays_zip(F.col("all").alias("x"), reached.alias("at"))
+    piece = lambda z: F.when(z["x"]["s"] >= z["at"], F.concat(F.substring(text, z["at"] + 1, z["x"]["s"] - z["at"]), F.lit(mark))).otherwise(F.lit(""))
+    end = F.array_max(F.transform("all", lambda x: x["e"]))
+    cut = F.concat(F.array_join(F.transform(both, piece), ""), F.substring(text, end + 1, F.length(text)))
     return found.select(*(F.when(F.size("all") > 0, cut).otherwise(text).alias(c) if c == text_col else F.col(f"row.`{c}`") for c in columns))
