@@ -44,7 +44,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], max_copies: int) -> Data
 
 
 def rate(lam: Column, size: Column, max_copies: int) -> Column:
-    return F.least(F.exp(F.least(lam * size, F.lit(5.0))), F.lit(float(max_copies)))
+    # beyond the limit's logarithm the exponential is cut off, so it cannot overflow
+    return F.least(F.exp(F.least(lam * size, F.log(F.lit(float(max_copies))) + 1)), F.lit(float(max_copies)))
 
 
 def solve(table: DataFrame, goals: DataFrame, max_copies: int, steps: int, tolerance: float, few: bool) -> DataFrame:
@@ -97,27 +98,35 @@ def mix(
     tolerance: float = 1e-9,
     rows_per_group: int = 20_000,
     keep: list[str] | None = None,
+    nest: bool = False,
 ) -> DataFrame:
     """For each row: id, the columns in ``keep``, size, source_size, target, copies, taken (= copies * size).
 
+    ``nest`` leaves id and ``keep`` in one struct ``row``, whatever their names.
+
     ``size`` is the number of words (null and empty texts: 0).  No document is copied more than ``max_copies``
     times; documents without words get no copy.  A null source is a source of its own.  An empty table gives
     an empty result; rows with equal or null ids are rounded one by one, each in its place.
 
-    Ranks within a (source, size) group are made in salted parts of about ``rows_per_group`` rows at most, so a
-    group that holds most of the table is spread over tasks.  One pass over the texts; afterwards only ids,
-    sources and sizes move (with ``keep``, those columns too).
+    Ranks within a (source, size) group of more than ``rows_per_group`` rows are made in salted parts of about so
+    many, and sums run first over a source's sizes, then over a size's parts, so a source or a size that holds most of
+    the table is spread over tasks.  Rows are told apart by a hash of their id and text (and, where these agree, of
+    their other columns but maps), so reruns agree.  One pass over the texts; afterwards only ids, sources and sizes
+    move (with ``keep``, those columns too).
     """
     cols = [id_col, *(keep or [])]
     row = F.struct(*(F.col(f"`{c}`").alias(c) for c in cols)).alias("row")
     size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = checkpoint(docs.select(row, F.col(f"`{source_col}`").cast("string").alias("source"), size.alias("size"), F.xxhash64(F.col(f"`{id_col}`")).alias("h")))
-
-    n_rows = sized.count()
-    salts = max(16, -(-n_rows // rows_per_group))
-    sized = sized.withColumn("salt", F.pmod(F.col("h"), F.lit(salts)))
+    hashed = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    h = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    sized = checkpoint(docs.select(row, F.col(f"`{source_col}`").cast("string").alias("source"), size.alias("size"), h.alias("h"), hashed.alias("h2")))
+
+    groups = checkpoint(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
+    table = groups.filter("size > 0")
+    big = groups.filter(F.col("n") > rows_per_group).select(F.col("source").alias("s"), F.col("size").alias("z"), F.ceil(F.col("n") / rows_per_group).cast("int").alias("salts"))
+    salted = sized.join(big, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), "left")
+    sized = salted.withColumn("salt", F.pmod(F.col("h"), F.coalesce("salts", F.lit(1))).cast("int")).select("row", "source", "size", "h", "h2", "salt")
     parts = checkpoint(sized.groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("n")))
-    table = checkpoint(parts.groupBy("source", "size").agg(F.sum("n").alias("n")).filter("size > 0"))
     sizes = parts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goals = targets(sizes, weights, max_copies).withColumnRenamed("source", "of")
     goals = checkpoint(goals)
@@ -127,18 +136,22 @@ def mix(
     # the fraction of a copy that each part is owed, summed along the sizes; copies fall where the sum passes a half
     r = F.when(F.col("full"), F.lit(float(max_copies))).otherwise(rate(F.col("lam"), F.col("size").cast("double"), max_copies))
     r = F.when(F.col("size") > 0, r).otherwise(F.lit(0.0))
-    along = W.partitionBy("of").orderBy(F.col("size").desc(), "salt")
-    rated = parts.join(F.broadcast(solved) if few else solved, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", r.cast("decimal(20,12)"))
+    rated = groups.join(F.broadcast(solved) if few else solved, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", r.cast("decimal(20,12)"))
     rated = rated.withColumn("part", F.col("rate") - F.floor("rate"))
-    rated = rated.withColumn("start", F.sum(F.col("part") * F.col("n")).over(along) - F.col("part") * F.col("n"))
-    plan = rated.select(F.col("of"), F.col("size").alias("size_of"), F.col("salt").alias("salt_of"), "source_size", "target", "rate", "part", "start")
-
-    place = F.row_number().over(W.partitionBy("source", "size", "salt").orderBy("h", "row")) - 1
+    owed = F.col("part") * F.col("n")
+    along = W.partitionBy("of").orderBy(F.col("size").desc())
+    rated = rated.withColumn("first", F.sum(owed).over(along) - owed).select("of", F.col("size").alias("size_of"), "source_size", "target", "rate", "part", "first")
+    # inside a size, its parts one after the other
+    inside = W.partitionBy("source", "size").orderBy("salt")
+    ahead = parts.select(F.col("source").alias("part_of"), F.col("size").alias("part_size"), "salt", (F.sum("n").over(inside) - F.col("n")).alias("ahead")).withColumnRenamed("salt", "salt_of")
+    plan = ahead.join(rated, F.col("part_of").eqNullSafe(F.col("of")) & (F.col("part_size") == F.col("size_of"))).withColumn("start", F.col("first") + F.col("part") * F.col("ahead")).drop("part_of", "part_size")
+
+    place = F.row_number().over(W.partitionBy("source", "size", "salt").orderBy("h", "h2")) - 1
     joined = sized.withColumn("place", place).join(plan, F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("size_of")) & (F.col("salt") == F.col("salt_of")))
     at = F.col("start") + F.col("part") * F.col("place")
     half = F.lit("0.5").cast("decimal(2,1)")
     copies = (F.floor("rate") + F.floor(at + F.col("part") + half) - F.floor(at + half)).cast("long")
-    return joined.select("row.*", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return joined.select("row" if nest else "row.*", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -148,12 +161,8 @@ def digest(docs: DataFrame) -> DataFrame:
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed corpus: each row as often as `mix` copies it, with all its columns.
 
-    Rows are matched to their copies by id and the text's hash; of rows that agree in both, the first stands for all copies.
+    Every row has its own copies, also where rows repeat an id or are wholly equal.  Null and empty texts have no
+    words and are never taken.  An empty table gives an empty result; columns may have any names.
     """
-    stamp = F.xxhash64(F.col(f"`{text_col}`"))
-    ids = docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), stamp.alias("stamp")).alias("key"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{source_col}`").alias("source"))
-    copies = mix(ids, "key", "text", "source", **options).groupBy("key.id", "key.stamp").agg(F.sum("copies").cast("int").alias("copies")).filter("copies > 0")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("i"), stamp.alias("s"))
-    first = rows.withColumn("place", F.row_number().over(W.partitionBy("i", "s").orderBy("s"))).filter("place = 1")
-    taken = first.join(copies, F.col("i").eqNullSafe(F.col("id")) & (F.col("s") == F.col("stamp")))
-    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
+    mixed = mix(docs, id_col, text_col, source_col, keep=[c for c in docs.columns if c != id_col], nest=True, **options).filter("copies > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(*(F.col(f"row.`{c}`") for c in docs.columns))
