@@ -300,20 +300,23 @@ def near_duplicates(
     found = small.union(ranged.mapInArrow(pair_large, kinds)).filter("a <> b")
     candidates = checkpoint(found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("agree").alias("agree")))
 
+    # the texts that any round needs, fetched once
+    needed = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).union(crowds.select("node"))
+    texts = checkpoint(_texts(rows, needed))
     # round 1: each node and its likeliest smaller partner
     first = candidates.groupBy("b").agg(F.max_by("a", F.struct("agree", F.hash("a", "b"))).alias("a")).select("a", "b")
-    links = checkpoint(verify(rows, first, percent, width).union(ties))
+    links = checkpoint(verify(texts, first, percent, width).union(ties))
     labels = checkpoint(components(links))
     # round 2: candidates that round 1 has not brought together
     side = lambda c: labels.select(F.col("node").alias(f"n{c}"), F.col("component").alias(f"c{c}"))
     apart = candidates.join(side("a"), F.col("a") == F.col("na"), "left").join(side("b"), F.col("b") == F.col("nb"), "left")
     apart = apart.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).filter("ca <> cb").join(first.select(F.col("a").alias("fa"), F.col("b").alias("fb")), (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")), "left_anti")
-    more = checkpoint(verify(rows, apart.select("a", "b"), percent, width))
+    more = checkpoint(verify(texts, apart.select("a", "b"), percent, width))
     if not more.isEmpty():
         links = links.union(more)
         labels = checkpoint(components(links))
     # round 3: what large regions hold besides
-    more = checkpoint(_crowd_links(rows, crowds.select("region", "node"), labels, signed, percent, width, block, block_shingles, parts))
+    more = checkpoint(_crowd_links(texts, crowds.select("region", "node"), labels, signed, percent, width, block, block_shingles, parts))
     if not more.isEmpty():
         labels = components(links.union(more))
 
@@ -326,7 +329,7 @@ def near_duplicates(
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def _crowd_links(rows: DataFrame, crowds: DataFrame, labels: DataFrame, signed: DataFrame, percent: int, width: int, block: int, block_shingles: int, parts: int) -> DataFrame:
+def _crowd_links(texts: DataFrame, crowds: DataFrame, labels: DataFrame, signed: DataFrame, percent: int, width: int, block: int, block_shingles: int, parts: int) -> DataFrame:
     """(a, b): links between nodes of one region in ``crowds`` (region, node) that lie in different components, enough to join these.
 
     Regions in blocks, by the number of their nodes and shingles; a pair of blocks is one unit of work.
@@ -344,8 +347,8 @@ def _crowd_links(rows: DataFrame, crowds: DataFrame, labels: DataFrame, signed:
         for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, width).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["of", "set"])
 
-    texts = _texts(rows, placed.select(F.col("node").alias("id")))
-    sets = texts.mapInArrow(cut, f"of {kind.simpleString()}, set binary").filter("length(set) > 0")
+    wanted = texts.join(placed.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+    sets = wanted.mapInArrow(cut, f"of {kind.simpleString()}, set binary").filter("length(set) > 0")
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
     work = placed.select("region", "block", "node", "component", F.explode(meets).alias("m")).select("region", F.col("m.x").alias("x"), F.col("m.y").alias("y"), "block", "node", "component")
     units = work.join(sets, F.col("node") == F.col("of")).select("region", "x", "y", "block", "node", "component", "set")
@@ -376,9 +379,16 @@ def _crowd_links(rows: DataFrame, crowds: DataFrame, labels: DataFrame, signed:
     return units.repartition(parts, "region", "x", "y").sortWithinPartitions("region", "x", "y").mapInArrow(compare, f"a {kind.simpleString()}, b {kind.simpleString()}")
 
 
+#: Up to so many ids (8 bytes each, as numbers) are sent to all executors, so that texts need no shuffle; beyond, they are joined by shuffle.
+_BROADCAST_IDS = 4_000_000
+
+
 def _texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, text) of the given ids, rows that repeat both once."""
-    return rows.filter("id is not null").join(ids.distinct(), "id", "left_semi").groupBy("id", F.md5("text").alias("digest")).agg(F.first("text").alias("text")).select("id", "text")
+    ids = checkpoint(ids.distinct())
+    if ids.count() <= _BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return rows.filter("id is not null").join(ids, "id", "left_semi").groupBy("id", F.md5("text").alias("digest")).agg(F.first("text").alias("text")).select("id", "text")
 
 
 def _least_agreement(n: int, percent: int) -> int:
@@ -387,16 +397,14 @@ def _least_agreement(n: int, percent: int) -> int:
     return int(n * p - 5 * (n * p * (1 - p)) ** 0.5)
 
 
-def verify(rows: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the limit; ``rows`` holds (id, text).
+def verify(texts: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the limit; ``texts`` holds (id, text).
 
-    Texts go to their pairs in two steps, so that a text in many pairs is copied only at the second; there the
-    two texts of a pair meet, spread by pair.
+    A text is copied once for each of its pairs; the two texts of a pair meet in a task, spread by pair.
     """
-    spark = rows.sparkSession
+    spark = texts.sparkSession
     kind = pairs.schema["a"].dataType.simpleString()
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key"), "a", "b")
-    texts = _texts(rows, ends.select(F.col("key").alias("id")))
     met = ends.join(texts, F.col("key") == F.col("id")).select("a", "b", (F.col("key") == F.col("b")).alias("right"), "text")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,8 +2,10 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -113,6 +115,35 @@ def test_secret_pieces(spark):
     assert [k for i, (_, k) in enumerate(found) if k in got[i] or "[SECRET]" not in got[i]] == []
 
 
+def test_secrets_in_long_runs(spark):
+    """Rules of 100,000 signs, one candidate of 100,000 characters, 10,000 matches in a text: right, and in seconds."""
+    rng = random.Random(6)
+    blob = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(100_000))
+    texts = ["-" * 100_000, "=/_-" * 25_000, blob, "token=abcdef " * 10_000, "é " + "word-word/" * 5_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.digest(df).collect()}
+    assert [got[i][1:5] for i in range(5)] == [secret_base(t) for t in texts]
+    assert got[0].spans == got[1].spans == got[4].spans == "" and got[2].spans == "entropy:0:100000"
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert clean[3] == "[SECRET] " * 10_000 and clean[2] == "[SECRET]" and clean[0] == texts[0]
+    assert time.time() - began < 90
+
+
+def test_secret_spans_in_order(spark):
+    """Overlapping and nested spans against a quadratic version."""
+    rng = random.Random(12)
+    from pyspark.sql import functions as F
+
+    rows = [[(s := rng.randint(0, 60), s + rng.randint(1, 30), rng.randint(0, 4)) for _ in range(rng.randint(0, 40))] for _ in range(30)]
+    rows = [sorted(r, key=lambda x: (x[0], x[2])) for r in rows]
+    df = spark.createDataFrame(list(enumerate([[("k", *x) for x in r] for r in rows])), "i int, a array<struct<k:string,s:int,e:int,o:int>>")
+    got = {r.i: [tuple(x)[1:] for x in r.b] for r in df.select("i", secrets.uncovered(F.col("a")).alias("b")).collect()}
+    for i, r in enumerate(rows):
+        covers = lambda k, o: any(y[1] >= r[k][1] and y[2] < o for y in r[:k])
+        assert got[i] == [x for k, x in enumerate(r) if x[2] < 3 or not covers(k, 3 if x[2] == 3 else 4)]
+
+
 def test_mixing(docs, empty, spark):
     got = mixing.mix(docs).collect()
     size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for i, r in enumerate(rows())}
@@ -147,10 +178,42 @@ def test_mixing(docs, empty, spark):
     assert sorted((g["size"], g.taken) for g in again.collect()) == sorted((g["size"], g.taken) for g in mixing.mix(docs, rows_per_group=1).collect())
     assert mixing.mix(empty).count() == 0
     assert mixing.take(docs).columns == docs.columns and mixing.take(docs).count() == sum(g.copies for g in got)
-    # the rates solve the dual: they agree with a bisection
-    flat = spark.createDataFrame([(i, " ".join("w" * (i % 9 + 1)), f"s{i % 2}") for i in range(400)], "doc_id long, text string, source string")
-    sums = {r.target: r.s for r in mixing.mix(flat).groupBy("target").agg({"taken": "sum"}).withColumnRenamed("sum(taken)", "s").collect()}
-    assert all(abs(s - t) <= 9 for t, s in sums.items())
+
+
+def test_mixing_rates_by_bisection(spark):
+    """The dual's unknown of each source against a bisection; taken words follow its rates."""
+    rng = random.Random(3)
+    rows = [(i, " ".join("w" * rng.choice([1, 2, 3, 7, 20])), ["a", "b", "c"][i % 10 // 4]) for i in range(600)]
+    sizes = defaultdict(list)
+    for _, t, s in rows:
+        sizes[s].append(len(t.split()))
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), keep=["source"], rows_per_group=10).collect()
+    for s, own in sizes.items():
+        target = next(g.target for g in got if g.source == s)
+        lo, hi = -5.0, math.log(3.0)
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(n * min(3.0, math.exp(mid * n)) for n in own) < target else (lo, mid)
+        taken = [g for g in got if g.source == s]
+        assert abs(sum(g.taken for g in taken) - target) <= max(own) / 2 + 1
+        for n in set(own):  # copies of a size: its rate times its documents, within one document
+            assert abs(sum(g.copies for g in taken if g["size"] == n) - own.count(n) * min(3.0, math.exp(lo * n))) <= 1.001
+
+
+def test_mixing_takes_rows_of_their_own_source(spark):
+    rows = [(1, "a b c d", "x", 1), (1, "a b c d", "y", 2), (1, "a b c d", "x", 3), (2, "e f", "x", 4), (None, "g h", "y", 5), (None, "g h", "y", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    want = Counter()
+    for r in mixing.mix(df, keep=["source", "n_chars"]).collect():
+        want[r.doc_id, r.source, r.n_chars] += r.copies
+    for frame in (df, df.repartition(4)):
+        assert Counter((r.doc_id, r.source, r.n_chars) for r in mixing.take(frame).collect()) == +want
+
+
+def test_mixing_beyond_many_copies(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (2, "b " * 1000, "y")], "doc_id long, text string, source string")
+    taken = {r.doc_id: r.taken for r in mixing.mix(df, max_copies=600, weights=(1, 1)).collect()}
+    assert taken[1] in (500, 501)  # half of 1,001 words, all copies of one word
 
 
 def quality_base(t):
@@ -373,6 +436,13 @@ def test_pii(docs, empty):
     for _ in range(300):
         t = "".join(rng.choice(["a", ".", "@", "-", "b.c", " ", "1", "+", "é"]) for _ in range(30))
         assert len(list(pii.emails(t))) == pii_base(t)[0]
+        dotted = "".join(rng.choice(["1", "22", "255", "256", "0099", ".", ".", "..", " "]) for _ in range(40))
+        assert sha(",".join(f"{k}:{a}:{b}" for k, a, b in pii.base_spans(dotted))) == pii_base(dotted)[4]
+    began = time.time()
+    assert pii.base_spans("1" * 200_000 + ".2.3 x" + ".9" * 50_000) is not None and time.time() - began < 10
+    kinds = lambda t: [k for k, *_ in pii.find(t)[1]]
+    assert kinds("pay to GB82WEST12345698765432") == kinds("IBAN GB82WEST12345698765432") == ["iban"] and kinds("serial GB82WEST12345698765432") == []
+    assert kinds("ssn 078-05-1120") == ["ssn"] and kinds("078-05-1120") == []
     assert pii.find_pii(docs).count() == len(rows()) and pii.find_pii(empty).count() == pii.digest(empty).count() == 0
 
 
