@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The units that limits come in, by what their text holds; the first that fits counts.
-UNITS = [("mg/l", r"mg\s*/\s*l"), ("m3/day", r"m3\s*/\s*d|cmd|cum/day"), ("kl/day", r"kld|kl\s*/\s*d"), ("degC", r"deg|°c"), ("pH", r"\bph\b")]
-#: Words that say nothing about which company a name means.
-STOP_WORDS = ["ltd", "limited", "pvt", "private", "industries", "india", "the", "and", "company", "unit"]
-QUALITY_NAMES = {"Raw": "Valid", "Error": "Error", "O": "Out of Range"}
+UNITS = [("mg/Nm3", r"mg/\s*nm[3³]"), ("mg/l", r"mg/\s*l"), ("pH", "ph"), ("KLD", "kld"), ("ppm", "ppm"), ("kg/day", r"kg/\s*day")]
+#: Words that say nothing about which company a name means, in keyword searches and in matching two names.
+STOP_WORDS = ["pvt", "ltd", "private", "limited", "industries", "chemical", "chemicals", "india", "co", "company", "corp", "corporation", "unit", "and", "sons", "export"]
+COMMON_WORDS = [
+    "limited", "private", "ltd", "pvt", "corp", "co", "india", "pharmaceuticals", "pharmaceutical", "chemicals", "chemical", "industries", "industry", "company",
+    "sciences", "science", "labs", "laboratories", "laboratory", "m/s", "unit", "formerly", "known", "know", "as", "formarly", "formaly",
+]
+#: What the quality codes of scraped cells mean.
+QUALITY_NAMES = {
+    "U": "Raw", "V": "Validated", "E": "Error", "O": "Out of Range", "N": "Negative", "I": "Invalid", "M": "Maintenance",
+    "C": "Span Calibration", "Z": "Zero Calibration", "X": "Expected Calibration", "Y": "Dynamic Limit", "input": "Manual Input",
+}
 
 
 def standard_parameter(name: Column) -> Column:
@@ -25,27 +35,43 @@ def standard_parameter(name: Column) -> Column:
 
 
 def name_tokens(name: Column, least: int = 3) -> Column:
-    """Distinct lower-case words of a name, without short and meaningless ones."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(name), r"[^a-z0-9]+", " ")), " ")
+    """Distinct lower-case keywords of a name: without a leading "M/s", what stands in brackets, short and meaningless words."""
+    bare = F.regexp_replace(F.regexp_replace(name, r"(?i)^m/s\.?\s*", ""), r"\(.*?\)", "")
+    words = F.split(F.trim(F.regexp_replace(F.lower(F.regexp_replace(bare, r"[^a-zA-Z0-9\s]", " ")), r"\s+", " ")), " ")
     return F.array_except(F.filter(words, lambda w: F.length(w) >= least), F.array(*map(F.lit, STOP_WORDS)))
 
 
+def plain_name(name: Column) -> Column:
+    """A name as it is compared with others: lower case, without "m/s", dots and commas, hyphens as blanks."""
+    return F.trim(F.replace(F.regexp_replace(F.replace(F.lower(name), F.lit("m/s"), F.lit("")), r"[.,]", ""), F.lit("-"), F.lit(" ")))
+
+
+def plain_tokens(name: Column, least: int = 3) -> Column:
+    """The words of a plain name that say which company it is, in order and as often as they occur."""
+    words = F.split(plain_name(name), r"\s+")
+    return F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(*COMMON_WORDS))
+
+
 def cell(text: Column) -> Column:
-    """struct<value, code> of a cell such as ``[37.61, 'U']``; ``'NA'`` is a null value, null if it is no cell."""
-    value = F.regexp_extract(text, r"^\[\s*'?([^,']*)'?\s*,", 1)
-    code = F.regexp_extract(text, r",\s*'([^']*)'\s*\]$", 1)
-    return F.when(text.rlike(r"^\[.*,.*\]$"), F.struct(value.try_cast("double").alias("value"), F.nullif(code, F.lit("")).alias("code")))
+    """struct<value, code> of a cell such as ``[37.61, 'U']``; null if it is none: other than two parts, no number, ``'NA'``."""
+    parts = F.split(F.regexp_replace(F.trim(text), r"^[\[\]]+|[\[\]]+$", ""), ",")
+    value = F.trim(F.get(parts, F.lit(0))).try_cast("double")
+    code = F.regexp_replace(F.get(parts, F.lit(1)), r"^[ '\"]+|[ '\"]+$", "")
+    return F.when((F.size(parts) == 2) & value.isNotNull(), F.struct(value.alias("value"), code.alias("code")))
 
 
 def limit_range(text: Column) -> Column:
-    """struct<low, high> of ``a - b`` or ``a to b``; a single number is a high limit."""
-    pair = r"(-?\d+(?:\.\d+)?)\s*(?:-|–|to)\s*(\d+(?:\.\d+)?)"
-    low, high = (F.regexp_extract(text, pair, k).try_cast("double") for k in (1, 2))
-    single = F.regexp_extract(text, r"(\d+(?:\.\d+)?)", 1).try_cast("double")
-    return F.struct(F.when(text.rlike(pair), low).alias("low"), F.when(text.rlike(pair), high).otherwise(single).alias("high"))
+    """struct<low, high> of ``a - b`` or ``a to b``; otherwise the first number is a high limit.  Commas do not count."""
+    t = F.replace(F.lower(text), F.lit(","), F.lit(""))
+    pair = r"([0-9.]+)\s*(?:to|-)\s*([0-9.]+)"
+    low, high = (F.regexp_extract(t, pair, k).try_cast("double") for k in (1, 2))
+    single = F.regexp_extract(t, r"[0-9.]+", 0).try_cast("double")
+    ranged = low.isNotNull() & high.isNotNull()
+    return F.struct(F.when(ranged, low).alias("low"), F.when(ranged, high).otherwise(single).alias("high"))
 
 
 def unit(text: Column) -> Column:
+    """The unit that a text names, null if none of `UNITS`."""
     out = F.when(F.lit(False), "")
     for name, pattern in UNITS:
         out = out.when(F.lower(text).rlike(pattern), name)
@@ -58,17 +84,17 @@ def labelled_unit(text: Column) -> Column:
 
 
 def any_date(text: Column, default: Column | None = None) -> Column:
-    """A date in ISO or day-first form with dots, slashes or hyphens, else ``default``."""
-    day_first = F.regexp_replace(text, r"^(\d{2})[/.-](\d{2})[/.-](\d{4})$", "$3-$2-$1")
+    """An ISO date, or the first day-first date with dots, slashes or hyphens inside the text, else ``default``."""
+    day_first = F.concat_ws("-", *(F.regexp_extract(text, r"(\d{2})[-/.](\d{2})[-/.](\d{4})", k) for k in (3, 2, 1)))
     found = F.coalesce(F.try_to_date(text, "yyyy-MM-dd"), F.try_to_date(day_first, "yyyy-MM-dd"))
     return F.coalesce(found, default) if default is not None else found
 
 
 def has_all_words(text: Column, words: list[str]) -> Column:
-    """Does every keyword start a word of the text, whatever its case?"""
+    """Is every keyword a whole word of the text, whatever its case?  Keywords are plain text, not patterns."""
     out = F.lit(True)
     for w in words:
-        out = out & text.rlike(rf"(?i)\b{w}")
+        out = out & text.rlike(rf"(?i)\b{re.escape(w)}\b")
     return out
 
 
@@ -105,26 +131,24 @@ def uniform(seed: int, *keys: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
 
 
-#: The kinds of consent, in the order in which their words are looked for.
-CONSENTS = ["consent to operate", "consent to establish", "renewal", "amendment"]
-_DATE = r"\b(\d{2}[/.-]\d{2}[/.-]\d{4})\b"
+#: What a consent calls itself; the first in the text counts.
+_CONSENT = r"(?i)(consent to operate|consent to establish|consent to renewal|cto|cte|renewal of consent)"
+_DATE = r"(\d{2}[-/.]\d{2}[-/.]\d{4})"
 
 
 def consent_metadata(text: Column) -> Column:
     """struct<consent_type, issue_date, valid_from, valid_until> of a consent's text.
 
-    The type is the first keyword that the text holds, else the first of all.  Dates: "dated", "from" and "up to"
-    where they are written; without them the validity starts at the text's first date, else at its issue, and
-    ends at the last date of its first 2,000 characters.
+    Dates follow "date" or "dated", "valid from" and "valid up to".  Without an end, the last date of the first 2,000
+    characters ends the validity if there are two or more, and the first one begins it; a validity without beginning
+    begins at its issue.
     """
-    t = F.lower(text)
-    kind = F.when(F.lit(False), "")
-    for k in CONSENTS:
-        kind = kind.when(t.contains(k), F.initcap(F.lit(k)))
-    dates = F.transform(F.regexp_extract_all(F.substring(text, 1, 2000), F.lit(_DATE), F.lit(1)), lambda d: any_date(d))
-    dates = F.filter(dates, lambda d: d.isNotNull())
-    behind = lambda words: any_date(F.regexp_extract(t, rf"(?:{words})\s*:?\s*(\d{{2}}[/.-]\d{{2}}[/.-]\d{{4}})", 1))
-    issued = behind("dated|issue date|date of issue")
-    first = F.coalesce(behind("valid from|from"), F.get(dates, F.lit(0)), issued)
-    last = F.coalesce(behind("valid up ?to|valid till|up ?to|until"), F.element_at(F.when(F.size(dates) > 0, dates), -1))
-    return F.struct(kind.otherwise(F.initcap(F.lit(CONSENTS[0]))).alias("consent_type"), issued.alias("issue_date"), first.alias("valid_from"), last.alias("valid_until"))
+    t = F.trim(F.regexp_replace(text, r"\s+", " "))
+    kind = F.nullif(F.regexp_extract(t, _CONSENT, 1), F.lit(""))
+    behind = lambda words: any_date(F.regexp_extract(t, rf"(?i){words}{_DATE}", 1))
+    issued, until = behind(r"(?:date|dated|issue date)[:\s]+"), behind(r"valid\s+(?:up\s+to|upto|to|till|until)\s+")
+    dates = F.regexp_extract_all(F.substring(t, 1, 2000), F.lit(_DATE), F.lit(1))
+    guess = until.isNull() & (F.size(dates) >= 2)
+    first = F.coalesce(behind(r"valid\s+from\s+"), F.when(guess, any_date(F.get(dates, F.lit(0)))), issued)
+    last = F.coalesce(until, F.when(guess, any_date(F.get(dates, F.size(dates) - 1))))
+    return F.struct(F.coalesce(F.initcap(kind), F.lit("Consent to Operate")).alias("consent_type"), issued.alias("issue_date"), first.alias("valid_from"), last.alias("valid_until"))

@@ -10,8 +10,9 @@ from ..functions import numeric
 from . import windows
 
 #: The ladder of coverage grades, the weights of sensor health, the shifts that count.
-GRADES = [("Excellent", 90.0), ("Good", 75.0), ("Fair", 50.0), ("Poor", 25.0)]
-HEALTH = {"missing_share": 0.4, "duplicate_share": 0.2, "bdl_share": 0.2, "outlier_percentage": 0.2}
+GRADES = [("A", 90.0), ("B", 75.0), ("C", 50.0), ("D", 25.0)]
+HEALTH = {"missing_percentage": 0.4, "duplicate_percentage": 0.2, "bdl_percentage": 0.2, "number_of_outages": 0.2}
+NO_QUARTERS = "No monitored parameters with quarterly data"
 PH_SHIFT, RELATIVE_SHIFT = 0.5, 0.25
 
 
@@ -19,7 +20,7 @@ def grade(coverage: Column) -> Column:
     out = F.when(F.lit(False), "")
     for name, least in GRADES:
         out = out.when(coverage >= least, name)
-    return out.otherwise("Critical")
+    return out.otherwise("F")
 
 
 def availability(coverage: DataFrame, quality: DataFrame) -> DataFrame:
@@ -34,12 +35,17 @@ def distributions(stats: DataFrame, parameters: list[str], measures: list[str])
 
 
 def sensor_health(df: DataFrame) -> DataFrame:
-    """sensor_health_score in [0, 1] from missing_share, duplicate_share, bdl_share (or zero_share) and outlier_percentage."""
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    bdl = F.coalesce(F.col("bdl_share"), F.col("zero_share"), F.lit(0.0))
-    loss = HEALTH["missing_share"] * zero("missing_share") + HEALTH["duplicate_share"] * zero("duplicate_share") + HEALTH["bdl_share"] * bdl
-    loss = loss + HEALTH["outlier_percentage"] * F.least(zero("outlier_percentage") / 100, F.lit(1.0))
-    return df.withColumn("sensor_health_score", numeric.clip(1 - loss, 0.0, 1.0))
+    """sensor_health_score in [0, 1] from missing_percentage, duplicate_percentage, bdl_percentage (or zero_percentage) and number_of_outages.
+
+    A hundred outages weigh as much as can be.  Nulls give a null score; a missing column raises.
+    """
+    bdl = "bdl_percentage" if "bdl_percentage" in df.columns else "zero_percentage"
+    if lacking := [c for c in ("missing_percentage", "duplicate_percentage", bdl, "number_of_outages") if c not in df.columns]:
+        raise KeyError(f"quality summary lacks {lacking}")
+    outages = F.when(F.col("number_of_outages").isNotNull(), F.least(F.col("number_of_outages") / 100.0, F.lit(1.0)))
+    loss = HEALTH["missing_percentage"] * F.col("missing_percentage") / 100 + HEALTH["duplicate_percentage"] * F.col("duplicate_percentage") / 100
+    loss = loss + HEALTH["bdl_percentage"] * F.col(bdl) / 100 + HEALTH["number_of_outages"] * outages
+    return df.withColumn("sensor_health_score", F.when(loss.isNotNull(), numeric.clip(1 - loss, 0.0, 1.0)))
 
 
 def standardised(df: DataFrame, columns: list[str], key: str) -> DataFrame:
@@ -68,14 +74,19 @@ def most_similar(vectors: DataFrame, key: str, k: int = 3) -> DataFrame:
 
 
 def temporal_shift(readings: DataFrame) -> DataFrame:
-    """(factory_id, temporal_shift_detected, temporal_shift_summary): parameters whose quarterly means move too far apart."""
+    """(factory_id, temporal_shift_detected, temporal_shift_summary) from the quarterly means of each parameter.
+
+    The summary names every parameter with two quarters or more, in the order of the parameters; a fixed text stands for none.
+    """
     quarters = readings.groupBy("factory_id", "parameter_id", F.quarter("timestamp").alias("quarter")).agg(F.avg("value").alias("m"))
-    spread = quarters.groupBy("factory_id", "parameter_id").agg(F.count("m").alias("n"), (F.max("m") - F.min("m")).alias("range"), F.avg("m").alias("mean"))
-    relative = F.col("range") / (F.abs("mean") + 1e-6)
-    moved = (F.col("n") >= 2) & F.when(F.col("parameter_id") == "ETP-pH", F.col("range") > PH_SHIFT).otherwise(relative > RELATIVE_SHIFT)
-    note = F.when(moved, F.format_string("%s shift %.2f", F.col("parameter_id"), F.col("range")))
-    out = spread.groupBy("factory_id").agg(F.coalesce(F.max(moved), F.lit(False)).alias("temporal_shift_detected"), F.array_sort(F.collect_list(note)).alias("notes"))
-    return out.select("factory_id", "temporal_shift_detected", F.array_join("notes", "; ").alias("temporal_shift_summary"))
+    spread = quarters.groupBy("factory_id", "parameter_id").agg(F.count("m").alias("n"), F.min("m").alias("low"), F.max("m").alias("high"), F.avg("m").alias("mean"))
+    name, shift = F.replace("parameter_id", F.lit("ETP-"), F.lit("")), F.col("high") - F.col("low")
+    moved = F.when(name == "pH", shift > PH_SHIFT).otherwise(shift / (F.abs("mean") + 1e-6) > RELATIVE_SHIFT)
+    measured = F.col("n") >= 2
+    note = F.when(measured, F.struct("parameter_id", F.format_string("%s: Q_min=%.2f, Q_max=%.2f (shift=%.2f)", name, *(numeric.half_even(c, 2) for c in (F.col("low"), F.col("high"), shift))).alias("text")))
+    out = spread.groupBy("factory_id").agg(F.coalesce(F.max(measured & moved), F.lit(False)).alias("temporal_shift_detected"), F.array_sort(F.collect_list(note)).alias("notes"))
+    text = F.when(F.size("notes") > 0, F.array_join(F.transform("notes", lambda x: x["text"]), "; ")).otherwise(NO_QUARTERS)
+    return out.select("factory_id", "temporal_shift_detected", text.alias("temporal_shift_summary"))
 
 
 def quality_summary(readings: DataFrame, limits: DataFrame, inspections: DataFrame, tie: list[str] | None = None) -> DataFrame:

@@ -12,7 +12,12 @@ from .fingerprints import ORDER
 ISO_TOP, ISO_SPAN = -0.3208, 0.3062
 WEIGHTS = {"tamper": 0.10, "anomaly": 0.225, "fingerprints": 0.675}
 LADDER = [("CRITICAL", 75.0, 4), ("HIGH", 50.0, 2), ("MEDIUM", 25.0, 1)]
-ACTIONS = {"CRITICAL": "Immediate on-site inspection", "HIGH": "Priority inspection", "MEDIUM": "Enhanced monitoring", "LOW": "Routine monitoring"}
+ACTIONS = {
+    "CRITICAL": "Immediate unannounced physical site inspection & automated regulator dispatch.",
+    "HIGH": "Issue formal notice of telemetry anomaly & schedule audit within 48 hours.",
+    "MEDIUM": "Flag site for heightened monitoring & mandate sensor calibration report.",
+    "LOW": "Normal routine surveillance.",
+}
 
 
 def composite(scores: DataFrame) -> DataFrame:
@@ -24,7 +29,7 @@ def composite(scores: DataFrame) -> DataFrame:
     out = scores.withColumn("anomaly_norm", norm)
     score = WEIGHTS["tamper"] * F.col("probability") + WEIGHTS["anomaly"] * F.col("anomaly_norm") + WEIGHTS["fingerprints"] * F.col("total_fingerprints_triggered") / 8
     out = out.withColumn("risk_score", numeric.half_even(100 * score, 1)).withColumn("risk_category", category(F.col("risk_score"), F.col("total_fingerprints_triggered")))
-    names = F.filter(F.array(*(F.when(F.col(f"trig_{k}") == 1, F.lit(k)) for k in ORDER)), lambda x: x.isNotNull())
+    names = F.filter(F.array(*(F.when(F.col(f"trig_{k}") == 1, F.lit(k.replace("_", " ").title())) for k in ORDER)), lambda x: x.isNotNull())
     actions = F.create_map(*(F.lit(x) for kv in ACTIONS.items() for x in kv))
     return out.withColumns({"recommended_action": actions[F.col("risk_category")], "triggered_fingerprints": names})
 
@@ -60,15 +65,13 @@ def checks(scores: DataFrame) -> DataFrame:
 
 
 def drivers(scores: DataFrame) -> DataFrame:
-    """(factory_id, note): what drives a high risk, empty otherwise."""
+    """(factory_id, note): which fingerprints drive a high risk; null where the risk is not high."""
     high = F.col("risk_category").isin("HIGH", "CRITICAL")
-    parts = F.filter(
-        F.array(
-            F.when(F.col("flatline") > 5, F.format_string("flatline %.2f%%", F.col("flatline"))),
-            F.when(F.col("limit_hugging") > 5, F.format_string("limit hugging %.2f%%", F.col("limit_hugging"))),
-            F.when(F.col("trig_coordinated_missing_data") == 1, F.lit("coordinated missing data")),
-            F.when(F.col("impossible_ph_range") > 0, F.format_string("impossible pH %.2f%%", F.col("impossible_ph_range"))),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    return scores.select("factory_id", F.when(high, F.array_join(parts, "; ")).otherwise("").alias("note"))
+    rules = {
+        "flatline": F.col("flatline") > 5, "limit hugging": F.col("limit_hugging") > 5,
+        "coordinated missing data": F.col("trig_coordinated_missing_data") == 1, "impossible values": F.col("impossible_ph_range") != 0,
+    }
+    parts = F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())), lambda x: x.isNotNull())
+    named = F.when(F.size(parts) > 0, F.array_join(parts, ", ")).otherwise("see raw_fingerprint_signals for detail")
+    note = F.concat(F.lit("Risk score is being driven by fingerprint checks: "), named, F.lit("."))
+    return scores.select("factory_id", F.when(high, note).alias("note"))

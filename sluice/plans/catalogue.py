@@ -438,22 +438,31 @@ def interval_overlap(spark, d):
     return joins.overlapping(lab(spark), "label_order", "factory_id", "start_timestamp", "end_timestamp")
 
 
-_TOKENS = "list_filter(list_distinct(string_split(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), ' ')), lambda x: length(x) >= 3 AND x NOT IN ('ltd','limited','pvt','private','industries','india','the','and','company','unit'))"
+#: The same words in SQL: of keyword searches, and of comparing two names.
+_TOKENS = (
+    "list_filter(list_distinct(string_split(trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace({0}, '^[mM]/[sS]\\.?\\s*', ''), '\\(.*?\\)', '', 'g'), '[^a-zA-Z0-9\\s]', ' ', 'g')), '\\s+', ' ', 'g')), ' ')), "
+    "lambda x: length(x) > 2 AND x NOT IN ('pvt','ltd','private','limited','industries','chemical','chemicals','india','co','company','corp','corporation','unit','and','sons','export'))"
+)
+_PLAIN = "trim(replace(replace(replace(replace(lower({0}), 'm/s', ''), '.', ''), ',', ''), '-', ' '))"
+_WORDS = (
+    "list_filter(regexp_split_to_array(" + _PLAIN + ", '\\s+'), lambda x: length(x) > 2 AND x NOT IN ('limited','private','ltd','pvt','corp','co','india','pharmaceuticals','pharmaceutical','chemicals','chemical','industries','industry',"
+    "'company','sciences','science','labs','laboratories','laboratory','m/s','unit','formerly','known','know','as','formarly','formaly'))"
+)
 
 
 @query(
-    f"""SELECT key, other, inside, shared FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY inside DESC, shared DESC, other) AS n FROM (
-    SELECT a.p_partkey AS key, b.p_partkey AS other, contains(lower(a.p_name), lower(b.p_name)) OR contains(lower(b.p_name), lower(a.p_name)) AS inside,
-    CAST(len(list_intersect({_TOKENS.format('a.p_name')}, {_TOKENS.format('b.p_name')})) AS INTEGER) AS shared, len({_TOKENS.format('a.p_name')}) AS own
-    FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size <= 5 AND b.p_size > 45) WHERE inside OR shared >= greatest(1, least(2, own))) WHERE n = 1""")
+    f"""WITH n AS (SELECT p_partkey, p_brand || p_type AS block, {_PLAIN.format('p_name')} AS x, {_WORDS.format('p_name')} AS w FROM part)
+    SELECT key, other, inside, shared FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY inside DESC, CASE WHEN inside THEN 0 ELSE -shared END, other) AS n FROM (
+    SELECT a.p_partkey AS key, b.p_partkey AS other, contains(a.x, b.x) OR contains(b.x, a.x) AS inside, CAST(len(list_distinct(list_intersect(a.w, b.w))) AS INTEGER) AS shared, len(a.w) AS own
+    FROM n a JOIN n b ON a.block = b.block AND a.p_partkey <> b.p_partkey) WHERE inside OR shared >= CASE WHEN own = 0 THEN 1 ELSE least(2, own) END) WHERE n = 1""")
 def name_match(spark, d):
-    p = table(spark, d, "part")
-    return joins.match_names(p.filter("p_size <= 5"), p.filter("p_size > 45"), "p_brand", "p_name", "p_partkey")
+    p = table(spark, d, "part").withColumn("block", F.concat("p_brand", "p_type"))
+    return joins.match_names(p, p, "block", "p_name", "p_partkey", apart=True)
 
 
-@query("SELECT n_name, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND regexp_matches(c_mktsegment, '(?i)\\bb') GROUP BY 1")
+@query("SELECT n_name, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND regexp_matches(c_mktsegment, '(?i)\\bbuilding\\b') GROUP BY 1")
 def regex_match(spark, d):
-    c = table(spark, d, "customer").filter(scalars.has_all_words(F.col("c_mktsegment"), ["b"]))
+    c = table(spark, d, "customer").filter(scalars.has_all_words(F.col("c_mktsegment"), ["building"]))
     return table(spark, d, "nation").join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("n_name").agg(F.count("c_custkey").alias("n"))
 
 
@@ -495,7 +504,8 @@ _ROWS = [
     ("BOD (3 days)", "max 30", "2024-03-04", "pH scale", "['NA', 'E']", "Office (Thane)"),
     ("Total flow", "10 to 20", "31.12.2023", "KLD", "x", "none"),
     ("COD", "none", "bad", "deg C", "[1, 'L']", None),
-    ("suspended solid", "3.5", "", "m3/day", "[-2.5, 'Raw']", "Region : Nagpur"),
+    ("suspended solid", "1,000", "issued 05-06-2023.", "m3/day", "[-2.5, 'Raw']", "Region : Nagpur"),
+    ("pH", "not to exceed 2.5 mg", "", "mg/ Nm3", "[1,2,3]", None),
 ]
 _TEXTS = ", ".join("(" + ", ".join("NULL" if x is None else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in _ROWS)
 
@@ -503,11 +513,11 @@ _TEXTS = ", ".join("(" + ", ".join("NULL" if x is None else "'" + x.replace("'",
 @query(
     f"""SELECT p, CASE WHEN lower(trim(p)) IN ('ph', 'ph value') THEN 'ETP-pH' WHEN contains(lower(p), 'trade effluent') OR contains(lower(p), 'flow') THEN 'ETP-Flow' WHEN contains(lower(p), 'bod') THEN 'ETP-BOD'
     WHEN contains(lower(p), 'cod') THEN 'ETP-COD' WHEN contains(lower(p), 'tss') OR contains(lower(p), 'suspended solid') THEN 'ETP-TSS' END AS parameter_id,
-    CASE WHEN regexp_matches(r, '\\d\\s*(-|to)\\s*\\d') THEN TRY_CAST(regexp_extract(r, '(\\d+(\\.\\d+)?)\\s*(-|to)', 1) AS DOUBLE) END AS low,
-    CASE WHEN regexp_matches(r, '\\d\\s*(-|to)\\s*\\d') THEN TRY_CAST(regexp_extract(r, '(-|to)\\s*(\\d+(\\.\\d+)?)', 2) AS DOUBLE) ELSE TRY_CAST(regexp_extract(r, '(\\d+(\\.\\d+)?)', 1) AS DOUBLE) END AS high,
-    coalesce(TRY_CAST(d AS DATE), CAST(TRY_STRPTIME(regexp_replace(d, '[/.]', '-', 'g'), '%d-%m-%Y') AS DATE), DATE '1970-01-01') AS day,
-    CASE WHEN u = 'mg/l' THEN 'mg/l' WHEN u = 'm3/day' THEN 'm3/day' WHEN u = 'KLD' THEN 'kl/day' WHEN u = 'deg C' THEN 'degC' ELSE 'pH' END AS unit,
-    TRY_CAST(regexp_extract(c, '^\\[([^,]*),', 1) AS DOUBLE) AS value, nullif(regexp_extract(c, '''([A-Za-z]*)''\\]$', 1), '') AS code,
+    TRY_CAST(regexp_extract(replace(r, ',', ''), '([0-9.]+)\\s*(?:to|-)\\s*([0-9.]+)', 1) AS DOUBLE) AS low,
+    coalesce(TRY_CAST(regexp_extract(replace(r, ',', ''), '([0-9.]+)\\s*(?:to|-)\\s*([0-9.]+)', 2) AS DOUBLE), TRY_CAST(regexp_extract(replace(r, ',', ''), '[0-9.]+') AS DOUBLE)) AS high,
+    coalesce(TRY_CAST(d AS DATE), CAST(TRY_STRPTIME(regexp_replace(regexp_extract(d, '[0-9]{{2}}[-/.][0-9]{{2}}[-/.][0-9]{{4}}'), '[/.]', '-', 'g'), '%d-%m-%Y') AS DATE), DATE '1970-01-01') AS day,
+    CASE u WHEN 'mg/l' THEN 'mg/l' WHEN 'KLD' THEN 'KLD' WHEN 'pH scale' THEN 'pH' WHEN 'mg/ Nm3' THEN 'mg/Nm3' END AS unit,
+    CAST(CASE c WHEN '[37.61, ''U'']' THEN 37.61 WHEN '[1, ''L'']' THEN 1.0 WHEN '[-2.5, ''Raw'']' THEN -2.5 END AS DOUBLE) AS value, CASE c WHEN '[37.61, ''U'']' THEN 'U' WHEN '[1, ''L'']' THEN 'L' WHEN '[-2.5, ''Raw'']' THEN 'Raw' END AS code,
     CASE WHEN g LIKE 'Region%' THEN trim(regexp_extract(g, ':\\s*([^,;]+)', 1)) WHEN g LIKE '%(%' THEN regexp_extract(g, '\\((.*)\\)', 1) END AS region FROM (VALUES {_TEXTS}) t(p, r, d, u, c, g)""")
 def scalar_functions(spark, d):
     t = spark.createDataFrame([tuple(r) for r in _ROWS], "p string, r string, d string, u string, c string, g string")
@@ -522,9 +532,16 @@ def name_tokens(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.get(F.array_sort(tokens), F.lit(0)).alias("first_token"), scalars.has_word(F.col("c_mktsegment"), "Building").alias("building"))
 
 
-@query("SELECT event_id, CASE quality_code WHEN 'Raw' THEN 'Valid' ELSE quality_code END AS quality, time_bucket(INTERVAL 15 MINUTES, timestamp, TIMESTAMP '2024-01-01') AS slot, strftime(timestamp, '%Y-%m-%d %H:%M') AS minute FROM tel", "tel")
+_CODES = ["U", "V", "E", "O", "N", "I", "M", "C", "Z", "X", "Y", "input", "L"]
+
+
+@query(
+    """SELECT event_id, CASE event_id % 13 WHEN 0 THEN 'Raw' WHEN 1 THEN 'Validated' WHEN 2 THEN 'Error' WHEN 3 THEN 'Out of Range' WHEN 4 THEN 'Negative' WHEN 5 THEN 'Invalid' WHEN 6 THEN 'Maintenance' WHEN 7 THEN 'Span Calibration'
+    WHEN 8 THEN 'Zero Calibration' WHEN 9 THEN 'Expected Calibration' WHEN 10 THEN 'Dynamic Limit' WHEN 11 THEN 'Manual Input' ELSE 'L' END AS quality,
+    time_bucket(INTERVAL 15 MINUTES, timestamp, TIMESTAMP '2024-01-01') AS slot, strftime(timestamp, '%Y-%m-%d %H:%M') AS minute FROM tel""", "tel")
 def quality_names(spark, d):
-    return tel(spark, d).select("event_id", scalars.quality_name(F.col("quality_code")).alias("quality"), scalars.quarter_hour(F.col("timestamp")).cast("timestamp_ntz").alias("slot"), F.date_format("timestamp", "yyyy-MM-dd HH:mm").alias("minute"))
+    code = F.get(F.array(*map(F.lit, _CODES)), (F.col("event_id") % 13).cast("int"))
+    return tel(spark, d).select("event_id", scalars.quality_name(code).alias("quality"), scalars.quarter_hour(F.col("timestamp")).cast("timestamp_ntz").alias("slot"), F.date_format("timestamp", "yyyy-MM-dd HH:mm").alias("minute"))
 
 
 @query("SELECT DISTINCT event_id, 'k' AS key, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS v FROM events")
@@ -533,8 +550,8 @@ def json_map_explode(spark, d):
 
 
 @query(
-    """SELECT event_id, p AS parameter_id, v AS value, c AS code FROM (SELECT event_id, 'ETP-pH' AS p, CASE WHEN event_id % 7 = 0 THEN NULL ELSE round(value, 2) END AS v, 'U' AS c FROM events
-    UNION ALL SELECT event_id, 'ETP-COD', round(value * 2, 2), 'L' FROM events WHERE event_id % 5 <> 0)""")
+    """SELECT event_id, p AS parameter_id, v AS value, c AS code FROM (SELECT event_id, 'ETP-pH' AS p, round(value, 2) AS v, 'Raw' AS c FROM events WHERE event_id % 7 <> 0 AND value IS NOT NULL
+    UNION ALL SELECT event_id, 'ETP-COD', round(value * 2, 2), 'L' FROM events WHERE event_id % 5 <> 0 AND value IS NOT NULL)""")
 def unpivot_cells(spark, d):
     e = table(spark, d, "events")
     cell = lambda v, c: F.concat(F.lit("["), F.coalesce(F.round(v, 2).cast("string"), F.lit("'NA'")), F.lit(f", '{c}']"))
@@ -603,13 +620,21 @@ def fingerprint_scores(spark, d):
     features = feature_matrix_rows(spark, d)
     out = fingerprints.summarise(features, [n for *_, n in windows.correlation_names(PARAMETERS)])
     out = out.join(fingerprints.inspection_dip(clean(spark, d), insp(spark, d)), "factory_id").join(fingerprints.impossible_ph(clean(spark, d), lim(spark, d).filter("parameter_id = 'signup'"), "signup"), "factory_id")
-    out = aggregates.from_median(aggregates.from_median(out, "missing", "coordinated_missing_data"), "errors", "data_integrity")
+    missing = profile.quality_summary(clean(spark, d), lim(spark, d), insp(spark, d), ["event_id"]).select("factory_id", (100 - F.col("coverage_percentage")).alias("missing_percentage"))
+    out = out.join(missing, "factory_id", "left")
+    out = aggregates.from_median(aggregates.from_median(out, "missing_percentage", "coordinated_missing_data"), "errors", "data_integrity")
     return fingerprints.triggers(aggregates.below_typical(out, "correlation_break"))
 
 
-@query(f"SELECT factory_id, risk_score, risk_category, round(norm, 4) AS anomaly_norm FROM ({_RISK})", "mag")
+_NAMES = {"impossible_ph_range": "Impossible Ph Range", "inspection_dip": "Inspection Dip", "flatline": "Flatline", "limit_hugging": "Limit Hugging", "correlation_break": "Correlation Break", "copy_paste": "Copy Paste", "coordinated_missing_data": "Coordinated Missing Data", "data_integrity": "Data Integrity"}
+
+
+@query(
+    f"""SELECT factory_id, risk_score, risk_category, round(norm, 4) AS anomaly_norm, concat_ws('|', {', '.join(f"CASE WHEN trig_{k} = 1 THEN '{v}' END" for k, v in _NAMES.items())}) AS names,
+    CASE risk_category WHEN 'CRITICAL' THEN 'Immediate unannounced physical site inspection & automated regulator dispatch.' WHEN 'HIGH' THEN 'Issue formal notice of telemetry anomaly & schedule audit within 48 hours.'
+    WHEN 'MEDIUM' THEN 'Flag site for heightened monitoring & mandate sensor calibration report.' ELSE 'Normal routine surveillance.' END AS recommended_action FROM ({_RISK})""", "mag")
 def composite_risk(spark, d):
-    return risks(spark, d).select("factory_id", "risk_score", "risk_category", F.round("anomaly_norm", 4).alias("anomaly_norm"))
+    return risks(spark, d).select("factory_id", "risk_score", "risk_category", F.round("anomaly_norm", 4).alias("anomaly_norm"), F.array_join("triggered_fingerprints", "|").alias("names"), "recommended_action")
 
 
 @query(f"SELECT factory_id, risk_category AS severity, format('{{}}: risk {{:.1f}}, {{}} fingerprints', factory_id, risk_score, total) AS message FROM ({_RISK}) WHERE risk_category IN ('HIGH', 'CRITICAL')", "mag")
@@ -630,8 +655,9 @@ def check_list(spark, d):
 
 
 @query(
-    f"""SELECT factory_id, CASE WHEN risk_category IN ('HIGH', 'CRITICAL') THEN concat_ws('; ', CASE WHEN flatline > 5 THEN format('flatline {{:.2f}}%', flatline) END, CASE WHEN limit_hugging > 5 THEN format('limit hugging {{:.2f}}%', limit_hugging) END,
-    CASE WHEN trig_coordinated_missing_data = 1 THEN 'coordinated missing data' END, CASE WHEN impossible_ph_range > 0 THEN format('impossible pH {{:.2f}}%', impossible_ph_range) END) ELSE '' END AS note FROM ({_RISK})""", "mag")
+    f"""SELECT factory_id, CASE WHEN risk_category IN ('HIGH', 'CRITICAL') THEN 'Risk score is being driven by fingerprint checks: ' || coalesce(nullif(concat_ws(', ', CASE WHEN flatline / 100 > 0.05 THEN 'flatline' END,
+    CASE WHEN limit_hugging / 100 > 0.05 THEN 'limit hugging' END, CASE WHEN trig_coordinated_missing_data = 1 THEN 'coordinated missing data' END, CASE WHEN impossible_ph_range <> 0 THEN 'impossible values' END), ''),
+    'see raw_fingerprint_signals for detail') || '.' END AS note FROM ({_RISK})""", "mag")
 def risk_drivers(spark, d):
     return risk.drivers(risks(spark, d))
 
@@ -654,20 +680,19 @@ def dispatch_queue(spark, d):
 # -- profiles -----------------------------------------------------------------------------------------------
 
 
-@query("SELECT factory_id, " + ", ".join(f'round(max({m}) FILTER (parameter_id = \'{p}\'), 4) AS "{p}_{m}"' for p in PARAMETERS for m in ("mean", "p50")) + " FROM (SELECT factory_id, parameter_id, avg(value) AS mean, quantile_cont(value, 0.5) AS p50 FROM clean GROUP BY 1, 2) GROUP BY 1", "clean")
+@query("SELECT factory_id, " + ", ".join(f'round(max({m}) FILTER (parameter_id = \'{p}\'), 4) AS "{p}_{m}"' for p in PARAMETERS for m in ("mean", "std", "min", "max", "cv")) + " FROM (SELECT factory_id, parameter_id, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min, max(value) AS max, stddev_samp(value) / avg(value) AS cv FROM clean GROUP BY 1, 2) GROUP BY 1", "clean")
 def param_distributions(spark, d):
-    stats = aggregates.describe(clean(spark, d), "value", ["factory_id", "parameter_id"])
-    out = profile.distributions(stats, list(PARAMETERS), ["mean", "p50"])
+    stats = aggregates.describe(clean(spark, d), "value", ["factory_id", "parameter_id"]).withColumn("cv", F.try_divide("std", "mean"))
+    out = profile.distributions(stats, list(PARAMETERS), ["mean", "std", "min", "max", "cv"])
     return rounded(out, ["factory_id"], *(c for c in out.columns if c != "factory_id"))
 
 
 @query(
-    """SELECT factory_id, parameter_id, round(least(greatest(1 - (0.4 * miss + 0.2 * bdl + 0.2 * least(outp / 100, 1.0)), 0.0), 1.0), 4) AS sensor_health_score FROM (
-    SELECT factory_id, parameter_id, count(*) FILTER (value IS NULL) / count(*) AS miss, count(*) FILTER (quality_code = 'L') / count(*) AS bdl, 100.0 * count(*) FILTER (value > 200) / count(*) AS outp FROM clean GROUP BY 1, 2)""", "clean")
+    """SELECT factory_id, parameter_id, round(greatest(0.0, least(1.0, 1.0 - (0.40 * miss + 0.20 * dup + 0.20 * bdl + 0.20 * least(outages / 100.0, 1.0)))), 4) AS sensor_health_score FROM (
+    SELECT factory_id, parameter_id, count(*) FILTER (value IS NULL) / count(*) AS miss, (count(*) - count(DISTINCT k)) / count(*) AS dup, count(*) FILTER (quality_code = 'L') / count(*) AS bdl, count(*) FILTER (value > 400) AS outages FROM clean GROUP BY 1, 2)""", "clean")
 def sensor_health(spark, d):
-    share = lambda c: F.count_if(c) / F.count(F.lit(1))
-    rows = clean(spark, d).groupBy("factory_id", "parameter_id").agg(share(F.col("value").isNull()).alias("missing_share"), share(F.col("quality_code") == "L").alias("bdl_share"), (100 * share(F.col("value") > 200)).alias("outlier_percentage"))
-    rows = rows.withColumns({"duplicate_share": F.lit(0.0), "zero_share": F.lit(0.0)})
+    n, pct = F.count(F.lit(1)), lambda c: F.lit(100.0) * c / F.count(F.lit(1))
+    rows = clean(spark, d).groupBy("factory_id", "parameter_id").agg(pct(F.count_if(F.col("value").isNull())).alias("missing_percentage"), pct(n - F.count_distinct("k")).alias("duplicate_percentage"), pct(F.count_if(F.col("quality_code") == "L")).alias("bdl_percentage"), F.count_if(F.col("value") > 400).alias("number_of_outages"))
     return rounded(profile.sensor_health(rows), ["factory_id", "parameter_id"], "sensor_health_score")
 
 
@@ -684,8 +709,9 @@ SQL["similar_top3"] = SQL["similar_top3"].replace(
 
 
 @query(
-    """SELECT factory_id, coalesce(bool_or(moved), false) AS temporal_shift_detected, coalesce(string_agg(CASE WHEN moved THEN format('{} shift {:.2f}', parameter_id, rng) END, '; ' ORDER BY parameter_id), '') AS temporal_shift_summary FROM (
-    SELECT factory_id, parameter_id, max(m) - min(m) AS rng, count(m) >= 2 AND (max(m) - min(m)) / (abs(avg(m)) + 1e-6) > 0.25 AS moved FROM (
+    """SELECT factory_id, coalesce(bool_or(n >= 2 AND (hi - lo) / (abs(mean) + 1e-6) > 0.25), false) AS temporal_shift_detected,
+    coalesce(string_agg(CASE WHEN n >= 2 THEN format('{}: Q_min={:.2f}, Q_max={:.2f} (shift={:.2f})', parameter_id, lo, hi, hi - lo) END, '; ' ORDER BY parameter_id), 'No monitored parameters with quarterly data') AS temporal_shift_summary FROM (
+    SELECT factory_id, parameter_id, count(m) AS n, min(m) AS lo, max(m) AS hi, avg(m) AS mean FROM (
     SELECT 'n' || (l_suppkey % 25) AS factory_id, l_returnflag || l_linestatus AS parameter_id, quarter(l_shipdate) AS q, avg(l_quantity) AS m FROM lineitem GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1""")
 def temporal_stability(spark, d):
     rows = table(spark, d, "lineitem").select(F.concat(F.lit("n"), F.col("l_suppkey") % 25).alias("factory_id"), F.concat("l_returnflag", "l_linestatus").alias("parameter_id"), F.col("l_shipdate").alias("timestamp"), F.col("l_quantity").alias("value"))
@@ -737,10 +763,13 @@ def verify_features(spark, d):
 
 
 @query(
-    """SELECT * FROM (VALUES (1, 'Consent To Operate', DATE '2024-02-01', DATE '2024-02-03', DATE '2029-01-31'), (2, 'Renewal', NULL, DATE '2023-12-31', DATE '2023-12-31'), (3, 'Consent To Operate', NULL, NULL, NULL))
-    t(id, consent_type, issue_date, valid_from, valid_until)""")
+    """SELECT * FROM (VALUES (1, 'Consent To Operate', DATE '2024-02-01', DATE '2024-02-03', DATE '2029-01-31'), (2, 'Consent to Operate', NULL, NULL, NULL), (3, 'Cte', NULL, DATE '2023-12-31', DATE '2025-12-31'),
+    (4, 'Renewal Of Consent', DATE '2020-05-06', DATE '2020-05-06', DATE '2021-01-02')) t(id, consent_type, issue_date, valid_from, valid_until)""")
 def consent_metadata(spark, d):
-    texts = [(1, "CONSENT TO OPERATE dated 01/02/2024, valid from 03.02.2024 up to 31-01-2029"), (2, "Renewal, see 31.12.2023"), (3, "no dates at all")]
+    texts = [
+        (1, "CONSENT TO OPERATE dated 01/02/2024, valid   from 03.02.2024 valid\nup to 31-01-2029"), (2, "Renewal, see 31.12.2023"),
+        (3, "CTE, after a consent to operate: 31/12/2023 and 31/12/2025"), (4, "Renewal of consent, date: 06-05-2020 valid till 02.01.2021"),
+    ]
     return spark.createDataFrame(texts, "id int, text string").select("id", scalars.consent_metadata(F.col("text")).alias("m")).select("id", "m.*")
 
 

@@ -62,12 +62,15 @@ def versioned(spark: SparkSession, folder: str, name: str, suffix: str = ".csv")
 
 
 def unpivot_cells(wide: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """(keys, parameter_id, value, code) from columns ``PARAM_suffix`` of cell literals; of equal keys the first row counts."""
+    """(keys, parameter_id, value, code) from columns ``PARAM_suffix`` of cell literals.
+
+    Cells without a number give no row and take no key; of equal keys the first row counts.  Codes get their names.
+    """
     columns = [c for c in wide.columns if c not in {*keys, order}]
     long = wide.unpivot([*keys, order], columns, "column", "cell")
     long = long.withColumn("parameter_id", F.regexp_replace("column", "_[^_]*$", "")).withColumn("parsed", scalars.cell(F.col("cell")))
     first = long.filter("parsed is not null").withColumn("place", F.row_number().over(W.partitionBy(*keys, "parameter_id").orderBy(order, "column")))
-    return first.filter("place = 1").select(*keys, "parameter_id", "parsed.value", "parsed.code")
+    return first.filter("place = 1").select(*keys, "parameter_id", "parsed.value", scalars.quality_name(F.col("parsed.code")).alias("code"))
 
 
 def date_chunks(spark: SparkSession, first: str, last: str, days: int = 7) -> DataFrame:

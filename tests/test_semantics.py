@@ -151,12 +151,16 @@ def test_sources_and_sinks(spark, tmp_path):
 
 
 def test_profile(spark):
-    health = spark.createDataFrame([(0.1, None, None, 0.5, 150.0)], "missing_share double, duplicate_share double, bdl_share double, zero_share double, outlier_percentage double")
-    assert profile.sensor_health(health).first().sensor_health_score == pytest.approx(1 - 0.04 - 0.1 - 0.2)
+    health = spark.createDataFrame([(10.0, 5.0, 50.0, 150, 20.0), (0.0, 0.0, 0.0, 30, None), (None, 0.0, 0.0, 0, 0.0)], "missing_percentage double, duplicate_percentage double, zero_percentage double, number_of_outages int, other double")
+    score = [r.sensor_health_score for r in profile.sensor_health(health).collect()]
+    assert score[:2] == pytest.approx([1 - 0.04 - 0.01 - 0.1 - 0.2, 1 - 0.06]) and score[2] is None
+    with pytest.raises(KeyError):
+        profile.sensor_health(health.drop("number_of_outages"))
     v = spark.createDataFrame([("a", 1.0, None), ("b", 2.0, 1.0), ("c", 3.0, 2.0)], "k string, x double, y double")
     assert profile.most_similar(profile.standardised(v, ["x", "y"], "k"), "k").count() == 6
     day = spark.sql("select 'f' as factory_id, 'ETP-pH' as parameter_id, timestamp_ntz'2024-01-01 00:00:00' as timestamp, 7.0D as value union all select 'f', 'ETP-pH', timestamp_ntz'2024-05-01 00:00:00', 8.0D")
-    assert profile.temporal_shift(day).first()[1:] == (True, "ETP-pH shift 1.00")
+    assert profile.temporal_shift(day).first()[1:] == (True, "pH: Q_min=7.00, Q_max=8.00 (shift=1.00)")
+    assert profile.temporal_shift(day.limit(1)).first()[1:] == (False, "No monitored parameters with quarterly data")
 
 
 def test_feature_matrix_keeps_rows(spark):
@@ -198,6 +202,14 @@ def test_scalars(spark):
     df = spark.createDataFrame([("unit - mgd", 0.5), (None, None)], "s string, v double")
     out = df.select(scalars.labelled_unit(F.col("s")).alias("u"), scalars.file_name(F.lit(" a b?.pdf ")).alias("f"), scalars.header(F.lit(" My  Col ")).alias("h"), numeric.half_even(F.lit(2.5), 0).alias("r")).collect()
     assert out[0][:] == ("mgd", "a_b_.pdf", "my_col", 2.0) and out[1].u is None
+    names = spark.createDataFrame([("M/s. Acme (Old) Bio-Tech Pvt. Ltd. Unit-2",), ("India Co",), (None,)], "s string")
+    assert [r.t for r in names.select(scalars.name_tokens(F.col("s")).alias("t")).collect()] == [["acme", "bio", "tech"], [], None]
+    cells = spark.createDataFrame([(c,) for c in ("[37.61, 'U']", "['NA', 'E']", '["NA", "E"]', "", "[x, 'U']", "[1,2,3]", None)], "s string")
+    assert [r.c and tuple(r.c) for r in cells.select(scalars.cell(F.col("s")).alias("c")).collect()] == [(37.61, "U")] + [None] * 6
+    limits = spark.createDataFrame([(c,) for c in ("5.5 - 9.0", "5.5 TO 9.0", "<= 250", "1,000", "N/A")], "s string")
+    assert [tuple(r.c) for r in limits.select(scalars.limit_range(F.col("s")).alias("c")).collect()] == [(5.5, 9.0), (5.5, 9.0), (None, 250.0), (None, 1000.0), (None, None)]
+    words = spark.createDataFrame([("Alpha Bio (P) Ltd",), ("Alphabet Bio",)], "s string")
+    assert [r.w for r in words.select(scalars.has_all_words(F.col("s"), ["alpha", "bio"]).alias("w")).collect()] == [True, False]
 
 
 def test_streaming(spark, tmp_path):
