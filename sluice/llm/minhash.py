@@ -379,16 +379,10 @@ def _crowd_links(texts: DataFrame, crowds: DataFrame, labels: DataFrame, signed:
     return units.repartition(parts, "region", "x", "y").sortWithinPartitions("region", "x", "y").mapInArrow(compare, f"a {kind.simpleString()}, b {kind.simpleString()}")
 
 
-#: Up to so many ids (8 bytes each, as numbers) are sent to all executors, so that texts need no shuffle; beyond, they are joined by shuffle.
-_BROADCAST_IDS = 4_000_000
-
-
 def _texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the given ids, rows that repeat both once."""
-    ids = checkpoint(ids.distinct())
-    if ids.count() <= _BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return rows.filter("id is not null").join(ids, "id", "left_semi").groupBy("id", F.md5("text").alias("digest")).agg(F.first("text").alias("text")).select("id", "text")
+    """(id, text) of the given ids, rows that repeat both once.  Both sides are dealt by id, whatever their size."""
+    wanted = ids.distinct().hint("merge")
+    return rows.filter("id is not null").join(wanted, "id", "left_semi").groupBy("id", F.md5("text").alias("digest")).agg(F.first("text").alias("text")).select("id", "text")
 
 
 def _least_agreement(n: int, percent: int) -> int:
@@ -400,11 +394,12 @@ def _least_agreement(n: int, percent: int) -> int:
 def verify(texts: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the limit; ``texts`` holds (id, text).
 
-    A text is copied once for each of its pairs; the two texts of a pair meet in a task, spread by pair.
+    A text is copied once for each of its pairs; the two texts of a pair meet in a task, spread by pair.  Both joins
+    are dealt by key at every size: a node has no more partners than the parts of its trees hold, so no key is hot.
     """
     spark = texts.sparkSession
     kind = pairs.schema["a"].dataType.simpleString()
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key"), "a", "b")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key"), "a", "b").hint("merge")
     met = ends.join(texts, F.col("key") == F.col("id")).select("a", "b", (F.col("key") == F.col("b")).alias("right"), "text")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
