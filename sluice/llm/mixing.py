@@ -155,6 +155,7 @@ def mix(
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """For each row: doc_id, size, source_size, target and taken, as `mix` has them."""
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -127,7 +127,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """For each row: id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+
+    Null and empty texts have counts of 0, the hash of the empty string and no spans; repeated rows and null ids
+    come back one by one; an empty table gives an empty result.
+    """
     columns = [f"n_{k}" for k in KINDS]
 
     def make():

@@ -198,7 +198,10 @@ def judge(
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **limits) -> DataFrame:
-    """The rows that `judge` keeps, with all their columns.  Texts are counted twice; nothing is shuffled but the references."""
+    """The rows that `judge` keeps, with all their columns.  Texts are counted twice; nothing is shuffled but the references.
+
+    Null and empty texts fail the base rules and go; repeated rows are judged one by one; an empty table gives an empty result.
+    """
     limits = {"max_class_distance": 0.30, "max_word_distance": 0.35, "least_word_distance": 0.24, "word_noise": 3.6, "min_chars": 300} | limits
     counted = count_texts(docs, text_col, text_col, lang_col, COMMON).drop("id")
     rules = docs.sparkSession.sparkContext.broadcast(Rules(references(counted, COMMON), _limits(**limits)))

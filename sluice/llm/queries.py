@@ -21,42 +21,52 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents; the cases are those of ``token_counts.count_tokens``."""
     return token_counts.count_tokens(documents(spark, sf_dir), vocab_path())
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, as counts, digest and spans; the cases are those of ``secrets.digest``."""
     return secrets.digest(documents(spark, sf_dir))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of all documents; the cases are those of ``mixing.digest``."""
     return mixing.digest(documents(spark, sf_dir))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of all documents; the cases are those of ``quality.judge``."""
     return quality.judge(documents(spark, sf_dir))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents; the cases are those of ``minhash.near_duplicates``."""
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all vectors; the cases are those of ``embeddings.near_duplicates``."""
     return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of all documents, without the remaining texts; the cases are those of ``suffix.remove_repeats``."""
     return suffix.remove_repeats(documents(spark, sf_dir)).drop("kept")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, as counts, digest and spans; the cases are those of ``pii.digest``."""
     return pii.digest(documents(spark, sf_dir))
 
 
 def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as record files and read back; the cases are those of ``records.round_trip``."""
     return records.round_trip(documents(spark, sf_dir), vocab_path())
 
 
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded, as digests; the cases are those of ``bpe_codec.round_trip``."""
     return bpe_codec.round_trip(documents(spark, sf_dir), vocab_path())
 
 

@@ -188,7 +188,11 @@ def spans_text(spans: Column) -> Column:
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: id, n_assign, n_access, n_hex, base_sha256, spans."""
+    """For each row: id, n_assign, n_access, n_hex, base_sha256, spans.
+
+    Null and empty texts have counts of 0, the hash of the empty string and no spans; repeated rows and null ids
+    come back one by one; an empty table gives an empty result.
+    """
     found = find_secrets(docs, id_col, text_col)
     n = lambda kind: F.size(F.filter("base", lambda x: x["k"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(F.col(f"row.`{id_col}`"), *(n(k) for k, *_ in BASE), F.sha2(spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("all")).alias("spans"))
