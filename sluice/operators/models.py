@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -103,12 +106,12 @@ def standardise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (x - mean) / scale, mean, scale
 
 
-def leave_one_out(features: DataFrame, key: str, columns: list[str], label: str) -> DataFrame:
+def leave_one_out(features: DataFrame, key: str, columns: list[str], label: str, most: int = 100_000) -> DataFrame:
     """(key, label, probability): each factory's probability from the model of all others, one fit per task row.
 
-    ``features`` has a row per factory; the table (a few columns) is broadcast, and the fits are spread.
+    ``features`` has a row per factory, at most ``most``; the table (a few columns) is broadcast, and the fits are spread.
     """
-    rows = features.select(key, label, *columns).orderBy(key).toPandas()
+    rows = _few(features.orderBy(key), [key, label, *columns], most)
     shared = features.sparkSession.sparkContext.broadcast((rows[columns].fillna(0.0).to_numpy(float), rows[label].to_numpy(int), rows[key].tolist()))
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,15 +129,87 @@ def leave_one_out(features: DataFrame, key: str, columns: list[str], label: str)
     return features.sparkSession.range(len(rows)).withColumnRenamed("id", "i").mapInPandas(fit, f"`{key}` {kind}, label int, probability double")
 
 
-def gates(scored: DataFrame, previous_rate: float) -> DataFrame:
-    """One row: auc, flag_rate and passes of leave-one-out probabilities.  auc by ranks, so it needs no pairs."""
-    from pyspark.sql import Window as W
+@dataclass(frozen=True)
+class TamperModel:
+    """A logistic model of scaled columns; a probability is one expression."""
 
-    ranked = scored.withColumn("r", F.rank().over(W.orderBy("probability"))).withColumn("r", F.col("r") + (F.count(F.lit(1)).over(W.partitionBy("probability")) - 1) / 2.0)
+    columns: list[str]
+    mean: list[float]
+    scale: list[float]
+    coefficients: list[float]
+    bias: float
+
+    def probability(self, known: list[str]) -> Column:
+        """Of a row that has the columns ``known``; columns it lacks and nulls count as 0."""
+        x = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) if c in known else F.lit(0.0) for c in self.columns]
+        terms = (F.lit(b) * (v - F.lit(m)) / F.lit(s) for v, m, s, b in zip(x, self.mean, self.scale, self.coefficients))
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-sum(terms, F.lit(self.bias))))
+
+
+def factory_aggregates(features: DataFrame, columns: list[str], key: str = "factory_id") -> DataFrame:
+    """(key, <column>_mean, <column>_std): a single reading has the deviation 0, a factory without values nulls."""
+    of = [a for c in columns for v in [F.col(f"`{c}`").cast("double")] for a in (F.avg(v).alias(f"{c}_mean"), F.when(F.count(F.lit(1)) > 1, F.stddev_samp(v)).otherwise(F.lit(0.0)).alias(f"{c}_std"))]
+    return features.groupBy(key).agg(*of)
+
+
+def complete_columns(df: DataFrame, columns: list[str]) -> list[str]:
+    """The columns that no row lacks."""
+    lacking = df.agg(*(F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in columns)).first()
+    return [c for c in columns if not lacking[c]]
+
+
+def _few(df: DataFrame, columns: list[str], most: int) -> pd.DataFrame:
+    """A table of factories on the driver; more than ``most`` rows are an error, since a sample would be another model."""
+    rows = df.select(*(F.col(f"`{c}`") for c in columns)).limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} factories")
+    return rows
+
+
+def fit_tamper_model(features: DataFrame, columns: list[str], label: str, most: int = 100_000) -> TamperModel:
+    """The logistic model of all factories; ``features`` has a row per factory, at most ``most``."""
+    rows = _few(features, [*columns, label], most)
+    z, mean, scale = standardise(rows[columns].fillna(0.0).to_numpy(float))
+    coefficients, bias = fit_logistic(z, rows[label].to_numpy(int))
+    return TamperModel(list(columns), mean.tolist(), scale.tolist(), coefficients.tolist(), bias)
+
+
+def factory_probability(readings: DataFrame, model: TamperModel, columns: list[str], key: str = "factory_id") -> DataFrame:
+    """(key, probability): each factory's readings aggregated as in training, then scored; no Python in the plan."""
+    rows = factory_aggregates(readings, columns, key)
+    return rows.select(key, model.probability(rows.columns).alias("probability"))
+
+
+def save_tamper_model(spark, model: TamperModel, path: str) -> None:
+    """The model as one row of JSON in a folder of any store that the cluster knows."""
+    spark.createDataFrame([(json.dumps(asdict(model)),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_tamper_model(spark, path: str) -> TamperModel:
+    return TamperModel(**json.loads(spark.read.text(path, wholetext=True).first().value))
+
+
+def gates(scored: DataFrame, rate: float | None = None, count: str | None = None) -> DataFrame:
+    """One row: auc, flag_rate, spearman and passes of leave-one-out probabilities, by ranks, so no pairs are made.
+
+    The flag rate must lie within 0.15 of ``rate``, by default the share of positive labels.  With ``count``, the
+    number of triggers, probabilities must also rank as it does; without it spearman is null and not judged.
+    A table of factories is ranked in one task.
+    """
+
+    def ranked(df: DataFrame, column: str, name: str) -> DataFrame:
+        same = F.count(F.lit(1)).over(W.partitionBy(column))
+        return df.withColumn(name, F.rank().over(W.orderBy(column)) + (same - 1) / 2.0)
+
+    rows = ranked(scored, "probability", "r")
+    rows = ranked(rows, count, "rc") if count else rows.withColumn("rc", F.lit(None).cast("double"))
     pos, n = F.sum("label"), F.count(F.lit(1))
     auc = F.try_divide(F.sum(F.when(F.col("label") == 1, F.col("r"))) - pos * (pos + 1) / 2, (pos * (n - pos)).cast("double"))
-    out = ranked.agg(auc.alias("auc"), F.avg((F.col("probability") >= 0.5).cast("double")).alias("flag_rate"))
-    return out.withColumn("passes", (F.col("auc") >= 0.75) & (F.abs(F.col("flag_rate") - previous_rate) <= 0.15))
+    rho = F.try_divide(F.covar_pop("r", "rc"), F.stddev_pop("r") * F.stddev_pop("rc"))
+    out = rows.agg(auc.alias("auc"), F.avg((F.col("probability") >= 0.5).cast("double")).alias("flag_rate"), rho.alias("spearman"), F.avg("label").alias("_rate"))
+    near = F.abs(F.col("flag_rate") - (F.col("_rate") if rate is None else F.lit(rate))) <= 0.15
+    alike = F.coalesce(F.col("spearman") >= 0.6, F.lit(False)) if count else F.lit(True)
+    return out.withColumn("passes", F.coalesce((F.col("auc") >= 0.75) & near, F.lit(False)) & alike).drop("_rate")
 
 
 def linear_attribution(df: DataFrame, key: str, columns: list[str], coefficients: list[float]) -> DataFrame:
@@ -152,8 +227,6 @@ def kernel_attribution(df: DataFrame, model: IsolationForest, key: str, columns:
     Coalitions are drawn, missing features come from a background of ``background`` rows, and a weighted least
     squares fit that sums to the score gives the shares.
     """
-    from pyspark.sql import Window as W
-
     shared = df.sparkSession.sparkContext.broadcast(model)
     u = scalars.uniform(seed, *map(F.col, order))
     picked = df.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(u))).filter(F.col("_n") <= rows + background)
@@ -183,15 +256,11 @@ def kernel_attribution(df: DataFrame, model: IsolationForest, key: str, columns:
 
 def save_forest(spark, model: IsolationForest, path: str) -> None:
     """The model as one row of JSON in a folder of any store that the cluster knows."""
-    import json
-
     text = json.dumps({"mean": model.mean.tolist(), "scale": model.scale.tolist(), "norm": model.norm, "roots": model.roots})
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def load_forest(spark, path: str) -> IsolationForest:
-    import json
-
     d = json.loads(spark.read.text(path, wholetext=True).first().value)
     tree = lambda n: (int(n[0]), n[1], tree(n[2]), tree(n[3])) if isinstance(n, list) else n
     out = IsolationForest(len(d["roots"]))

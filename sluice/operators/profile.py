@@ -12,6 +12,11 @@ from . import windows
 #: The ladder of coverage grades, the weights of sensor health, the shifts that count.
 GRADES = [("A", 90.0), ("B", 75.0), ("C", 50.0), ("D", 25.0)]
 HEALTH = {"missing_percentage": 0.4, "duplicate_percentage": 0.2, "bdl_percentage": 0.2, "number_of_outages": 0.2}
+ADVICE = {
+    "full": ["Multivariate Correlation", "Diurnal Profiling", "Limit Violation Detector", "Compliance Audit"],
+    "basic": ["Single Parameter Trend", "Basic Limit Compliance", "Diurnal Profiling"],
+    "repair": ["Data Gap Recovery", "Sensor Calibration Audit"],
+}
 NO_QUARTERS = "No monitored parameters with quarterly data"
 PH_SHIFT, RELATIVE_SHIFT = 0.5, 0.25
 
@@ -90,7 +95,10 @@ def temporal_shift(readings: DataFrame) -> DataFrame:
 
 
 def quality_summary(readings: DataFrame, limits: DataFrame, inspections: DataFrame, tie: list[str] | None = None) -> DataFrame:
-    """One row per factory: span, counts, coverage, duplicates, gaps, grade and readiness.  One pass over the readings, and one for repeats."""
+    """One row per factory: span, counts, coverage, duplicates, gaps, grade, readiness and the fingerprints to use.
+
+    One pass over the readings, and one for repeats.  ``limits`` holds those of each factory's latest consent.
+    """
     v = F.col("value")
     base = readings.groupBy("factory_id").agg(
         F.min("timestamp").alias("monitoring_start"), F.max("timestamp").alias("monitoring_end"), F.count(F.lit(1)).alias("total_records"),
@@ -98,17 +106,21 @@ def quality_summary(readings: DataFrame, limits: DataFrame, inspections: DataFra
     )
     repeats = readings.groupBy("factory_id", "parameter_id", "timestamp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").groupBy("factory_id").agg(F.sum(F.col("n") - 1).alias("duplicate_values"))
     gaps = windows.largest_gap(readings, tie)
-    cto = limits.select("factory_id").distinct().withColumn("has_limits", F.lit(1))
+    cto = limits.groupBy("factory_id").agg(F.lit(1).alias("has_limits"), F.count_distinct("parameter_id").alias("limited_parameters"))
     visits = inspections.groupBy("factory_id").agg(F.count(F.lit(1)).alias("inspections"))
     rows = base.join(repeats, "factory_id", "left").join(gaps, "factory_id", "left").join(cto, "factory_id", "left").join(visits, "factory_id", "left")
-    rows = rows.fillna(0, ["duplicate_values", "has_limits", "inspections"])
+    rows = rows.fillna(0, ["duplicate_values", "has_limits", "limited_parameters", "inspections"])
     seconds = F.expr("timestampdiff(SECOND, monitoring_start, monitoring_end)")
     rows = rows.withColumns({"parameter_count": F.size("parameters"), "monitoring_days": F.round(F.greatest(F.lit(0.1), seconds / 86400.0), 2)})
     rows = rows.withColumn("expected_records", F.col("parameter_count") * (F.floor(seconds / 900) + 1))
     rows = rows.withColumn("coverage_percentage", F.least(F.lit(100.0), F.round(F.lit(100.0) * F.col("total_records") / F.col("expected_records"), 2)))
     rows = rows.withColumn("quality_grade", grade(F.col("coverage_percentage")))
     score = 0.4 * F.col("coverage_percentage") + 20 * F.least("parameter_count", F.lit(4)) / 4.0 + 15 * F.col("has_limits") + 15 * (F.col("inspections") > 0).cast("int") + 10 * F.least("monitoring_days", F.lit(180.0)) / 180.0
-    return rows.withColumn("readiness_score", F.round(score, 1))
+    rows = rows.withColumns({"readiness_score": F.round(score, 1), "average_records_per_day": F.round(F.col("total_records") / F.col("monitoring_days"), 2)})
+    advice = {k: F.array(*map(F.lit, v)) for k, v in ADVICE.items()}
+    ready = F.col("readiness_score")
+    use = F.when((ready >= 80) & (F.col("parameter_count") >= 4), advice["full"]).when(ready >= 50, advice["basic"]).otherwise(advice["repair"])
+    return rows.withColumn("recommended_fingerprints", use)
 
 
 def series_statistics(readings: DataFrame) -> DataFrame:

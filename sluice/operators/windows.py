@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import FeatureConfig
 from ..functions import numeric
@@ -140,7 +141,10 @@ def largest_gap(df: DataFrame, tie: list[str] | None = None) -> DataFrame:
 
 
 def positions(df: DataFrame, score: str, tie: str) -> DataFrame:
-    """position 1..n by descending score; equal scores take the places in the order of ``tie``."""
+    """position 1..n by descending score; equal scores take the places in the order of ``tie``.
+
+    For tables of factories, which are few: one task.  ``ranks`` is for any table.
+    """
     return df.withColumn("position", F.row_number().over(W.orderBy(F.col(score).desc_nulls_last(), tie)))
 
 
@@ -154,12 +158,37 @@ def carry_forward(df: DataFrame, column: str, keys: list[str], order: list[str])
     return df.withColumn(column, F.last(column, ignorenulls=True).over(w))
 
 
-def running_offset(df: DataFrame, column: str, order: list[Column]) -> DataFrame:
+def running_total(df: DataFrame, value: Column, name: str, order: str, tie: list[str], descending: bool = False, ranges: int = 200) -> DataFrame:
+    """``name``: the sum of ``value`` over all rows up to this one in the order of the whole table; nulls are least.
+
+    The values of ``order`` are cut into ``ranges`` by approximate quantiles (one pass).  Each range is a window of its
+    own, and gets the sums of the ranges before it, at most ``ranges`` + 1 rows.  Any cuts give the right result; rows
+    of one value stay together, and a column that is no number or time is one range.  ``df`` must give the same rows twice.
+    """
+    kind = df.schema[order].dataType
+    cuts = []
+    if isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        cuts = sorted(set(df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)])).first()[0] or []))
+    marks = F.array(*(F.lit(c).cast(kind) for c in cuts)) if cuts else None
+    rows = df.withColumn("_range", F.size(F.filter(marks, lambda c: c < F.col(order))) if cuts else F.lit(0))
+    turn = (lambda c: F.col(c).desc_nulls_last()) if descending else (lambda c: F.col(c).asc_nulls_first())
+    sums = rows.groupBy(F.col("_range").alias("_of")).agg(F.sum(value).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(W.orderBy(turn("_of")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    met = rows.join(F.broadcast(sums.select("_of", before.alias("_before"))), F.col("_range") == F.col("_of"))
+    w = W.partitionBy("_range").orderBy(turn(order), *tie).rowsBetween(W.unboundedPreceding, 0)
+    return met.withColumn(name, F.sum(value).over(w) + F.col("_before")).drop("_range", "_of", "_before")
+
+
+def ranks(df: DataFrame, score: str, tie: str) -> DataFrame:
+    """position 1..n by descending score, equal scores in the order of ``tie``; of a table of any size."""
+    return running_total(df, F.lit(1), "position", score, [tie], descending=True).withColumn("position", F.col("position").cast("int"))
+
+
+def running_offset(df: DataFrame, column: str, order: str, tie: list[str]) -> DataFrame:
     """offset: the running total before the row."""
-    w = W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("offset", F.sum(column).over(w) - F.col(column))
+    return running_total(df, F.col(column), "offset", order, tie).withColumn("offset", F.col("offset") - F.col(column))
 
 
-def every_kth(df: DataFrame, k: int, order: list[str]) -> DataFrame:
+def every_kth(df: DataFrame, k: int, order: str, tie: list[str]) -> DataFrame:
     """Rows 1, k + 1, 2k + 1, ... in order."""
-    return df.withColumn("_n", F.row_number().over(W.orderBy(*order))).filter((F.col("_n") - 1) % k == 0).drop("_n")
+    return running_total(df, F.lit(1), "_n", order, tie).filter((F.col("_n") - 1) % k == 0).drop("_n")

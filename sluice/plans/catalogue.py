@@ -19,6 +19,7 @@ from . import feature_matrix, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+BODY: dict[str, str] = {}
 PARAMETERS = ("click", "error", "purchase", "signup", "view")
 CFG = FeatureConfig(correlation_rows=12, lag_rows=24, rate_rows=192, parameters=PARAMETERS, ratio=("click", "view"))
 KEY = ["factory_id", "parameter_id", "event_id"]
@@ -58,6 +59,7 @@ def query(text: str | None = None, *ctes: str):
     def add(f):
         QUERIES[f.__name__] = f
         if text:
+            BODY[f.__name__] = text
             SQL[f.__name__] = sql(text, *ctes)
         return f
 
@@ -279,7 +281,10 @@ def rolling_corr(spark, d):
 _W24 = "(PARTITION BY factory_id, parameter_id ORDER BY timestamp, event_id ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)"
 
 
-@query(f"SELECT factory_id, parameter_id, event_id, round({_pairs('value', 'before', _W24, 24)}, 4) AS autocorrelation FROM (SELECT *, lag(value, 24) OVER {SER} AS before FROM clean)", "clean")
+_AUTO = f"SELECT factory_id, parameter_id, event_id, {_pairs('value', 'before', _W24, 24)} AS autocorrelation FROM (SELECT *, lag(value, 24) OVER {SER} AS before FROM clean)"
+
+
+@query(f"SELECT * REPLACE (round(autocorrelation, 4) AS autocorrelation) FROM ({_AUTO})", "clean")
 def autocorrelation(spark, d):
     return rounded(windows.autocorrelation(clean(spark, d), CFG, ordered()), KEY, "autocorrelation")
 
@@ -326,12 +331,37 @@ def limit_hugging(spark, d):
     return windows.limit_hugging(clean(spark, d), lim(spark, d), CFG).select(*KEY, "limit_hugging")
 
 
-@query()
-def feature_matrix_rows(spark, d):
+def features(spark: SparkSession, d: str) -> DataFrame:
     readings = clean(spark, d).select("factory_id", "parameter_id", "timestamp", "value", "quality_code", "event_id")
     return feature_matrix.build(readings, telemetry.quality_report(tel(spark, d)), lim(spark, d), CFG, ["event_id"])
 
 
+def body(name: str) -> str:
+    """The SQL of a query without its base views."""
+    return BODY[name]
+
+
+_CORR = [n for *_, n in windows.correlation_names(PARAMETERS)]
+_CELLS = _WIDE.replace("FROM telb", "FROM clean")
+_CORRS = "SELECT factory_id, timestamp, " + ", ".join(f'{_pairs(chr(34) + a + chr(34), chr(34) + b + chr(34), _W12, 12)} AS "{n}"' for a, b, n in windows.correlation_names(PARAMETERS)) + f" FROM ({_CELLS})"
+_RATIO = f"""SELECT factory_id, timestamp, r AS bod_cod_ratio, CASE WHEN count(r) OVER w = 192 THEN stddev_samp(r) OVER w END AS bod_cod_ratio_volatility
+    FROM (SELECT *, CASE WHEN click IS NOT NULL AND "view" > 1e-6 THEN click / "view" END AS r FROM ({_CELLS}) WHERE click IS NOT NULL OR "view" IS NOT NULL)
+    WINDOW w AS (PARTITION BY factory_id ORDER BY timestamp ROWS BETWEEN 191 PRECEDING AND CURRENT ROW)"""
+_FEATURES = f"""SELECT c.factory_id, c.parameter_id, c.timestamp, c.value, c.quality_code, c.event_id, rs.rolling_mean, rs.rolling_std, rs.rolling_cov, fl.flatline_flag, au.autocorrelation, mi.missing_rate, mi.bdl_rate,
+    ru.duplicate_run_length, se.cov_severity, {", ".join(f'co."{n}"' for n in _CORR)}, CASE WHEN c.parameter_id IN ('click', 'view') THEN ra.bod_cod_ratio END AS bod_cod_ratio,
+    CASE WHEN c.parameter_id IN ('click', 'view') THEN ra.bod_cod_ratio_volatility END AS bod_cod_ratio_volatility, hu.limit_hugging, er.error_rate AS quality_error_rate
+    FROM clean c JOIN ({body("rolling_stats")}) rs ON rs.event_id = c.event_id JOIN ({body("flatline_measured")}) fl ON fl.event_id = c.event_id JOIN ({_AUTO}) au ON au.event_id = c.event_id
+    JOIN ({body("missing_bdl_rates")}) mi ON mi.event_id = c.event_id JOIN ({body("dup_run_length")}) ru ON ru.event_id = c.event_id JOIN ({body("cov_severity")}) se ON se.event_id = c.event_id
+    JOIN ({body("limit_hugging")}) hu ON hu.event_id = c.event_id LEFT JOIN ({_CORRS}) co ON co.factory_id = c.factory_id AND co.timestamp = c.timestamp
+    LEFT JOIN ({_RATIO}) ra ON ra.factory_id = c.factory_id AND ra.timestamp = c.timestamp LEFT JOIN ({body("quality_report")}) er ON er.factory_id = c.factory_id"""
+_DIGITS = dict.fromkeys(["value", "rolling_mean", "rolling_std", "rolling_cov"], 6) | dict.fromkeys(["autocorrelation", "missing_rate", "bdl_rate", *_CORR, "bod_cod_ratio", "bod_cod_ratio_volatility"], 4)
+
+
+@query("SELECT * REPLACE (" + ", ".join(f'round("{c}", {n}) AS "{c}"' for c, n in _DIGITS.items()) + f", CAST(flatline_flag AS DOUBLE) AS flatline_flag, CAST(limit_hugging AS DOUBLE) AS limit_hugging) FROM ({_FEATURES})", "tel", "clean", "lim")
+def feature_matrix_rows(spark, d):
+    return features(spark, d).withColumns({c: F.round(F.col(f"`{c}`"), n) for c, n in _DIGITS.items()})
+
+
 @query(
     f"""SELECT factory_id, CAST(coalesce(max(date_diff('second', before, timestamp) // 60), 0) AS BIGINT) AS longest_gap_minutes
     FROM (SELECT *, lag(timestamp) OVER {SER} AS before FROM (SELECT *  REPLACE (date_trunc('second', timestamp) AS timestamp) FROM clean)) GROUP BY 1""", "clean")
@@ -341,7 +371,7 @@ def gap_max(spark, d):
 
 @query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS INTEGER) AS position FROM part")
 def rank_positions(spark, d):
-    return windows.positions(table(spark, d, "part"), "p_retailprice", "p_partkey").select("p_partkey", "position")
+    return windows.ranks(table(spark, d, "part"), "p_retailprice", "p_partkey").select("p_partkey", "position")
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n = 1")
@@ -357,12 +387,12 @@ def carry_forward(spark, d):
 @query("SELECT n_nationkey, round(sum(n_nationkey) OVER (ORDER BY n_nationkey ROWS UNBOUNDED PRECEDING) - n_nationkey, 4) AS \"offset\" FROM nation")
 def running_offset(spark, d):
     rows = table(spark, d, "nation").withColumn("w", F.col("n_nationkey").cast("double"))
-    return windows.running_offset(rows, "w", [F.col("n_nationkey").asc()]).select("n_nationkey", F.round("offset", 4).alias("offset"))
+    return windows.running_offset(rows, "w", "n_nationkey", []).select("n_nationkey", F.round("offset", 4).alias("offset"))
 
 
 @query("SELECT factory_id, parameter_id, event_id FROM (SELECT *, row_number() OVER (ORDER BY timestamp, event_id) AS n FROM tel WHERE factory_id IN ('site_0', 'site_1')) WHERE (n - 1) % 20 = 0", "tel")
 def systematic_sample(spark, d):
-    return windows.every_kth(tel(spark, d).filter(F.col("factory_id").isin("site_0", "site_1")), 20, ["timestamp", "event_id"]).select(*KEY)
+    return windows.every_kth(tel(spark, d).filter(F.col("factory_id").isin("site_0", "site_1")), 20, "timestamp", ["event_id"]).select(*KEY)
 
 
 # -- joins ------------------------------------------------------------------------------------------
@@ -615,15 +645,43 @@ def inspection_dip(spark, d):
     return rounded(fingerprints.inspection_dip(clean(spark, d), insp(spark, d)), ["factory_id"], "inspection_dip")
 
 
-@query()
+_SUMMARY = """SELECT *, CASE WHEN readiness_score >= 80 AND parameter_count >= 4 THEN ['Multivariate Correlation', 'Diurnal Profiling', 'Limit Violation Detector', 'Compliance Audit']
+    WHEN readiness_score >= 50 THEN ['Single Parameter Trend', 'Basic Limit Compliance', 'Diurnal Profiling'] ELSE ['Data Gap Recovery', 'Sensor Calibration Audit'] END AS recommended_fingerprints
+    FROM (SELECT *, round(total_records / monitoring_days, 2) AS average_records_per_day, CASE WHEN coverage_percentage >= 90 THEN 'A' WHEN coverage_percentage >= 75 THEN 'B' WHEN coverage_percentage >= 50 THEN 'C' WHEN coverage_percentage >= 25 THEN 'D' ELSE 'F' END AS quality_grade,
+    round(coverage_percentage * 0.4 + least(parameter_count, 4) / 4.0 * 20 + has_limits * 15 + CASE WHEN inspections > 0 THEN 15 ELSE 0 END + least(monitoring_days, 180) / 180.0 * 10, 1) AS readiness_score
+    FROM (SELECT * EXCLUDE (seconds), round(greatest(0.1, seconds / 86400.0), 2) AS monitoring_days, parameter_count * (seconds // 900 + 1) AS expected_records,
+    least(100.0, round(total_records / (parameter_count * (seconds // 900 + 1)) * 100, 2)) AS coverage_percentage
+    FROM (SELECT factory_id, min(timestamp) AS monitoring_start, max(timestamp) AS monitoring_end, (epoch_us(max(timestamp)) - epoch_us(min(timestamp))) // 1000000 AS seconds, count(*) AS total_records,
+    list_sort(list(DISTINCT parameter_id)) AS parameters, CAST(count(DISTINCT parameter_id) AS INTEGER) AS parameter_count, count(*) FILTER (value IS NULL) AS null_values, count(*) FILTER (value = 0) AS zero_values, count(*) FILTER (value < 0) AS negative_values,
+    CAST(coalesce(max(gap) // 60000000, 0) AS BIGINT) AS longest_gap_minutes, count(*) - count(DISTINCT parameter_id || '|' || CAST(timestamp AS VARCHAR)) AS duplicate_values
+    FROM (SELECT *, epoch_us(timestamp) - epoch_us(lag(timestamp) OVER (PARTITION BY factory_id, parameter_id ORDER BY timestamp, event_id)) AS gap FROM clean) GROUP BY 1)
+    LEFT JOIN (SELECT DISTINCT factory_id, 1 AS has_limits, (SELECT count(DISTINCT parameter_id) FROM lim x WHERE x.factory_id = lim.factory_id) AS limited_parameters FROM lim) USING (factory_id)
+    LEFT JOIN (SELECT factory_id, count(*) AS inspections FROM insp GROUP BY 1) USING (factory_id)))"""
+
+
+@query(_SUMMARY, "clean", "lim", "insp")
+def quality_summary(spark, d):
+    return profile.quality_summary(clean(spark, d), lim(spark, d), insp(spark, d), ["event_id"])
+
+
+_SHARE = lambda flag, of: f"coalesce(100.0 * count(*) FILTER ({flag}) / nullif(count({of}), 0), 0)"
+_SCORES = f"""SELECT f.*, p.impossible_ph_range, p.impossible_ph_count, x.inspection_dip, 100 - q.coverage_percentage AS missing_percentage FROM (
+    SELECT factory_id, {_SHARE('flatline_flag = 1', 'flatline_flag')} AS flatline, {_SHARE('limit_hugging = 1', 'limit_hugging')} AS limit_hugging, {_SHARE('autocorrelation > 0.95', 'autocorrelation')} AS copy_paste,
+    avg(list_avg([{", ".join(f'"{n}"' for n in _CORR)}])) AS correlation_break, avg(missing_rate) AS missing, 100 * max(quality_error_rate) AS errors FROM ({_FEATURES}) GROUP BY 1) f
+    JOIN ({body("inspection_dip")}) x USING (factory_id) JOIN ({body("ph_range")}) p USING (factory_id) LEFT JOIN ({_SUMMARY}) q USING (factory_id)"""
+_SCORED = f"SELECT *, {' + '.join('trig_' + k for k in _RULES)} AS total_fingerprints_triggered FROM (SELECT *, {_FLAGS} FROM ({_TRIG.replace('(missing - quantile_cont(missing, 0.5) OVER ()) / nullif(stddev_pop(missing) OVER (), 0)', '(missing_percentage - quantile_cont(missing_percentage, 0.5) OVER ()) / nullif(stddev_pop(missing_percentage) OVER (), 0)').replace('FROM mag m', f'FROM ({_SCORES}) m')}))"
+_MEASURES = ["flatline", "limit_hugging", "copy_paste", "correlation_break", "missing", "errors", "inspection_dip", "impossible_ph_range", "missing_percentage", "coordinated_missing_data", "data_integrity", "threshold"]
+
+
+@query("SELECT * REPLACE (" + ", ".join(f"round({c}, 4) AS {c}" for c in _MEASURES) + f") FROM ({_SCORED})", "tel", "clean", "lim", "insp")
 def fingerprint_scores(spark, d):
-    features = feature_matrix_rows(spark, d)
-    out = fingerprints.summarise(features, [n for *_, n in windows.correlation_names(PARAMETERS)])
+    out = fingerprints.summarise(features(spark, d), _CORR)
     out = out.join(fingerprints.inspection_dip(clean(spark, d), insp(spark, d)), "factory_id").join(fingerprints.impossible_ph(clean(spark, d), lim(spark, d).filter("parameter_id = 'signup'"), "signup"), "factory_id")
     missing = profile.quality_summary(clean(spark, d), lim(spark, d), insp(spark, d), ["event_id"]).select("factory_id", (100 - F.col("coverage_percentage")).alias("missing_percentage"))
     out = out.join(missing, "factory_id", "left")
     out = aggregates.from_median(aggregates.from_median(out, "missing_percentage", "coordinated_missing_data"), "errors", "data_integrity")
-    return fingerprints.triggers(aggregates.below_typical(out, "correlation_break"))
+    out = fingerprints.triggers(aggregates.below_typical(out, "correlation_break"))
+    return out.withColumns({c: F.round(c, 4) for c in _MEASURES})
 
 
 _NAMES = {"impossible_ph_range": "Impossible Ph Range", "inspection_dip": "Inspection Dip", "flatline": "Flatline", "limit_hugging": "Limit Hugging", "correlation_break": "Correlation Break", "copy_paste": "Copy Paste", "coordinated_missing_data": "Coordinated Missing Data", "data_integrity": "Data Integrity"}
@@ -718,11 +776,6 @@ def temporal_stability(spark, d):
     return profile.temporal_shift(rows)
 
 
-@query()
-def quality_summary(spark, d):
-    return profile.quality_summary(clean(spark, d), lim(spark, d), insp(spark, d), ["event_id"])
-
-
 @query(
     """SELECT s.factory_id, s.parameter_id, s.n, round(s.iqr, 4) AS iqr, count(*) FILTER (c.value < p25 - 1.5 * iqr OR c.value > p75 + 1.5 * iqr) AS outlier_count FROM (
     SELECT factory_id, parameter_id, count(value) AS n, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.75) AS p75, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM clean GROUP BY 1, 2) s
@@ -778,34 +831,72 @@ def consent_metadata(spark, d):
 _MODEL = ["flatline", "limit_hugging", "copy_paste", "missing"]
 
 
+_RAW = ["value", "rolling_mean", "rolling_std", "rolling_cov", "flatline_flag", *_CORR, "autocorrelation", "missing_rate", "limit_hugging"]
+
+
+def model_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(feature matrix of 33 factories, their aggregates and labels, the aggregates that every factory has)."""
+    name = F.concat(F.lit("f"), F.lpad((F.col("user_id") % 33).cast("string"), 2, "0"))
+    rows = tel(spark, d).withColumn("factory_id", name)
+    readings = telemetry.quality_filter(rows).select("factory_id", "parameter_id", "timestamp", "value", "quality_code", "event_id")
+    q = lambda x: F.percentile("value", F.lit(x))
+    limits = readings.groupBy("factory_id", "parameter_id").agg(q(0.9).alias("upper_limit"), q(0.05).alias("lower_limit"))
+    matrix = feature_matrix.build(readings, telemetry.quality_report(rows), limits, CFG, ["event_id"])
+    labels = triggered(spark, d).select("factory_id", "total_fingerprints_triggered", (F.col("total_fingerprints_triggered") >= 3).cast("int").alias("label"))
+    table_ = models.factory_aggregates(matrix, _RAW).join(labels, "factory_id")
+    return matrix, table_, models.complete_columns(table_, [f"{c}_{k}" for c in _RAW for k in ("mean", "std")])
+
+
 @query()
 def tamper_model_loo(spark, d):
-    rows = triggered(spark, d).withColumn("label", (F.col("total_fingerprints_triggered") >= 3).cast("int"))
-    return models.leave_one_out(rows, "factory_id", _MODEL, "label")
+    _, rows, columns = model_rows(spark, d)
+    out = models.leave_one_out(rows, "factory_id", columns, "label")
+    return out.join(rows.select("factory_id", "total_fingerprints_triggered"), "factory_id")
 
 
 @query()
 def tamper_model_gates(spark, d):
-    return models.gates(tamper_model_loo(spark, d), 0.4)
+    return models.gates(tamper_model_loo(spark, d), count="total_fingerprints_triggered")
+
+
+@query(
+    f"""SELECT *, coalesce(auc >= 0.75 AND abs(flag_rate - rate) <= 0.15 AND spearman >= 0.6, false) AS passes FROM (SELECT round((SELECT avg(CASE WHEN a.probability > b.probability THEN 1.0 WHEN a.probability = b.probability THEN 0.5 ELSE 0.0 END)
+    FROM s a, s b WHERE a.label = 1 AND b.label = 0), 6) AS auc, round(avg(CASE WHEN probability >= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS flag_rate, round(corr(rp, rc), 6) AS spearman, avg(label) AS rate
+    FROM (SELECT *, rank() OVER (ORDER BY probability) + (count(*) OVER (PARTITION BY probability) - 1) / 2.0 AS rp, rank() OVER (ORDER BY total) + (count(*) OVER (PARTITION BY total) - 1) / 2.0 AS rc FROM s))""", "mag")
+def gate_measures(spark, d):
+    rows = triggered(spark, d).withColumn("label", (F.col("total_fingerprints_triggered") >= 2).cast("int"))
+    return models.gates(rows, count="total_fingerprints_triggered").withColumns({c: F.round(c, 6) for c in ("auc", "flag_rate", "spearman")})
+
+
+SQL["gate_measures"] = SQL["gate_measures"].replace(" SELECT *, coalesce(auc", f", s AS (SELECT factory_id, probability, total, CASE WHEN total >= 2 THEN 1 ELSE 0 END AS label FROM ({_ALL})) SELECT * EXCLUDE (rate), coalesce(auc", 1)
+
+
+@query()
+def tamper_probability(spark, d):
+    matrix, rows, columns = model_rows(spark, d)
+    return models.factory_probability(matrix, models.fit_tamper_model(rows, columns, "label"), _RAW)
 
 
 @query()
 def iso_scores(spark, d):
-    rows = windows.rolling_stats(clean(spark, d), CFG, ordered())
-    columns = ["value", "rolling_mean", "rolling_std"]
+    rows, columns = features(spark, d), _RAW
     model = models.fit_isolation_forest(rows, columns, ["event_id"])
     return models.score_isolation_forest(rows, model, columns).groupBy("factory_id").agg(F.avg("anomaly_score").alias("anomaly_score"))
 
 
-@query()
+_COEFFICIENTS = [0.5, -0.25, 0.1, 1.0]
+
+
+@query(
+    "SELECT factory_id, CAST(row_number() OVER (PARTITION BY factory_id ORDER BY abs(shap) DESC, i) - 1 AS INTEGER) AS place, feature, raw_value, shap FROM ("
+    + " UNION ALL ".join(f"SELECT factory_id, {i} AS i, '{c}' AS feature, {c} AS raw_value, round({b} * ({c} - avg({c}) OVER ()), 4) AS shap FROM mag" for i, (c, b) in enumerate(zip(_MODEL, _COEFFICIENTS))) + ")", "mag")
 def linear_shap(spark, d):
-    return models.linear_attribution(mag(spark, d), "factory_id", _MODEL, [0.5, -0.25, 0.1, 1.0])
+    return models.linear_attribution(mag(spark, d), "factory_id", _MODEL, _COEFFICIENTS)
 
 
 @query()
 def kernel_shap(spark, d):
-    rows = windows.rolling_stats(clean(spark, d), CFG, ordered())
-    columns = ["value", "rolling_mean", "rolling_std"]
+    rows, columns = features(spark, d), _RAW
     return models.kernel_attribution(rows, models.fit_isolation_forest(rows, columns, ["event_id"]), "factory_id", columns, ["event_id"])
 
 

@@ -1,5 +1,6 @@
 """Nulls, ties, frames and guards of the telemetry operators, on tiny frames."""
 
+import datetime
 import math
 
 import numpy as np
@@ -222,3 +223,51 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) n, sum(missing) m from stats").first()[:] == (40, 8)
+
+
+def test_running_total_over_ranges(spark):
+    v = [5.0, None, 3.0, 3.0, 9.0, -1.0, 3.0, None, 7.0]
+    df = spark.createDataFrame(list(enumerate(v)), "k int, x double")
+    up = sorted(range(len(v)), key=lambda i: (v[i] is not None, v[i] or 0, i))
+    down = sorted(range(len(v)), key=lambda i: (v[i] is None, -(v[i] or 0), i))
+    for ranges in (1, 2, 50):
+        got = {r.k: r.n for r in windows.running_total(df, F.lit(1), "n", "x", ["k"], ranges=ranges).collect()}
+        assert got == {k: i + 1 for i, k in enumerate(up)}
+        got = {r.k: r.n for r in windows.running_total(df, F.col("k"), "n", "x", ["k"], descending=True, ranges=ranges).collect()}
+        assert got == {k: sum(down[: i + 1]) for i, k in enumerate(down)}
+    text = df.select("k", F.lit("a").alias("x"))
+    assert [r.position for r in windows.ranks(text, "x", "k").orderBy("k").collect()] == list(range(1, 10))
+    assert windows.every_kth(df.filter("k < 0"), 3, "x", ["k"]).count() == 0
+
+
+def test_windows_of_days(spark):
+    at = lambda s: datetime.datetime.fromisoformat(s)
+    a = spark.createDataFrame([("f", 1, at("2024-01-01 23:00"), at("2024-01-03 00:00")), ("f", 2, at("2024-01-02 00:00"), at("2024-01-02 00:00")), ("g", 3, at("2024-01-02 00:00"), None)], "factory_id string, a int, s timestamp_ntz, e timestamp_ntz")
+    r = spark.createDataFrame([("f", "p", at(t), 1.0) for t in ("2024-01-01 22:59", "2024-01-01 23:00", "2024-01-02 12:00", "2024-01-02 23:59:59", "2024-01-03 00:00")] + [("g", "p", at("2024-01-02 01:00"), 1.0)], "factory_id string, parameter_id string, timestamp timestamp_ntz, value double")
+    assert [tuple(x) for x in joins.in_windows(a, r, ["a"], "s", "e", [F.count("value").alias("n")]).collect()] == [(1, "p", 3)]
+
+
+def test_tamper_model(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    data = [(f"f{i:02}", float(x), float(x > 0.5) * 4 + float(y), int(x > 0.4)) for i, (x, y) in enumerate(rng.random((30, 2))) for _ in range(1)]
+    rows = spark.createDataFrame(data, "factory_id string, a_mean double, b_std double, y int")
+    model = models.fit_tamper_model(rows, ["a_mean", "b_std"], "y")
+    models.save_tamper_model(spark, model, f"{tmp_path}/m")
+    assert models.load_tamper_model(spark, f"{tmp_path}/m") == model
+    x = np.array([r[1:3] for r in data])
+    want = 1 / (1 + np.exp(-((x - model.mean) / model.scale @ model.coefficients + model.bias)))
+    got = [r.p for r in rows.select("factory_id", model.probability(rows.columns).alias("p")).orderBy("factory_id").collect()]
+    assert np.allclose(got, want)
+    # a column that the row lacks counts as 0, as does a null
+    assert rows.select(model.probability(["b_std"]).alias("p")).first().p == rows.withColumn("a_mean", F.lit(None)).select(model.probability(rows.columns).alias("p")).first().p
+    one = spark.createDataFrame([("f", 2.0), ("g", 1.0), ("g", 3.0), ("h", None)], "factory_id string, v double")
+    assert [tuple(r) for r in models.factory_aggregates(one, ["v"]).orderBy("factory_id").collect()] == [("f", 2.0, 0.0), ("g", 2.0, 2.0**0.5), ("h", None, 0.0)]
+    assert models.complete_columns(models.factory_aggregates(one, ["v"]), ["v_mean", "v_std"]) == ["v_std"]
+    with pytest.raises(ValueError):
+        models.fit_tamper_model(rows, ["a_mean"], "y", most=29)
+
+
+def test_gates_judge_the_order_of_triggers(spark):
+    rows = spark.createDataFrame([(0.9, 1, 1), (0.8, 1, 2), (0.2, 0, 3), (0.1, 0, 4)], "probability double, label int, n int")
+    assert [models.gates(rows, count=c).first().passes for c in (None, "n")] == [True, False]
+    assert models.gates(rows, count="n").first().spearman == pytest.approx(-1.0)
