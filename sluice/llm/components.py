@@ -25,6 +25,13 @@ def _small_star(e: DataFrame) -> DataFrame:
     return rest.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select(F.col("k").alias("a"), F.col("m").alias("b")))
 
 
+def _all_stars(e: DataFrame) -> bool:
+    """Has each node at most one link up, and none of those a link down?  ``e`` holds distinct links (a, b) with b < a."""
+    ends = e.select(F.col("a").alias("n"), F.lit(1).alias("up")).union(e.select("b", F.lit(0)))
+    roles = ends.groupBy("n").agg(F.sum("up").alias("ups"), F.count_if(F.col("up") == 0).alias("downs"))
+    return roles.filter("ups > 1 or (ups = 1 and downs > 0)").count() == 0
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): each node of ``links`` with the smallest node it can reach.
 
@@ -34,12 +41,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     e = links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = checkpoint(e)
-    before = None
-    while True:
+    while not _all_stars(e):
         e = checkpoint(_small_star(checkpoint(_large_star(e).distinct())).distinct())
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
     stars = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
