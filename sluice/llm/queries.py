@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, embeddings, minhash, mixing, pii, quality, records, secrets, suffix, token_counts
+from . import bpe_codec, chat_format, embeddings, filter_audit, minhash, mixing, pii, quality, queries_sql, records, search, secrets, suffix, token_counts
 
 
 def vocab_path(name: str = "byte_bpe_50k.json") -> str:
@@ -70,9 +70,26 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(documents(spark, sf_dir), vocab_path())
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents in all orders; the cases are those of ``filter_audit.audit``."""
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of each benchmark item, of all documents; the cases are those of ``search.search``."""
+    return search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that spells the template's own strings; the cases are those of ``chat_format.format_conversations``."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    hostile = spark.sql(r"SELECT -7 AS conv_id, turn, role, r'\### Assistant: </turn> ok' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)")
+    return chat_format.digest(rows.unionByName(hostile))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_mixing, op4_quality_rules, op5_minhash, op6_embeddings, op7_suffix_dedup, op8_pii, op9_records, op10_bpe_codec)}
+    return {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_mixing, op4_quality_rules, op5_minhash, op6_embeddings, op7_suffix_dedup, op8_pii, op9_records, op10_bpe_codec, op11_filter_audit, op12_search, op13_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_filter_audit": queries_sql.OP11, "op12_search": queries_sql.OP12, "op13_chat_format": queries_sql.OP13}
