@@ -79,8 +79,7 @@ def enumerate_orders(masks: DataFrame, letters: str) -> DataFrame:
             SELECT s.part, s.filter_order || l.letter, s.applied | l.bit, s.path || array(named_struct({", ".join(f"'{m}', {metrics[m]}" for m in METRICS)}))
             FROM prefixes s JOIN letters l ON s.applied & l.bit = 0 JOIN {{cells}} c ON c.part = s.part)
         SELECT part, filter_order, CAST(pos + 1 AS INT) AS step, {", ".join(METRICS)}
-        FROM (SELECT part, filter_order, posexplode(path) AS (pos, m) FROM prefixes WHERE length(filter_order) = {len(letters)}) LATERAL VIEW inline(array(m)) x AS {", ".join(METRICS)}
-        LIMIT ALL""",
+        FROM (SELECT part, filter_order, posexplode(path) AS (pos, m) FROM (SELECT * FROM prefixes LIMIT ALL) WHERE length(filter_order) = {len(letters)}) LATERAL VIEW inline(array(m)) x AS {", ".join(METRICS)}""",
         cells=checkpoint(packed),
     )
 

@@ -68,15 +68,15 @@ def forward(docs: DataFrame, vocabulary, id_col: str, text_col: str) -> DataFram
 class Shard:
     """Documents in order of their ids with posting lists of what each term adds to a score."""
 
-    def __init__(self, n, sizes, terms, counts, weights, total: int, length: int):
-        self.size = len(n)
+    def __init__(self, n, sizes, terms, counts, weights, total: int, length: int, window: int = WINDOW):
+        self.size, self.window, self.scored = len(n), window, 0
         m = 50 + (50 * n * total) // length
         docs = np.repeat(np.arange(self.size, dtype=np.int64), sizes)
         order = np.argsort(terms, kind="stable")
         terms, counts, self.docs = terms[order], counts[order].astype(np.int64), docs[order]
         self.adds = weights[terms] * ((1_000_000_000 * counts) // (1000 * counts + 20 * m[self.docs]))
         self.ends = np.searchsorted(terms, np.arange(len(weights) + 1))
-        self.edges = np.arange(0, self.size + WINDOW, WINDOW)
+        self.edges = np.arange(0, self.size + window, window)
         self._long: dict[int, tuple] = {}
 
     def list_of(self, term: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +122,8 @@ class Shard:
             by = np.argsort(most, kind="stable")
             deciding = np.cumsum(most[by]) >= max(floor, 1)  # documents of the others alone stay below
             low = self.edges[w]
-            dense = np.zeros(WINDOW, np.int64)
+            self.scored += 1
+            dense = np.zeros(self.window, np.int64)
             for i in by[deciding]:
                 d, a, at, _ = lists[i]
                 dense[d[at[w] : at[w + 1]] - low] += a[at[w] : at[w + 1]]
@@ -149,7 +150,7 @@ class Shard:
         return top_docs, top_scores
 
 
-def _candidates(table: DataFrame, asked, k: int, kind: DataType) -> DataFrame:
+def _candidates(table: DataFrame, asked, k: int, kind: DataType, window: int, postings: int) -> DataFrame:
     """(item_id, doc_id, score): each shard's best documents of each item of ``asked`` (broadcast: ids, their terms, weights, N, L)."""
     id_kind, item_type = table.schema["id"].dataType.simpleString(), to_arrow_type(kind)
 
@@ -163,7 +164,7 @@ def _candidates(table: DataFrame, asked, k: int, kind: DataType) -> DataFrame:
             t = t.take(pc.sort_indices(t, [("id", "ascending")], null_placement="at_end")).combine_chunks()
             column = lambda c: pa.concat_arrays(t.column(c).chunks)
             flat = lambda c: pc.list_flatten(column(c)).to_numpy(zero_copy_only=False)
-            s = Shard(column("n").to_numpy(zero_copy_only=False), pc.list_value_length(column("terms")).to_numpy(zero_copy_only=False), flat("terms"), flat("counts"), weights, total, length)
+            s = Shard(column("n").to_numpy(zero_copy_only=False), pc.list_value_length(column("terms")).to_numpy(zero_copy_only=False), flat("terms"), flat("counts"), weights, total, length, window)
             ids = column("id")
             for i, terms in enumerate(queries):
                 floor = int(floors[i][-1]) if len(floors[i]) == k else 0
@@ -176,7 +177,7 @@ def _candidates(table: DataFrame, asked, k: int, kind: DataType) -> DataFrame:
         for b in pieces(batches):
             held.append(b)
             size += len(pc.list_flatten(b.column(b.schema.get_field_index("terms"))))
-            if size >= POSTINGS:
+            if size >= postings:
                 yield from shard()
                 held, size = [], 0
         if held:
@@ -185,7 +186,7 @@ def _candidates(table: DataFrame, asked, k: int, kind: DataType) -> DataFrame:
     return table.mapInArrow(run, f"item_id {kind.simpleString()}, doc_id {id_kind}, score long")
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = 50, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, k: int = 50, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, postings: int = POSTINGS) -> DataFrame:
     """(item_id, rank int, doc_id, score long): the ``k`` documents of highest score above 0 of each item.
 
     With N documents that hold a term, L terms in all, n in the document, df documents with the term and tf occurrences: w =
@@ -196,8 +197,9 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50, id_col: str = "doc_id
     last.  Repeated rows are documents each.  Items that share an id are one item with the terms of all; items without a term, or
     whose terms no document holds, have no rows.  Empty tables give no rows.  Other columns play no part.
 
-    The items are cut into blocks by a hash of their ids so that a block's terms are about 16 MB (an item alone is never cut); blocks go to
-    all tasks one after another, and each is another pass over the texts.
+    The items are cut into blocks by a hash of their ids so that a block's terms are about 16 MB (an item alone is never cut);
+    blocks go to all tasks one after another, and each is another pass over the texts.  A task holds about ``postings`` of a shard's
+    (document, term) pairs; ``window`` is the number of documents that are skipped or scored together.
     """
     spark = docs.sparkSession
     asked = checkpoint(item_terms(items, item_col, item_text_col))
@@ -215,7 +217,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50, id_col: str = "doc_id
         weights = np.zeros(len(ids), np.int64)
         for term, df in table.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # a row for each term of the block at most
             weights[term] = math.floor(1000 * math.log((2 * total + 2) / (2 * df + 1)))
-        found = found.union(_candidates(table, spark.sparkContext.broadcast(([r["id"] for r in rows], queries, weights, total, length)), k, kind))
+        found = found.union(_candidates(table, spark.sparkContext.broadcast(([r["id"] for r in rows], queries, weights, total, length)), k, kind, window, postings))
     # in two levels: the shards' lists of one item are many
     order = [F.col("score").desc(), F.col("doc_id").asc_nulls_last()]
     found = found.withColumn("part", F.spark_partition_id() % 32)
