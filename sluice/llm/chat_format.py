@@ -30,6 +30,11 @@ def unescape(text: Column) -> Column:
     return text
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)``, with the value reckoned once: a column that a lambda names may be put into it whole, and run for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def before(sizes: Column, step: int = 256) -> Column:
     """For each element of an array of numbers the sum of those before it.
 
@@ -37,10 +42,10 @@ def before(sizes: Column, step: int = 256) -> Column:
     """
     nothing = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("list"))
     running = lambda xs: F.aggregate(xs, nothing, lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["list"], F.array(a["sum"])).alias("list")), lambda a: a["list"])
-    cuts = F.filter(F.sequence(F.lit(0), F.size(sizes)), lambda i: (i % step == 0) & (i < F.size(sizes)))
-    parts = F.transform(cuts, lambda i: F.slice(sizes, i + 1, step))
-    sums = F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x))
-    return F.flatten(F.zip_with(parts, running(sums), lambda p, base: F.transform(running(p), lambda x: x + base)))
+    cuts = lambda xs: F.filter(F.sequence(F.lit(0), F.size(xs)), lambda i: (i % step == 0) & (i < F.size(xs)))
+    parts = _let(sizes, lambda xs: F.transform(cuts(xs), lambda i: F.slice(xs, i + 1, step)))
+    sums = lambda ps: F.transform(ps, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x))
+    return _let(parts, lambda ps: F.flatten(F.zip_with(ps, running(sums(ps)), lambda p, base: F.transform(running(p), lambda x: x + base))))
 
 
 def format_conversations(rows: DataFrame, learn: tuple[str, ...] = ("assistant",), id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -71,9 +76,10 @@ def format_conversations(rows: DataFrame, learn: tuple[str, ...] = ("assistant",
         return F.transform(block, lambda x, j: F.struct(x["role"].alias("role"), head(x, j).alias("head"), escape(x["text"]).alias("text"), tail(j).alias("tail")))
 
     out = out.withColumn("p", F.flatten(F.transform("blocks", pieces)))
-    out = out.withColumn("starts", before(F.transform("p", lambda x: F.length(x["head"]) + F.length(x["text"]) + F.length(x["tail"]))))
-    span = lambda x, i: F.struct(x["role"].alias("role"), F.struct(i.alias("turn"), (F.get("starts", i) + F.length(x["head"])).alias("start"), F.length(x["text"]).alias("length")).alias("of"))
-    loss = F.transform(F.filter(F.transform("p", span), lambda x: x["role"].isin(*learn)), lambda x: x["of"])
+    starts = before(F.transform("p", lambda x: F.length(x["head"]) + F.length(x["text"]) + F.length(x["tail"])))
+    own = F.zip_with("p", starts, lambda x, s: F.struct(x["role"].alias("role"), (s + F.length(x["head"])).alias("start"), F.length(x["text"]).alias("length")))
+    span = F.transform(own, lambda x, i: F.struct(x["role"].alias("role"), F.struct(i.alias("turn"), x["start"].alias("start"), x["length"].alias("length")).alias("of")))
+    loss = F.transform(F.filter(span, lambda x: x["role"].isin(*learn)), lambda x: x["of"])
     formatted = F.array_join(F.transform("p", lambda x: F.concat(x["head"], x["text"], x["tail"])), "")
     return out.select(F.col("id").alias(id_col), formatted.alias("formatted"), loss.alias("loss"))
 
@@ -83,15 +89,14 @@ def read_turns(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
 
     Turns come from the text alone; ``learnt`` holds the unescaped text under each span of ``loss``.
     """
-    pieces = F.split("formatted", CLOSE)
-    out = formatted.select(F.col(f"`{id_col}`").alias("id"), "formatted", "loss", F.split("formatted", OPEN).alias("blocks"), pieces.alias("pieces"))
-    out = out.withColumn("starts", before(F.transform("pieces", lambda x: F.length(x) + len(CLOSE))))
+    placed = lambda ps: F.zip_with(ps, before(F.transform(ps, lambda x: F.length(x) + len(CLOSE))), lambda x, at: F.struct(x.alias("piece"), at.alias("start")))
     role = lambda b: F.substring_index(b, END, 1)
     texts = lambda b: F.split(F.substr(b, F.length(role(b)) + 2), CLOSE)
     turns = lambda b: F.transform(F.slice(texts(b), 1, F.size(texts(b)) - 1), lambda x: F.struct(unescape(role(b)).alias("role"), unescape(x).alias("text")))
-    under = lambda s: unescape(F.substr(F.get("pieces", s["turn"]), (s["start"] - F.get("starts", s["turn"]) + 1).cast("int"), s["length"]))
-    every = F.flatten(F.transform(F.slice("blocks", F.lit(2), F.size("blocks")), turns))
-    return out.select(F.col("id").alias(id_col), "formatted", every.alias("turns"), F.transform("loss", under).alias("learnt"))
+    under = lambda p, s: unescape(F.substr(p["piece"], (s["start"] - p["start"] + 1).cast("int"), s["length"]))
+    learnt = _let(_let(F.split("formatted", CLOSE), placed), lambda ps: F.transform("loss", lambda s: under(F.get(ps, s["turn"]), s)))
+    every = _let(F.split("formatted", OPEN), lambda bs: F.flatten(F.transform(F.slice(bs, F.lit(2), F.size(bs)), turns)))
+    return formatted.select(F.col(f"`{id_col}`"), "formatted", every.alias("turns"), learnt.alias("learnt"))
 
 
 def digest(rows: DataFrame, **columns: str) -> DataFrame:
