@@ -84,9 +84,9 @@ def labelled_unit(text: Column) -> Column:
 
 
 def any_date(text: Column, default: Column | None = None) -> Column:
-    """An ISO date, or the first day-first date with dots, slashes or hyphens inside the text, else ``default``."""
+    """An ISO date, a date with the month's name, or the first day-first date with dots, slashes or hyphens inside the text, else ``default``."""
     day_first = F.concat_ws("-", *(F.regexp_extract(text, r"(\d{2})[-/.](\d{2})[-/.](\d{4})", k) for k in (3, 2, 1)))
-    found = F.coalesce(F.try_to_date(text, "yyyy-MM-dd"), F.try_to_date(day_first, "yyyy-MM-dd"))
+    found = F.coalesce(F.try_to_date(text, "yyyy-MM-dd"), F.try_to_date(day_first, "yyyy-MM-dd"), long_date(text))
     return F.coalesce(found, default) if default is not None else found
 
 
@@ -108,8 +108,43 @@ def quality_name(code: Column) -> Column:
     return F.coalesce(F.try_element_at(names, code), code)
 
 
+#: Prefixes of offices (field, sub-regional, regional) before a region's name.
+_OFFICE = r"(?i)^(?:FO\s*-\s*|SRO\s*-\s*|RO\s*-\s*|FO|SRO|RO)\s*"
+#: Formats of dates in schedules, tried in this order.
+DATE_FORMATS = ["MMMM d, yyyy", "MMM d, yyyy", "yyyy-M-d", "d-M-yyyy"]
+
+
+def office(text: Column) -> Column:
+    """The region in the first brackets, without its office's prefix and leading hyphens; null without brackets."""
+    inside = F.nullif(F.regexp_extract(text, r"\(([^)]+)\)", 1), F.lit(""))
+    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(inside, _OFFICE, "")), "^-+", ""))
+
+
+def district(address: Column) -> Column:
+    """The word behind "Dist" or "District"."""
+    return F.nullif(F.regexp_extract(address, r"(?i)Dist(?:rict)?\s*:?\s*([A-Za-z]+)", 1), F.lit(""))
+
+
+def industrial_area(address: Column) -> Column:
+    """The word behind "MIDC", or before it; the first place in the text counts."""
+    both = F.regexp_extract(address, r"(?i)MIDC\s+([A-Za-z0-9-]+)|([A-Za-z0-9-]+)\s+MIDC", 0)
+    return F.nullif(F.trim(F.regexp_replace(both, r"(?i)^MIDC\s+|\s+MIDC$", "")), F.lit(""))
+
+
+def long_date(text: Column) -> Column:
+    """A date such as "January 5, 2026", "Jan 5, 2026", "2026-01-05" or "05-01-2026"; null if the text is none."""
+    t = F.trim(text)
+    # one blank, a capital first: what the formats expect
+    t = F.initcap(F.regexp_replace(t, r"\s+", " "))
+    return F.coalesce(*(F.try_to_timestamp(t, F.lit(f)).cast("date") for f in DATE_FORMATS))
+
+
 def region(text: Column) -> Column:
-    """The region named in brackets or after "Region:"."""
+    """The region named in brackets or after "Region:", without its office's prefix."""
+    return F.regexp_replace(_region(text), _OFFICE, "")
+
+
+def _region(text: Column) -> Column:
     return F.nullif(F.trim(F.coalesce(F.nullif(F.regexp_extract(text, r"(?i)region\s*:\s*([^,;]+)", 1), F.lit("")), F.regexp_extract(text, r"\(([^)]*)\)", 1))), F.lit(""))
 
 

@@ -30,9 +30,60 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows that insert-ignore would add: one for each key that ``old`` does not have."""
-    return new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti")
+def first_of(df: DataFrame, keys: list[str], order: list[str | Column] | None = None) -> DataFrame:
+    """One row of each key: the first in ``order``, or else in the order of all other columns, so that reruns agree."""
+    rest = order or [F.col(f"`{c}`").asc_nulls_last() for c in df.columns if c not in keys]
+    return latest(df, keys, rest or [F.lit(0)])
+
+
+def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: list[str | Column] | None = None) -> DataFrame:
+    """The rows that insert-ignore would add: the first by ``order`` of each key that ``old`` does not have."""
+    return first_of(new.join(old.select(*keys).distinct(), keys, "left_anti").select(*new.columns), keys, order)
+
+
+def insert_counts(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """(received, inserted, skipped): one row.  Rows that repeat a key of ``old``, or an earlier one of ``new``, are skipped; a key with a null meets no other."""
+    k = [F.col(f"`{c}`") for c in keys]
+    whole = F.lit(True)
+    for c in k:
+        whole = whole & c.isNotNull()
+    per = new.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    known = old.select(*keys).distinct().withColumn("_known", F.lit(1))
+    met = per.join(known, keys, "left").withColumn("_in", F.when(~whole, F.col("n")).when(F.col("_known").isNull(), 1).otherwise(0))
+    total = met.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("received"), F.coalesce(F.sum("_in"), F.lit(0)).cast("long").alias("inserted"))
+    return total.select("received", "inserted", (F.col("received") - F.col("inserted")).alias("skipped"))
+
+
+def numbered(df: DataFrame, keys: list[str], id_col: str, start: Column, buckets: int = 256, bucket: Column | None = None) -> DataFrame:
+    """``df`` with ``id_col``: start + 1, start + 2, ... without gaps, by bucket and then by ``keys``, which must be unique.
+
+    Rows are numbered inside buckets of their keys' hash (or ``bucket``) and moved by the sums of the buckets before, which is a table of
+    ``buckets`` rows: no window over the whole table, and the same numbers on every run.
+    """
+    b = F.pmod(F.xxhash64(*keys), F.lit(buckets)) if bucket is None else bucket
+    placed = df.withColumn("_bucket", b).withColumn("_n", F.row_number().over(W.partitionBy("_bucket").orderBy(*keys)))
+    sizes = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select(F.col("_bucket").alias("_of"), (F.sum("_size").over(W.orderBy("_bucket")) - F.col("_size")).alias("_before"))
+    out = placed.join(F.broadcast(before), F.col("_bucket").eqNullSafe(F.col("_of")))
+    return out.withColumn(id_col, (start + F.col("_before") + F.col("_n")).cast("long")).drop("_bucket", "_of", "_n", "_before")
+
+
+def upsert_returning(old: DataFrame, new: DataFrame, keys: list[str], id_col: str = "id", order: list[str | Column] | None = None, buckets: int = 256, bucket: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(table, returned): ``new`` into ``old`` by ``keys``, and what a store would return: keys, ``id_col``, inserted.
+
+    Rows of known keys keep their id and take the new columns; new keys get ids after the highest one (after 0 in an empty table), as
+    `numbered` deals them.  Of several new rows of a key the last by ``order`` counts (by all other columns without it).  Keys must
+    not be null.  Columns that one side lacks are null there.
+    """
+    rest = [F.desc(o) if isinstance(o, str) else o for o in order] if order else [F.col(f"`{c}`").desc_nulls_last() for c in new.columns if c not in keys] or [F.lit(0)]
+    fresh = latest(new, keys, rest)
+    top = old.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long").alias("_top"))
+    known = fresh.join(old.select(*keys, id_col), keys)
+    missing = fresh.join(old.select(*keys), keys, "left_anti").crossJoin(F.broadcast(top))  # one row
+    added = numbered(missing, keys, id_col, F.col("_top"), buckets, bucket).drop("_top")
+    changed = known.withColumn("inserted", F.lit(False)).unionByName(added.withColumn("inserted", F.lit(True)))
+    table = old.join(fresh.select(*keys), keys, "left_anti").unionByName(changed.drop("inserted"), allowMissingColumns=True)
+    return table, changed.select(*keys, id_col, "inserted")
 
 
 def replace_children(old: DataFrame, new: DataFrame, parent: str) -> DataFrame:
