@@ -15,9 +15,9 @@ DEPARTMENT, KIND, STATUS = "MPCB", "Standard", "Scheduled"
 
 
 def inner_text(html: Column) -> Column:
-    """The text of a piece of HTML: white space as one blank, line ends where ``<br>`` or a block ends, no tags, entities decoded."""
+    """The text of a piece of HTML: white space as one blank, line ends at ``<br>`` and where a block begins or ends, no tags, entities decoded."""
     t = F.regexp_replace(html, r"\s+", " ")
-    t = F.regexp_replace(t, r"(?i)<br\b[^>]*>|</(?:p|div|li)\s*>", "\n")
+    t = F.regexp_replace(t, r"(?i)</?(?:br|p|div|li)\b[^>]*>", "\n")
     t = F.regexp_replace(t, r"<[^>]*>", "")
     for entity, plain in ENTITIES:
         t = F.replace(t, F.lit(entity), F.lit(plain))
