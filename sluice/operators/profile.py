@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numeric
-from . import windows
+from . import names, windows
 
 #: The ladder of coverage grades, the weights of sensor health, the shifts that count.
 GRADES = [("A", 90.0), ("B", 75.0), ("C", 50.0), ("D", 25.0)]
@@ -94,10 +94,12 @@ def temporal_shift(readings: DataFrame) -> DataFrame:
     return out.select("factory_id", "temporal_shift_detected", text.alias("temporal_shift_summary"))
 
 
-def quality_summary(readings: DataFrame, limits: DataFrame, inspections: DataFrame, tie: list[str] | None = None) -> DataFrame:
+def quality_summary(readings: DataFrame, limits: DataFrame, inspections: DataFrame, tie: list[str] | None = None, factories: DataFrame | None = None) -> DataFrame:
     """One row per factory: span, counts, coverage, duplicates, gaps, grade, readiness and the fingerprints to use.
 
-    One pass over the readings, and one for repeats.  ``limits`` holds those of each factory's latest consent.
+    One pass over the readings, and one for repeats.  ``limits`` holds those of each factory's latest consent.  With ``factories`` (factory_id,
+    name, category) each of these has a row, also without readings, with its name and category, and inspections are counted by
+    name (the column factory_name); without it, by factory_id.
     """
     v = F.col("value")
     base = readings.groupBy("factory_id").agg(
@@ -107,16 +109,23 @@ def quality_summary(readings: DataFrame, limits: DataFrame, inspections: DataFra
     repeats = readings.groupBy("factory_id", "parameter_id", "timestamp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").groupBy("factory_id").agg(F.sum(F.col("n") - 1).alias("duplicate_values"))
     gaps = windows.largest_gap(readings, tie)
     cto = limits.groupBy("factory_id").agg(F.lit(1).alias("has_limits"), F.count_distinct("parameter_id").alias("limited_parameters"))
-    visits = inspections.groupBy("factory_id").agg(F.count(F.lit(1)).alias("inspections"))
+    visits = inspections.groupBy("factory_id").agg(F.count(F.lit(1)).alias("inspections")) if factories is None else names.visits_by_name(factories, inspections, "factory_id", "name", "factory_name").withColumnRenamed("visits", "inspections")
+    if factories is not None:
+        known = factories.select("factory_id", F.col("name").alias("factory_name"), F.col("category").alias("industry_category"))
+        counts = ["total_records", "null_values", "zero_values", "negative_values"]
+        base = known.join(base, "factory_id", "left").fillna(0, counts).withColumn("parameters", F.coalesce("parameters", F.array().cast("array<string>")))
     rows = base.join(repeats, "factory_id", "left").join(gaps, "factory_id", "left").join(cto, "factory_id", "left").join(visits, "factory_id", "left")
-    rows = rows.fillna(0, ["duplicate_values", "has_limits", "limited_parameters", "inspections"])
+    rows = rows.fillna(0, ["duplicate_values", "longest_gap_minutes", "has_limits", "limited_parameters", "inspections"])
     seconds = F.expr("timestampdiff(SECOND, monitoring_start, monitoring_end)")
-    rows = rows.withColumns({"parameter_count": F.size("parameters"), "monitoring_days": F.round(F.greatest(F.lit(0.1), seconds / 86400.0), 2)})
-    rows = rows.withColumn("expected_records", F.col("parameter_count") * (F.floor(seconds / 900) + 1))
-    rows = rows.withColumn("coverage_percentage", F.least(F.lit(100.0), F.round(F.lit(100.0) * F.col("total_records") / F.col("expected_records"), 2)))
+    rows = rows.withColumns({"parameter_count": F.size("parameters"), "monitoring_days": F.coalesce(F.round(F.greatest(F.lit(0.1), seconds / 86400.0), 2), F.lit(0.0))})
+    rows = rows.withColumns({"cto_available": F.col("has_limits") == 1, "inspection_schedule_available": F.col("inspections") > 0})
+    rows = rows.withColumn("expected_records", F.coalesce(F.col("parameter_count") * (F.floor(seconds / 900) + 1), F.lit(0)))
+    # a store that keeps no record of single intervals: those that lack a record in all
+    rows = rows.withColumn("missing_intervals", F.greatest(F.col("expected_records") - F.col("total_records"), F.lit(0)))
+    rows = rows.withColumn("coverage_percentage", F.when(F.col("expected_records") > 0, F.least(F.lit(100.0), F.round(F.try_divide(F.lit(100.0) * F.col("total_records"), "expected_records"), 2))).otherwise(0.0))
     rows = rows.withColumn("quality_grade", grade(F.col("coverage_percentage")))
     score = 0.4 * F.col("coverage_percentage") + 20 * F.least("parameter_count", F.lit(4)) / 4.0 + 15 * F.col("has_limits") + 15 * (F.col("inspections") > 0).cast("int") + 10 * F.least("monitoring_days", F.lit(180.0)) / 180.0
-    rows = rows.withColumns({"readiness_score": F.round(score, 1), "average_records_per_day": F.round(F.col("total_records") / F.col("monitoring_days"), 2)})
+    rows = rows.withColumns({"readiness_score": F.round(score, 1), "average_records_per_day": F.coalesce(F.round(F.try_divide("total_records", "monitoring_days"), 2), F.lit(0.0))})
     advice = {k: F.array(*map(F.lit, v)) for k, v in ADVICE.items()}
     ready = F.col("readiness_score")
     use = F.when((ready >= 80) & (F.col("parameter_count") >= 4), advice["full"]).when(ready >= 50, advice["basic"]).otherwise(advice["repair"])

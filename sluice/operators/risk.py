@@ -18,6 +18,20 @@ ACTIONS = {
     "MEDIUM": "Flag site for heightened monitoring & mandate sensor calibration report.",
     "LOW": "Normal routine surveillance.",
 }
+#: What alerts are called and when they are raised.
+ALERT_TYPE, ALERT_TIME = "Tamper Fingerprint Triggered", "2024-12-30 14:00:00"
+#: Label, unit and threshold of each fingerprint; the threshold of correlations follows the data.
+CHECKS = {
+    "impossible_ph_range": ("Impossible pH Range", "%", "> 0.0% of readings"),
+    "inspection_dip": ("Pre-Inspection Dip", "%", "average pre-inspection change < -20.0%"),
+    "flatline": ("Flatline", "%", "> 5.0% of readings"),
+    "limit_hugging": ("Limit Hugging", "%", "> 5.0% of readings"),
+    "correlation_break": ("Correlation Break", "", None),
+    "copy_paste": ("Copy-Paste", "%", "> 1.0% of readings (autocorrelation > 0.95)"),
+    "coordinated_missing_data": ("Coordinated Missing Data", "\u03c3", "> 1.5 std dev above dataset median missing rate"),
+    "data_integrity": ("Data Integrity (Error Rate)", "\u03c3", "> 1.5 std dev above dataset median error rate"),
+}
+NO_THRESHOLD = "insufficient data to compute dataset threshold"
 
 
 def composite(scores: DataFrame) -> DataFrame:
@@ -41,10 +55,15 @@ def category(score: Column, triggered: Column) -> Column:
     return out.otherwise("LOW")
 
 
-def alerts(risks: DataFrame) -> DataFrame:
-    """A row for each factory of high or critical risk."""
-    text = F.format_string("%s: risk %.1f, %d fingerprints", F.col("factory_id"), F.col("risk_score"), F.col("total_fingerprints_triggered"))
-    return risks.filter(F.col("risk_category").isin("HIGH", "CRITICAL")).select("factory_id", F.col("risk_category").alias("severity"), text.alias("message"))
+def alerts(risks: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(factory_id, alert_type, severity, message, timestamp, status): a row for each factory of high or critical risk.
+
+    ``names``: factory_id and name, one row each; a factory without a name goes by its id.
+    """
+    rows = risks.filter(F.col("risk_category").isin("HIGH", "CRITICAL"))
+    rows = rows.withColumn("name", F.lit(None).cast("string")) if names is None else rows.drop("name").join(names.select("factory_id", "name"), "factory_id", "left")
+    text = F.concat(F.coalesce("name", "factory_id"), F.lit(" triggered "), F.col("total_fingerprints_triggered").cast("string"), F.lit(" tampering fingerprints. "), F.col("recommended_action"))
+    return rows.select("factory_id", F.lit(ALERT_TYPE).alias("alert_type"), F.col("risk_category").alias("severity"), text.alias("message"), F.lit(ALERT_TIME).alias("timestamp"), F.lit("OPEN").alias("status"))
 
 
 def breakdown(risks: DataFrame) -> DataFrame:
@@ -59,9 +78,16 @@ def breakdown(risks: DataFrame) -> DataFrame:
 
 
 def checks(scores: DataFrame) -> DataFrame:
-    """(factory_id, place, key, raw_value, triggered): the fingerprints of each factory as rows."""
-    rows = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(k).alias("key"), F.col(k).cast("double").alias("raw_value"), (F.col(f"trig_{k}") == 1).alias("triggered")) for i, k in enumerate(ORDER)))
-    return scores.select("factory_id", F.explode(rows).alias("c")).select("factory_id", "c.*")
+    """(factory_id, place, key, label, raw_value, unit, threshold_desc, triggered): the fingerprints of each factory as rows.
+
+    The threshold of correlations is the column ``threshold``, told with four digits.
+    """
+    learnt = F.when(F.col("threshold").isNull(), NO_THRESHOLD).otherwise(F.concat(F.lit("< "), F.format_string("%.4f", numeric.half_even(F.col("threshold"), 4)), F.lit(" (dataset mean - 1 std dev)")))
+    of = lambda i, k: F.struct(
+        F.lit(i).alias("place"), F.lit(k).alias("key"), F.lit(CHECKS[k][0]).alias("label"), F.col(k).cast("double").alias("raw_value"), F.lit(CHECKS[k][1]).alias("unit"),
+        (learnt if CHECKS[k][2] is None else F.lit(CHECKS[k][2])).alias("threshold_desc"), F.coalesce(F.col(f"trig_{k}") == 1, F.lit(False)).alias("triggered"),
+    )
+    return scores.select("factory_id", F.explode(F.array(*(of(i, k) for i, k in enumerate(ORDER)))).alias("c")).select("factory_id", "c.*")
 
 
 def drivers(scores: DataFrame) -> DataFrame:

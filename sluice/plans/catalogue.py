@@ -463,9 +463,14 @@ def window_range_join(spark, d):
     return joins.in_windows(anchors, clean(spark, d), ["factory_id", "inspection_date"], "s", "e", [F.count("value").alias("n"), F.round(F.avg("value"), 8).alias("mean")])
 
 
-@query("SELECT a.label_order AS a, b.label_order AS b FROM lab a JOIN lab b ON a.factory_id = b.factory_id AND a.label_order < b.label_order WHERE greatest(a.start_timestamp, b.start_timestamp) <= least(a.end_timestamp, b.end_timestamp)", "lab")
+_TERMS = "SELECT o_orderkey, o_custkey % 50 AS client, o_orderdate AS s, o_orderdate + to_days(CAST(o_orderkey % 9 - 1 AS INTEGER)) AS e FROM orders"
+
+
+@query(f"WITH t AS ({_TERMS}) SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM t a JOIN t b ON a.client = b.client AND a.o_orderkey < b.o_orderkey WHERE greatest(a.s, b.s) <= least(a.e, b.e)")
 def interval_overlap(spark, d):
-    return joins.overlapping(lab(spark), "label_order", "factory_id", "start_timestamp", "end_timestamp")
+    o = table(spark, d, "orders")
+    terms = o.select("o_orderkey", (F.col("o_custkey") % 50).alias("client"), F.col("o_orderdate").alias("s"), (F.col("o_orderdate") + F.make_dt_interval(days=(F.col("o_orderkey") % 9 - 1).cast("int"))).alias("e"))
+    return joins.overlapping(terms, "o_orderkey", "client", "s", "e")
 
 
 #: The same words in SQL: of keyword searches, and of comparing two names.
@@ -529,30 +534,28 @@ def union_keys(spark, d):
 
 # -- scalar functions, sources and exports ---------------------------------------------------------------
 
-_ROWS = [
-    ("pH value", "5.5 - 9.0", "01/02/2024", "mg/l", "[37.61, 'U']", "Region: Pune, X"),
-    ("BOD (3 days)", "max 30", "2024-03-04", "pH scale", "['NA', 'E']", "Office (Thane)"),
-    ("Total flow", "10 to 20", "31.12.2023", "KLD", "x", "none"),
-    ("COD", "none", "bad", "deg C", "[1, 'L']", None),
-    ("suspended solid", "1,000", "issued 05-06-2023.", "m3/day", "[-2.5, 'Raw']", "Region : Nagpur"),
-    ("pH", "not to exceed 2.5 mg", "", "mg/ Nm3", "[1,2,3]", None),
-]
-_TEXTS = ", ".join("(" + ", ".join("NULL" if x is None else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in _ROWS)
-
-
-@query(
-    f"""SELECT p, CASE WHEN lower(trim(p)) IN ('ph', 'ph value') THEN 'ETP-pH' WHEN contains(lower(p), 'trade effluent') OR contains(lower(p), 'flow') THEN 'ETP-Flow' WHEN contains(lower(p), 'bod') THEN 'ETP-BOD'
-    WHEN contains(lower(p), 'cod') THEN 'ETP-COD' WHEN contains(lower(p), 'tss') OR contains(lower(p), 'suspended solid') THEN 'ETP-TSS' END AS parameter_id,
-    TRY_CAST(regexp_extract(replace(r, ',', ''), '([0-9.]+)\\s*(?:to|-)\\s*([0-9.]+)', 1) AS DOUBLE) AS low,
-    coalesce(TRY_CAST(regexp_extract(replace(r, ',', ''), '([0-9.]+)\\s*(?:to|-)\\s*([0-9.]+)', 2) AS DOUBLE), TRY_CAST(regexp_extract(replace(r, ',', ''), '[0-9.]+') AS DOUBLE)) AS high,
-    coalesce(TRY_CAST(d AS DATE), CAST(TRY_STRPTIME(regexp_replace(regexp_extract(d, '[0-9]{{2}}[-/.][0-9]{{2}}[-/.][0-9]{{4}}'), '[/.]', '-', 'g'), '%d-%m-%Y') AS DATE), DATE '1970-01-01') AS day,
-    CASE u WHEN 'mg/l' THEN 'mg/l' WHEN 'KLD' THEN 'KLD' WHEN 'pH scale' THEN 'pH' WHEN 'mg/ Nm3' THEN 'mg/Nm3' END AS unit,
-    CAST(CASE c WHEN '[37.61, ''U'']' THEN 37.61 WHEN '[1, ''L'']' THEN 1.0 WHEN '[-2.5, ''Raw'']' THEN -2.5 END AS DOUBLE) AS value, CASE c WHEN '[37.61, ''U'']' THEN 'U' WHEN '[1, ''L'']' THEN 'L' WHEN '[-2.5, ''Raw'']' THEN 'Raw' END AS code,
-    CASE WHEN g LIKE 'Region%' THEN trim(regexp_extract(g, ':\\s*([^,;]+)', 1)) WHEN g LIKE '%(%' THEN regexp_extract(g, '\\((.*)\\)', 1) END AS region FROM (VALUES {_TEXTS}) t(p, r, d, u, c, g)""")
+#: By the remainder of the key: what is read from texts that are made of the columns of ``orders``.
+_CASE = lambda m, *xs: f"CASE o_orderkey % {m} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(xs)) + " END"
+
+
+@query(
+    f"""SELECT o_orderkey, {_CASE(7, "'ETP-pH'", "'ETP-BOD'", "'ETP-Flow'", "'ETP-COD'", "'ETP-TSS'", "'ETP-pH'", "NULL")} AS parameter_id, CAST({_CASE(6, 'o_custkey', 'NULL', 'o_custkey + 0.5', 'NULL', 'NULL', 'NULL')} AS DOUBLE) AS low,
+    CAST({_CASE(6, 'o_custkey + 7', 'o_custkey', 'o_custkey + 2.25', 'NULL', 'o_custkey + 1000000', 'o_custkey + 0.5')} AS DOUBLE) AS high, CASE WHEN o_orderkey % 5 = 4 THEN DATE '1970-01-01' ELSE CAST(o_orderdate AS DATE) END AS day,
+    {_CASE(8, "'mg/l'", "'pH'", "'KLD'", "NULL", "'mg/Nm3'", "'kg/day'", "'ppm'", "NULL")} AS unit, CAST({_CASE(4, 'o_custkey + 0.5', 'NULL', "CAST('-1' || o_custkey AS DOUBLE)", 'NULL')} AS DOUBLE) AS value, {_CASE(4, "'U'", "NULL", "'Raw'", "NULL")} AS code,
+    {_CASE(4, "'Thane ' || o_custkey", "'Pune'", "NULL", "NULL")} AS region, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey || 'b' END AS labelled FROM orders""")
 def scalar_functions(spark, d):
-    t = spark.createDataFrame([tuple(r) for r in _ROWS], "p string, r string, d string, u string, c string, g string")
+    k, n = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    pick = lambda m, *xs: F.element_at(F.array(*(x if not isinstance(x, str) else F.lit(x) for x in xs)), (k % m + 1).cast("int"))
+    say, day = lambda *xs: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in xs)), lambda f: F.date_format("o_orderdate", f)
+    t = table(spark, d, "orders").select(
+        k, pick(7, " pH Value", say("BOD (", n, " days)"), say("Trade effluent ", n), "chemical oxygen demand COD", "Suspended Solids", "pH", "o-priority").alias("p"),
+        pick(6, say(n, " - ", (F.col("o_custkey") + 7).cast("string")), say("max ", n), say("from ", n, ".5 to ", (F.col("o_custkey") + 2).cast("string"), ".25"), "none", say("1,0", F.lpad(n, 5, "0")), say("not to exceed ", n, ".5 mg")).alias("r"),
+        pick(5, day("dd/MM/yyyy"), day("yyyy-MM-dd"), say("issued ", day("dd.MM.yyyy"), "."), day("MMMM d, yyyy"), "31/31/2024").alias("d"), pick(8, "in mg/ l", "pH scale", "KLD", "deg C", "MG/ Nm3", "kg/ day", "5 ppm", "").alias("u"),
+        pick(4, say("[", n, ".5, 'U']"), "['NA', 'E']", say("[-1", n, ", 'Raw']"), say("[", n, ", 2, 3]")).alias("c"), pick(4, say("Office (FO - Thane ", n, ")"), "Region: Pune, X", "none", F.lit(None).cast("string")).alias("g"),
+        F.when(k % 3 == 0, say("Works, UNIT - ", n, "b")).otherwise("Works").alias("l"),
+    )
     limits, cell = scalars.limit_range(F.col("r")), scalars.cell(F.col("c"))
-    return t.select("p", scalars.standard_parameter(F.col("p")).alias("parameter_id"), limits["low"].alias("low"), limits["high"].alias("high"), scalars.any_date(F.col("d"), F.lit("1970-01-01").cast("date")).alias("day"), scalars.unit(F.col("u")).alias("unit"), cell["value"].alias("value"), cell["code"].alias("code"), scalars.region(F.col("g")).alias("region"))
+    return t.select("o_orderkey", scalars.standard_parameter(F.col("p")).alias("parameter_id"), limits["low"].alias("low"), limits["high"].alias("high"), scalars.any_date(F.col("d"), F.lit("1970-01-01").cast("date")).alias("day"), scalars.unit(F.col("u")).alias("unit"), cell["value"].alias("value"), cell["code"].alias("code"), scalars.region(F.col("g")).alias("region"), scalars.labelled_unit(F.col("l")).alias("labelled"))
 
 
 @query(
@@ -594,14 +597,21 @@ def pivot_export(spark, d):
     return sinks.pivot_export(telb(spark, d), list(PARAMETERS))
 
 
-@query("SELECT CAST(s AS DATE) AS start, least(CAST(s + INTERVAL 6 DAYS AS DATE), DATE '2024-06-30') AS \"end\" FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-06-30', INTERVAL 7 DAYS) t(s)")
+_SPANS = "SELECT event_type, CAST(min(ts) AS DATE) AS a, CAST(max(ts) AS DATE) AS b FROM events GROUP BY 1"
+
+
+def spans(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy("event_type").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+
+
+@query(f"SELECT event_type, CAST(s AS DATE) AS start, least(CAST(s + INTERVAL 6 DAYS AS DATE), b) AS \"end\" FROM (SELECT *, unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 7 DAYS)) AS s FROM ({_SPANS}))")
 def date_chunks(spark, d):
-    return telemetry.date_chunks(spark, "2024-01-01", "2024-06-30")
+    return telemetry.chunks(spans(spark, d), "a", "b").select("event_type", "start", "end")
 
 
-@query("SELECT CAST(s AS DATE) AS start, least(last_day(s), DATE '2024-12-15') AS \"end\" FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-12-15', INTERVAL 1 MONTH) t(s)")
+@query(f"SELECT event_type, CAST(s AS DATE) AS start, least(last_day(CAST(s AS DATE)), b) AS \"end\" FROM (SELECT *, unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 MONTH)) AS s FROM ({_SPANS}))")
 def month_chunks(spark, d):
-    return telemetry.month_chunks(spark, "2024-01-01", "2024-12-15")
+    return telemetry.chunks(spans(spark, d), "a", "b", None).select("event_type", "start", "end")
 
 
 # -- fingerprints and risk ---------------------------------------------------------------------------------
@@ -649,7 +659,7 @@ _SUMMARY = """SELECT *, CASE WHEN readiness_score >= 80 AND parameter_count >= 4
     WHEN readiness_score >= 50 THEN ['Single Parameter Trend', 'Basic Limit Compliance', 'Diurnal Profiling'] ELSE ['Data Gap Recovery', 'Sensor Calibration Audit'] END AS recommended_fingerprints
     FROM (SELECT *, round(total_records / monitoring_days, 2) AS average_records_per_day, CASE WHEN coverage_percentage >= 90 THEN 'A' WHEN coverage_percentage >= 75 THEN 'B' WHEN coverage_percentage >= 50 THEN 'C' WHEN coverage_percentage >= 25 THEN 'D' ELSE 'F' END AS quality_grade,
     round(coverage_percentage * 0.4 + least(parameter_count, 4) / 4.0 * 20 + has_limits * 15 + CASE WHEN inspections > 0 THEN 15 ELSE 0 END + least(monitoring_days, 180) / 180.0 * 10, 1) AS readiness_score
-    FROM (SELECT * EXCLUDE (seconds), round(greatest(0.1, seconds / 86400.0), 2) AS monitoring_days, parameter_count * (seconds // 900 + 1) AS expected_records,
+    FROM (SELECT * EXCLUDE (seconds), coalesce(has_limits, 0) = 1 AS cto_available, coalesce(inspections, 0) > 0 AS inspection_schedule_available, greatest(parameter_count * (seconds // 900 + 1) - total_records, 0) AS missing_intervals, round(greatest(0.1, seconds / 86400.0), 2) AS monitoring_days, parameter_count * (seconds // 900 + 1) AS expected_records,
     least(100.0, round(total_records / (parameter_count * (seconds // 900 + 1)) * 100, 2)) AS coverage_percentage
     FROM (SELECT factory_id, min(timestamp) AS monitoring_start, max(timestamp) AS monitoring_end, (epoch_us(max(timestamp)) - epoch_us(min(timestamp))) // 1000000 AS seconds, count(*) AS total_records,
     list_sort(list(DISTINCT parameter_id)) AS parameters, CAST(count(DISTINCT parameter_id) AS INTEGER) AS parameter_count, count(*) FILTER (value IS NULL) AS null_values, count(*) FILTER (value = 0) AS zero_values, count(*) FILTER (value < 0) AS negative_values,
@@ -695,9 +705,17 @@ def composite_risk(spark, d):
     return risks(spark, d).select("factory_id", "risk_score", "risk_category", F.round("anomaly_norm", 4).alias("anomaly_norm"), F.array_join("triggered_fingerprints", "|").alias("names"), "recommended_action")
 
 
-@query(f"SELECT factory_id, risk_category AS severity, format('{{}}: risk {{:.1f}}, {{}} fingerprints', factory_id, risk_score, total) AS message FROM ({_RISK}) WHERE risk_category IN ('HIGH', 'CRITICAL')", "mag")
+@query(
+    f"""SELECT factory_id, 'Tamper Fingerprint Triggered' AS alert_type, risk_category AS severity, coalesce(n_name, factory_id) || ' triggered ' || total || ' tampering fingerprints. ' || CASE risk_category WHEN 'CRITICAL' THEN 'Immediate unannounced physical site inspection & automated regulator dispatch.'
+    ELSE 'Issue formal notice of telemetry anomaly & schedule audit within 48 hours.' END AS message, '2024-12-30 14:00:00' AS timestamp, 'OPEN' AS status FROM ({_RISK}) LEFT JOIN nation ON factory_id = 'f' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') WHERE risk_category IN ('HIGH', 'CRITICAL')""", "mag")
 def alerts(spark, d):
-    return risk.alerts(risks(spark, d))
+    return risk.alerts(risks(spark, d), factory_names(spark, d))
+
+
+def factory_names(spark: SparkSession, d: str) -> DataFrame:
+    """(factory_id, name, region, industry) of the first 25 factories, made of nations and regions."""
+    rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.select(F.concat(F.lit("f"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("factory_id"), F.col("n_name").alias("name"), F.col("r_name").alias("region"), F.concat(F.lit("Industry "), (F.col("n_nationkey") % 3).cast("string")).alias("industry"))
 
 
 @query(
@@ -707,7 +725,15 @@ def score_breakdown(spark, d):
     return risk.breakdown(risks(spark, d))
 
 
-@query(" UNION ALL ".join(f"SELECT factory_id, {i} AS place, '{k}' AS key, round({k}, 4) AS raw_value, trig_{k} = 1 AS triggered FROM ({_ALL})" for i, k in enumerate(_RULES)), "mag")
+_TOLD = {
+    "impossible_ph_range": ("Impossible pH Range", "%", "'> 0.0% of readings'"), "inspection_dip": ("Pre-Inspection Dip", "%", "'average pre-inspection change < -20.0%'"), "flatline": ("Flatline", "%", "'> 5.0% of readings'"),
+    "limit_hugging": ("Limit Hugging", "%", "'> 5.0% of readings'"), "correlation_break": ("Correlation Break", "", "'< ' || printf('%.4f', threshold) || ' (dataset mean - 1 std dev)'"),
+    "copy_paste": ("Copy-Paste", "%", "'> 1.0% of readings (autocorrelation > 0.95)'"), "coordinated_missing_data": ("Coordinated Missing Data", "\u03c3", "'> 1.5 std dev above dataset median missing rate'"),
+    "data_integrity": ("Data Integrity (Error Rate)", "\u03c3", "'> 1.5 std dev above dataset median error rate'"),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT factory_id, {i} AS place, '{k}' AS key, '{_TOLD[k][0]}' AS label, round({k}, 4) AS raw_value, '{_TOLD[k][1]}' AS unit, {_TOLD[k][2]} AS threshold_desc, trig_{k} = 1 AS triggered FROM ({_ALL})" for i, k in enumerate(_RULES)), "mag")
 def check_list(spark, d):
     return risk.checks(triggered(spark, d)).withColumn("raw_value", F.round("raw_value", 4))
 
@@ -801,13 +827,99 @@ def city_filter(spark, d):
     return views.in_cities(table(spark, d, "nation"), "n_name", {"x": ["N_1", "2"]}, "unknown").select("n_name")
 
 
-@query(
-    f"""SELECT CAST(row_number() OVER (ORDER BY risk_score DESC, factory_id) AS INTEGER) AS position, factory_id, CASE WHEN factory_id < 'f10' THEN 'Site ' || factory_id ELSE factory_id END AS name, risk_score, risk_category,
-    round(flatline / 100, 6) AS flatline_rate, round(limit_hugging / 100, 6) AS limit_hugging_rate, round(copy_paste / 100, 6) AS copy_paste_rate, round(coalesce(inspection_dip, 0), 6) AS inspection_dip, trig_coordinated_missing_data AS coordinated_missing_flag FROM ({_RISK})""", "mag")
-def score_view(spark, d):
+_VIEW = f"""SELECT CAST(row_number() OVER (ORDER BY risk_score DESC, factory_id) AS INTEGER) AS rank, factory_id, coalesce(n_name, 'Industrial Site ' || factory_id) AS name, coalesce(r_name, 'Taloja') AS region, coalesce('Industry ' || (n_nationkey % 3), 'Chemical Manufacturing') AS industry,
+    risk_score AS tsi_score, CASE risk_category WHEN 'CRITICAL' THEN 'High' WHEN 'HIGH' THEN 'High' WHEN 'MEDIUM' THEN 'Medium' ELSE 'Low' END AS risk_tier, risk_category AS true_risk_category, norm AS anomaly_score, flatline / 100 AS flatline_rate, copy_paste / 100 AS autocorr_high_rate,
+    limit_hugging / 100 AS limit_hugging_mean, impossible_ph_range / 100 AS impossible_val_rate, coalesce(inspection_dip, 0) AS pre_dip_mean, trig_coordinated_missing_data AS coordinated_missing_flag, CAST(0 AS DOUBLE) AS dup_run_rate, CAST(0 AS DOUBLE) AS bdl_rate_mean, CAST(0 AS DOUBLE) AS cov_high_rate,
+    CAST(NULL AS DOUBLE) AS bod_cod_vol_mean FROM ({_RISK}) LEFT JOIN nation ON factory_id = 'f' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') LEFT JOIN region ON n_regionkey = r_regionkey"""
+_VIEWED = ["anomaly_score", "flatline_rate", "autocorr_high_rate", "limit_hugging_mean", "impossible_val_rate", "pre_dip_mean"]
+
+
+def view(spark: SparkSession, d: str) -> DataFrame:
     r = risks(spark, d)
-    out = views.score_view(r, r.filter("factory_id < 'f10'").select("factory_id", F.concat(F.lit("Site "), F.col("factory_id")).alias("name")))
-    return out.withColumns({c: F.round(c, 6) for c in ("flatline_rate", "limit_hugging_rate", "copy_paste_rate", "inspection_dip")})
+    return views.score_view(r.select("factory_id", "risk_score", "risk_category", "anomaly_norm"), r.drop("anomaly_norm"), factory_names(spark, d))
+
+
+@query("SELECT * REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in _VIEWED) + f") FROM ({_VIEW})", "mag")
+def score_view(spark, d):
+    return view(spark, d).withColumns({c: F.round(c, 6) for c in _VIEWED})
+
+
+@query(f"SELECT count(*) AS total_factories, " + ", ".join(f"count(*) FILTER (risk_tier = '{t}') AS {t.lower()}_risk_count" for t in ("High", "Medium", "Low")) + f" FROM ({_VIEW})", "mag")
+def dashboard_summary(spark, d):
+    return views.summary(view(spark, d))
+
+
+@query(f"SELECT rank, factory_id, name, region, risk_tier FROM ({_VIEW}) WHERE lower(risk_tier) = 'high' AND lower(region) <> 'none'", "mag")
+def view_listing(spark, d):
+    return views.listing(view(spark, d), None, "HIGH", "name").select("rank", "factory_id", "name", "region", "risk_tier")
+
+
+@query(f"SELECT rank, factory_id, name, region AS district, industry, risk_tier, tsi_score FROM ({_VIEW}) WHERE industry = 'Industry 1'", "mag")
+def admin_listing(spark, d):
+    return views.admin_listing(view(spark, d), "All Districts", " industry 1 ")
+
+
+@query(f"SELECT factory_id, 'Critical' AS tag FROM ({_VIEW}) WHERE risk_tier = 'High'", "mag")
+def tagged_listing(spark, d):
+    return views.tagged(view(spark, d), "critical").select("factory_id", "tag")
+
+
+_QUALITY = "SELECT 'f' || lpad(CAST(user_id % 30 AS VARCHAR), 2, '0') AS factory_id, round(100 * avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END), 2) AS coverage_percentage, round(avg(value), 2) AS readiness_score, CAST(count(DISTINCT event_type) AS INTEGER) AS parameter_count, count(*) AS total_records FROM events GROUP BY 1"
+_MEANT = "SELECT factory_id, " + ", ".join(f"max(mean) FILTER (parameter_id = '{p}') AS avg_{p}" for p in ("click", "view")) + " FROM (SELECT 'f' || lpad(CAST(user_id % 33 AS VARCHAR), 2, '0') AS factory_id, event_type AS parameter_id, round(avg(value) * 10) / 10 AS mean FROM events GROUP BY 1, 2) GROUP BY 1"
+
+
+def quality_of_users(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("value")
+    return table(spark, d, "events").groupBy(F.concat(F.lit("f"), F.lpad((F.col("user_id") % 30).cast("string"), 2, "0")).alias("factory_id")).agg(
+        F.round(100 * F.avg(F.when(v > 50, 1.0).otherwise(0.0)), 2).alias("coverage_percentage"), F.round(F.avg(v), 2).alias("readiness_score"), F.count_distinct("event_type").cast("int").alias("parameter_count"), F.count(F.lit(1)).alias("total_records")
+    )
+
+
+@query(
+    f"""SELECT v.factory_id, v.name, v.rank, NOT (v.rank % 4 = 0) AS has_cto_context, CASE WHEN v.rank % 4 = 0 THEN '⚠️ Limited Regulatory Context (Missing CTO limits / Inspection baseline)' END AS context_warning, coalesce(q.coverage_percentage, 92.5) AS coverage_percentage,
+    round(100 - coalesce(q.coverage_percentage, 92.5), 2) AS missing_percentage, coalesce(q.readiness_score, 84.5) AS readiness_score, coalesce(q.parameter_count, 4) AS parameter_count, avg_click, avg_view,
+    CASE WHEN true_risk_category IN ('HIGH', 'CRITICAL') THEN 'Risk score is being driven by fingerprint checks: ' || coalesce(nullif(concat_ws(', ', CASE WHEN flatline_rate > 0.05 THEN 'flatline' END, CASE WHEN limit_hugging_mean > 0.05 THEN 'limit hugging' END,
+    CASE WHEN coordinated_missing_flag = 1 THEN 'coordinated missing data' END, CASE WHEN impossible_val_rate <> 0 THEN 'impossible values' END), ''), 'see raw_fingerprint_signals for detail') || '.' END AS note
+    FROM ({_VIEW}) v LEFT JOIN ({_QUALITY}) q USING (factory_id) LEFT JOIN ({_MEANT}) m USING (factory_id)""", "mag")
+def factory_details(spark, d):
+    shown = view(spark, d)
+    rows = table(spark, d, "events").select(F.concat(F.lit("f"), F.lpad((F.col("user_id") % 33).cast("string"), 2, "0")).alias("factory_id"), F.col("event_type").alias("parameter_id"), "value")
+    out = views.details(shown, quality_of_users(spark, d), views.parameter_means(rows, rows), shown.filter("rank % 4 = 0"), {"avg_click": "click", "avg_view": "view"})
+    return out.select("factory_id", "name", "rank", "has_cto_context", "context_warning", "coverage_percentage", F.round("missing_percentage", 2).alias("missing_percentage"), "readiness_score", "parameter_count", "avg_click", "avg_view", "note")
+
+
+@query(f"SELECT factory_id, tsi_score, round(anomaly_score, 4) AS anomaly_score, coalesce(CASE WHEN rank % 2 = 0 THEN rank / 100.0 END, 0.942) AS seed_stability_index FROM ({_VIEW})", "mag")
+def factory_predictions(spark, d):
+    shown = view(spark, d)
+    return views.predictions(shown, shown.filter("rank % 2 = 0").select("factory_id", (F.col("rank") / 100.0).alias("stability")))
+
+
+@query("SELECT factory_id, inspection_date, status FROM insp WHERE factory_id = 'site_1'", "insp")
+def inspection_history(spark, d):
+    return views.inspection_history(insp(spark, d), "site_1").select("factory_id", "inspection_date", "status")
+
+
+@query(f"SELECT factory_id, coverage_percentage, round(100 - coverage_percentage, 2) AS missing_percentage, CASE WHEN coverage_percentage >= 90 THEN 'A' WHEN coverage_percentage >= 75 THEN 'B' WHEN coverage_percentage >= 50 THEN 'C' WHEN coverage_percentage >= 25 THEN 'D' ELSE 'F' END AS quality_grade, readiness_score, total_records, CAST(sum(total_records) OVER () AS BIGINT) AS total_records_processed FROM ({_QUALITY})")
+def data_quality_view(spark, d):
+    rows = quality_of_users(spark, d)
+    return views.data_quality(rows.withColumn("quality_grade", profile.grade(F.col("coverage_percentage")))).withColumn("missing_percentage", F.round("missing_percentage", 2))
+
+
+@query(f"SELECT region, count(*) AS total_sites, count(*) FILTER (risk_tier = 'High') AS high_risk_count, round_even(avg(tsi_score), 2) AS avg_tsi_score FROM ({_VIEW}) GROUP BY 1", "mag")
+def oversight_regions(spark, d):
+    return views.oversight(view(spark, d))
+
+
+@query(f"SELECT factory_id, name, rank, tsi_score, risk_tier, CASE risk_tier WHEN 'High' THEN 'CRITICAL - IMMEDIATE UNANNOUNCED AUDIT' WHEN 'Medium' THEN 'HIGH - MANDATE SENSOR CALIBRATION' ELSE 'ROUTINE MONITORED' END AS priority FROM ({_VIEW}) WHERE rank <= 5", "mag")
+def oversight_dispatch(spark, d):
+    return views.dispatch_queue(view(spark, d))
+
+
+@query("SELECT n_nationkey, coalesce(CASE WHEN n_nationkey % 3 > 0 AND n_nationkey % 5 > 0 THEN 'live ' || n_name END, n_name) AS name, n_regionkey AS region FROM nation UNION ALL SELECT s_suppkey, 'live', NULL FROM supplier WHERE s_suppkey BETWEEN 30 AND 40")
+def live_with_fallback(spark, d):
+    n = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    live = n.filter("n_nationkey % 3 > 0").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), F.when(F.col("n_nationkey") % 5 > 0, F.concat(F.lit("live "), F.col("name"))).alias("name"))
+    return views.with_fallback(n, live.union(table(spark, d, "supplier").filter("s_suppkey between 30 and 40").select("s_suppkey", F.lit("live"))), "n_nationkey")
 
 
 @query("SELECT count(*) AS rows, CAST(0 AS BIGINT) AS rows_with_infinity, count(*) FILTER (value < 0) AS negative_values, CAST(0 AS BIGINT) AS tamper_kinds, CAST(['corr_x'] AS VARCHAR[]) AS missing_columns FROM clean", "clean")
@@ -816,14 +928,17 @@ def verify_features(spark, d):
 
 
 @query(
-    """SELECT * FROM (VALUES (1, 'Consent To Operate', DATE '2024-02-01', DATE '2024-02-03', DATE '2029-01-31'), (2, 'Consent to Operate', NULL, NULL, NULL), (3, 'Cte', NULL, DATE '2023-12-31', DATE '2025-12-31'),
-    (4, 'Renewal Of Consent', DATE '2020-05-06', DATE '2020-05-06', DATE '2021-01-02')) t(id, consent_type, issue_date, valid_from, valid_until)""")
+    """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Consent To Operate' WHEN 1 THEN 'Consent to Operate' WHEN 2 THEN 'Cte' ELSE 'Renewal Of Consent' END AS consent_type, CASE WHEN o_orderkey % 4 IN (0, 3) THEN day END AS issue_date,
+    CASE o_orderkey % 4 WHEN 0 THEN day + 2 WHEN 2 THEN day WHEN 3 THEN day END AS valid_from, CASE WHEN o_orderkey % 4 <> 1 THEN day + CAST(o_custkey AS INTEGER) END AS valid_until FROM (SELECT *, CAST(o_orderdate AS DATE) AS day FROM orders)""")
 def consent_metadata(spark, d):
-    texts = [
-        (1, "CONSENT TO OPERATE dated 01/02/2024, valid   from 03.02.2024 valid\nup to 31-01-2029"), (2, "Renewal, see 31.12.2023"),
-        (3, "CTE, after a consent to operate: 31/12/2023 and 31/12/2025"), (4, "Renewal of consent, date: 06-05-2020 valid till 02.01.2021"),
-    ]
-    return spark.createDataFrame(texts, "id int, text string").select("id", scalars.consent_metadata(F.col("text")).alias("m")).select("id", "m.*")
+    k, on = F.col("o_orderkey"), lambda c, f: F.date_format(F.date_add(F.to_date("o_orderdate"), c), f)
+    until, say = F.col("o_custkey").cast("int"), lambda *xs: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in xs))
+    text = (
+        F.when(k % 4 == 0, say("CONSENT TO OPERATE dated ", on(0, "dd/MM/yyyy"), ", valid   from ", on(2, "dd.MM.yyyy"), " valid\nup to ", on(until, "dd-MM-yyyy")))
+        .when(k % 4 == 1, say("Renewal, see ", on(0, "dd.MM.yyyy"))).when(k % 4 == 2, say("CTE, after a consent to operate: ", on(0, "dd/MM/yyyy"), " and ", on(until, "dd/MM/yyyy")))
+        .otherwise(say("Renewal of consent, date: ", on(0, "dd-MM-yyyy"), " valid till ", on(until, "dd.MM.yyyy")))
+    )
+    return table(spark, d, "orders").select("o_orderkey", scalars.consent_metadata(text).alias("m")).select("o_orderkey", "m.*")
 
 
 # -- models and injection (no SQL form) -----------------------------------------------------------------------

@@ -11,3 +11,8 @@ INSPECTIONS = "factory_id string, inspection_date date, inspection_type string,
 FACTORIES = "site_id string, name string, category string, city string, state string, created_at string"
 RUN_LOG = "factory_id string, parameter_id string, row_count bigint, started_at timestamp_ntz, finished_at timestamp_ntz, status string, error_message string"
 FINGERPRINTS = ["impossible_ph_range", "inspection_dip", "flatline", "limit_hugging", "correlation_break", "copy_paste", "coordinated_missing_data", "data_integrity"]
+
+
+def names(schema: str) -> list[str]:
+    """The names of a schema's columns."""
+    return [part.split()[0] for part in schema.split(",")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -101,6 +101,12 @@ def pivot_export(readings: DataFrame, parameters: list[str]) -> DataFrame:
     return wide.select("factory_id", F.date_format("timestamp", "yyyy-MM-dd HH:mm").alias("time"), *(F.col(f"`{p}`") for p in parameters))
 
 
+def export_by_factory(readings: DataFrame, parameters: list[str], folder: str) -> None:
+    """`pivot_export` as CSV, a folder for each factory, rows by time inside it, blank for missing values."""
+    wide = pivot_export(readings, parameters).repartition("factory_id").sortWithinPartitions("factory_id", "time")
+    wide.write.mode("overwrite").partitionBy("factory_id").option("nullValue", "").csv(folder, header=True)
+
+
 def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
@@ -108,3 +114,8 @@ def append_log(df: DataFrame, path: str) -> None:
 def write_json(df: DataFrame, path: str) -> None:
     """Nested rows as JSON lines."""
     df.write.mode("overwrite").json(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What `write_json` has written, with the types of ``schema``; a line that is no JSON fails."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
