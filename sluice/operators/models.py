@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -63,14 +64,59 @@ class IsolationForest:
         return -(2.0 ** (-total / len(self.roots) / max(self.norm, 1e-9)))
 
 
+def _sampled(df: DataFrame, columns: list[str], key: list[str], most: int, seed: int) -> np.ndarray:
+    """At most ``most`` rows on the driver, those of least keyed hash; missing values take the column's median."""
+    medians = df.agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in columns)).first()
+    picked = df.select(*(F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c] or 0))).alias(c) for c in columns), scalars.uniform(seed, *map(F.col, key)).alias("_u")).orderBy("_u").limit(most)
+    return picked.drop("_u").toPandas().to_numpy()
+
+
 def fit_isolation_forest(df: DataFrame, columns: list[str], key: list[str], most: int = 100_000, seed: int = 42, **options) -> IsolationForest:
     """Fitted on at most ``most`` rows, those of least keyed hash; missing values take the column's median.
 
     The bound is a parameter; the rows reach the driver, which grows the trees.
     """
-    medians = df.agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in columns)).first()
-    picked = df.select(*(F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c] or 0))).alias(c) for c in columns), scalars.uniform(seed, *map(F.col, key)).alias("_u")).orderBy("_u").limit(most)
-    return IsolationForest(seed=seed, **options).fit(picked.drop("_u").toPandas().to_numpy())
+    return IsolationForest(seed=seed, **options).fit(_sampled(df, columns, key, most, seed))
+
+
+def fit_seeds(df: DataFrame, columns: list[str], key: list[str], seeds: list[int], most: int = 100_000, seed: int = 42, **options) -> list[IsolationForest]:
+    """A forest for each of ``seeds``, all of one sample of at most ``most`` rows; the fits run as tasks, one for each seed."""
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(_sampled(df, columns, key, most, seed))
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(int(s), _as_text(IsolationForest(seed=int(s), **options).fit(shared.value))) for s in b["s"]], columns=["s", "model"])
+
+    rows = spark.createDataFrame([(s,) for s in seeds], "s int").repartition(len(seeds)).mapInPandas(fit, "s int, model string").collect()
+    by = {r["s"]: _of_text(r["model"]) for r in rows}
+    return [by[s] for s in seeds]
+
+
+def seed_stability(df: DataFrame, forests: list[IsolationForest], key: str, columns: list[str], order: list[str], rows: int = 1000, seed: int = 42) -> DataFrame:
+    """(key, n, stability): how alike forests of different seeds rank the readings of each factory.
+
+    The mean rank correlation over all pairs of ``forests``, between the scores of the same ``rows`` hash-sampled readings of a factory
+    (all, if it has fewer); equal scores share their mean rank.  Missing values count as 0, as in scoring.  A factory whose scores
+    do not vary under some forest, or with one reading, has no stability: null.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(forests)
+    picked = df.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(scalars.uniform(seed, *map(F.col, order)), *order))).filter(F.col("_n") <= rows)
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf[columns].astype(float).fillna(0.0).to_numpy()
+        ranks = pd.DataFrame({i: f.score(x) for i, f in enumerate(shared.value)}).rank()
+        alike = ranks.corr().to_numpy()[np.triu_indices(len(shared.value), 1)]
+        value = None if not len(alike) or np.isnan(alike).any() else float(alike.mean())
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "n": [len(pdf)], "stability": pd.array([value], dtype="Float64")})
+
+    kind = df.schema[key].dataType.simpleString()
+    return picked.select(key, *columns).groupBy(key).applyInPandas(compare, f"`{key}` {kind}, n long, stability double")
+
+
+def mean_stability(stability: DataFrame) -> DataFrame:
+    """(factories, mean_stability): one row, over the factories that have one."""
+    return stability.agg(F.count("stability").alias("factories"), F.avg("stability").alias("mean_stability"))
 
 
 def score_isolation_forest(df: DataFrame, model: IsolationForest, columns: list[str]) -> DataFrame:
@@ -221,48 +267,109 @@ def linear_attribution(df: DataFrame, key: str, columns: list[str], coefficients
     return met.select(key, F.posexplode(by_size).alias("place", "f")).select(key, "place", "f.*")
 
 
-def kernel_attribution(df: DataFrame, model: IsolationForest, key: str, columns: list[str], order: list[str], rows: int = 150, background: int = 30, samples: int = 100, seed: int = 42) -> DataFrame:
-    """(key, feature, shap): the mean Shapley estimate of the anomaly score over ``rows`` hash-sampled readings of each key.
+def centres(x: np.ndarray, k: int, seed: int = 42, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, weights): ``k`` clusters of a small table (or one for each distinct row, if these are fewer), weighted by their shares.
 
-    Coalitions are drawn, missing features come from a background of ``background`` rows, and a weighted least
-    squares fit that sums to the score gives the shares.
+    Seeds are drawn in proportion to the squared distance from those drawn; each coordinate of a centre is then the nearest value that
+    the column has, so that no impossible value comes up.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    rng, rows = np.random.default_rng(seed), np.unique(x, axis=0)
+    if len(rows) <= k:
+        chosen = rows
+    else:
+        chosen = x[[rng.integers(len(x))]]
+        far = ((x - chosen[0]) ** 2).sum(1)
+        while len(chosen) < k:
+            chosen = np.vstack([chosen, x[rng.choice(len(x), p=far / far.sum())]])
+            far = np.minimum(far, ((x - chosen[-1]) ** 2).sum(1))
+    for _ in range(rounds if len(rows) > k else 0):
+        own = ((x[:, None] - chosen[None]) ** 2).sum(2).argmin(1)
+        moved = np.array([x[own == c].mean(0) if (own == c).any() else chosen[c] for c in range(k)])
+        if np.allclose(moved, chosen):
+            break
+        chosen = moved
+    own = ((x[:, None] - chosen[None]) ** 2).sum(2).argmin(1)
+    weights = np.bincount(own, minlength=len(chosen)) / len(x)
+    nearest = np.column_stack([x[np.abs(x[:, [c]] - chosen[:, c]).argmin(0), c] for c in range(x.shape[1])])
+    return nearest[weights > 0], weights[weights > 0]
+
+
+def background_of(df: DataFrame, model: IsolationForest, columns: list[str], order: list[str], clusters: int = 30, of: int = 1500, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, weights): the centres of ``clusters`` clusters of at most ``of`` rows of least keyed hash, in the forest's own scale; missing values are 0."""
     u = scalars.uniform(seed, *map(F.col, order))
-    picked = df.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(u))).filter(F.col("_n") <= rows + background)
+    x = df.select(*(F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(c) for c in columns), u.alias("_u")).orderBy("_u", *columns).limit(of).drop("_u").toPandas().to_numpy(float)
+    rows, weights = centres((x - model.mean) / model.scale, clusters, seed)
+    return rows * model.scale + model.mean, weights
 
-    def explain(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng, k = np.random.default_rng(seed), len(columns)
-        x = pdf.sort_values("_n")[columns].fillna(0.0).to_numpy(float)
-        base, x = x[-min(background, len(x)) :], x[: max(1, len(x) - background)]
-        mask = rng.random((samples, k)) < rng.random((samples, 1))
+
+def coalitions(k: int, samples: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(masks, weights) of the kernel: all proper coalitions of ``k`` features if they are no more than ``samples``, else drawn ones."""
+    if k < 2:
+        return np.empty((0, k), bool), np.empty(0)
+    if 2**k - 2 <= samples:
+        mask = (np.arange(1, 2**k - 1)[:, None] >> np.arange(k)) & 1 == 1
         size = mask.sum(1)
-        mask, size = mask[(size > 0) & (size < k)], size[(size > 0) & (size < k)]
-        weight = (k - 1) / (size * (k - size)) if k > 1 else np.ones(len(size))
-        of = shared.value.score
-        floor, total = of(base).mean(), np.zeros(k)
-        for row in x:
+        return mask, (k - 1) / (np.array([comb(k, int(s)) for s in size]) * size * (k - size))
+    mask = rng.random((samples, k)) < rng.random((samples, 1))
+    mask = mask[(mask.sum(1) > 0) & (mask.sum(1) < k)]
+    size = mask.sum(1)
+    return mask, (k - 1) / (size * (k - size))
+
+
+def shapley(of, x: np.ndarray, base: np.ndarray, share: np.ndarray, mask: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The shares of each row of ``x``: they sum to its score less the expectation over ``base`` with the weights ``share``."""
+    k, floor, out = x.shape[1], float(of(base) @ share), []
+    z = mask[:, :-1].astype(float) - mask[:, -1:]
+    for row in x:
+        gain = float(of(row[None])[0]) - floor
+        if len(mask):
             mixed = np.where(mask[:, None, :], row, base[None]).reshape(-1, k)
-            y = of(mixed).reshape(len(mask), -1).mean(1) - floor if len(mask) else np.empty(0)
-            gain = of(row[None])[0] - floor
-            z = mask[:, :-1].astype(float) - mask[:, -1:]
-            phi = np.linalg.lstsq(z * np.sqrt(weight)[:, None], (y - mask[:, -1] * gain) * np.sqrt(weight), rcond=None)[0] if len(mask) else np.zeros(k - 1)
-            total += np.append(phi, gain - phi.sum())
-        return pd.DataFrame({key: pdf[key].iloc[0], "feature": columns, "shap": total / len(x)})
+            y = of(mixed).reshape(len(mask), -1) @ share - floor
+            phi = np.linalg.lstsq(z * np.sqrt(weight)[:, None], (y - mask[:, -1] * gain) * np.sqrt(weight), rcond=None)[0]
+        else:
+            phi = np.zeros(k - 1)
+        out.append(np.append(phi, gain - phi.sum()))
+    return np.array(out)
+
+
+def kernel_attribution(df: DataFrame, model: IsolationForest, key: str, columns: list[str], order: list[str], rows: int = 150, background: int = 30, samples: int = 100, seed: int = 42, of: int = 1500) -> DataFrame:
+    """(key, feature, shap): the mean Shapley estimate of the anomaly score over ``rows`` hash-sampled readings of each key.
+
+    Missing features come from ``background`` weighted cluster centres of at most ``of`` rows of all factories, which are one
+    background for all; coalitions are drawn (or all taken, if they are few), and a weighted least squares fit that sums to
+    the score less its expectation gives the shares.
+    """
+    base, share = background_of(df, model, columns, order, background, of, seed)
+    shared = df.sparkSession.sparkContext.broadcast((model, base, share))
+    u = scalars.uniform(seed, *map(F.col, order))
+    picked = df.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(u, *order))).filter(F.col("_n") <= rows)
+
+    def explain(pdf: pd.DataFrame) -> pd.DataFrame:
+        forest, base, share = shared.value
+        x = pdf.sort_values("_n")[columns].astype(float).fillna(0.0).to_numpy()
+        mask, weight = coalitions(len(columns), samples, np.random.default_rng(seed))
+        return pd.DataFrame({key: pdf[key].iloc[0], "feature": columns, "shap": shapley(forest.score, x, base, share, mask, weight).mean(0)})
 
     kind = df.schema[key].dataType.simpleString()
     return picked.groupBy(key).applyInPandas(explain, f"`{key}` {kind}, feature string, shap double")
 
 
-def save_forest(spark, model: IsolationForest, path: str) -> None:
-    """The model as one row of JSON in a folder of any store that the cluster knows."""
-    text = json.dumps({"mean": model.mean.tolist(), "scale": model.scale.tolist(), "norm": model.norm, "roots": model.roots})
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+def _as_text(model: IsolationForest) -> str:
+    return json.dumps({"mean": model.mean.tolist(), "scale": model.scale.tolist(), "norm": model.norm, "roots": model.roots})
 
 
-def load_forest(spark, path: str) -> IsolationForest:
-    d = json.loads(spark.read.text(path, wholetext=True).first().value)
+def _of_text(text: str) -> IsolationForest:
+    d = json.loads(text)
     tree = lambda n: (int(n[0]), n[1], tree(n[2]), tree(n[3])) if isinstance(n, list) else n
     out = IsolationForest(len(d["roots"]))
     out.mean, out.scale, out.norm, out.roots = np.array(d["mean"]), np.array(d["scale"]), d["norm"], [tree(r) for r in d["roots"]]
     return out
+
+
+def save_forest(spark, model: IsolationForest, path: str) -> None:
+    """The model as one row of JSON in a folder of any store that the cluster knows."""
+    spark.createDataFrame([(_as_text(model),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_forest(spark, path: str) -> IsolationForest:
+    return _of_text(spark.read.text(path, wholetext=True).first().value)

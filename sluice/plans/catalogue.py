@@ -1018,3 +1018,18 @@ def kernel_shap(spark, d):
 @query()
 def inject_tampers(spark, d):
     return inject.inject(clean(spark, d).select("factory_id", "parameter_id", "timestamp", "event_id", "value", "quality_code"), "event_id")
+
+
+@query()
+def injected_events(spark, d):
+    """Events of one month instead of two half-years, since that is what ``events`` spans."""
+    rows = clean(spark, d).select("factory_id", "parameter_id", "timestamp", "event_id", "value", "quality_code")
+    month = {kind: (times, least, most, 20, ((1, 3),), False) for kind, (times, least, most, *_) in inject.EVENTS.items()}
+    given = spark.createDataFrame([], inject.LABELS)
+    return inject.inject_events(rows, given, inject.draw_labels(rows, given, events=month), "event_id")[0]
+
+
+@query()
+def seed_stability(spark, d):
+    rows = features(spark, d)
+    return models.seed_stability(rows, models.fit_seeds(rows, _RAW, ["event_id"], [42, 43, 44, 45, 46]), "factory_id", _RAW, ["event_id"])
