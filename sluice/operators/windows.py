@@ -65,8 +65,8 @@ def correlation_names(parameters: tuple[str, ...]) -> list[tuple[str, str, str]]
     return [(a, b, f"corr_{a}_{b}") for i, a in enumerate(ordered) for b in ordered[i + 1 :]]
 
 
-def correlations(wide_: DataFrame, cfg: FeatureConfig) -> DataFrame:
-    """corr_a_b for each pair of parameters over the factory's last rows, complete pairs only."""
+def correlations(wide_: DataFrame, cfg: FeatureConfig, keep: list[str] | None = None) -> DataFrame:
+    """corr_a_b for each pair of parameters over the factory's last rows, complete pairs only; beside them the columns ``keep``."""
     n = cfg.correlation_rows
     frame = last_rows(n, W.partitionBy("factory_id").orderBy("timestamp"))
     # a column that hardly varies over its own full frame has no correlations; found once per column
@@ -74,7 +74,7 @@ def correlations(wide_: DataFrame, cfg: FeatureConfig) -> DataFrame:
     rows = wide_.withColumns({f"_still_{p}": c for p, c in still.items()})
     moves = lambda a, b: ~(F.col(f"`_still_{a}`") | F.col(f"`_still_{b}`"))
     named = {name: F.when(moves(a, b), numeric.pearson(F.col(f"`{a}`"), F.col(f"`{b}`"), frame, n)) for a, b, name in correlation_names(cfg.parameters)}
-    return rows.withColumns(named).select("factory_id", "timestamp", *(F.col(f"`{n}`") for n in named))
+    return rows.withColumns(named).select("factory_id", "timestamp", *(F.col(f"`{n}`") for n in named), *(keep or []))
 
 
 def autocorrelation(df: DataFrame, cfg: FeatureConfig, w: WindowSpec) -> DataFrame:
@@ -115,11 +115,23 @@ def severity(df: DataFrame) -> DataFrame:
 
 def ratio_features(wide_: DataFrame, cfg: FeatureConfig) -> DataFrame:
     """(factory_id, timestamp, bod_cod_ratio, bod_cod_ratio_volatility) where either parameter was read."""
+    return _with_ratio(wide_, cfg).filter("_either").select("factory_id", "timestamp", "bod_cod_ratio", "bod_cod_ratio_volatility")
+
+
+def _with_ratio(rows: DataFrame, cfg: FeatureConfig) -> DataFrame:
+    """``rows`` with the ratio's features and _either; frames hold only rows where either parameter was read."""
     a, b = (F.col(f"`{p}`") for p in cfg.ratio)
-    rows = wide_.filter(a.isNotNull() | b.isNotNull()).withColumn("bod_cod_ratio", F.when(a.isNotNull() & (b > 1e-6), F.try_divide(a, b)))
-    frame = last_rows(cfg.rate_rows, W.partitionBy("factory_id").orderBy("timestamp"))
+    rows = rows.withColumns({"_either": a.isNotNull() | b.isNotNull(), "bod_cod_ratio": F.when(a.isNotNull() & (b > 1e-6), F.try_divide(a, b))})
+    frame = last_rows(cfg.rate_rows, W.partitionBy("factory_id", "_either").orderBy("timestamp"))
     r = F.col("bod_cod_ratio")
-    return rows.select("factory_id", "timestamp", "bod_cod_ratio", numeric.full(r, F.stddev_samp(r), frame, cfg.rate_rows).alias("bod_cod_ratio_volatility"))
+    return rows.withColumn("bod_cod_ratio_volatility", F.when(F.col("_either"), numeric.full(r, F.stddev_samp(r), frame, cfg.rate_rows)))
+
+
+def side_by_side(wide_: DataFrame, cfg: FeatureConfig) -> DataFrame:
+    """(factory_id, timestamp, correlations, the ratio's features): all that needs a factory's parameters beside each other, from one exchange."""
+    names = [n for *_, n in correlation_names(cfg.parameters)]
+    rows = _with_ratio(wide_, cfg)
+    return correlations(rows, cfg, ["bod_cod_ratio", "bod_cod_ratio_volatility"]).select("factory_id", "timestamp", *(F.col(f"`{n}`") for n in names), "bod_cod_ratio", "bod_cod_ratio_volatility")
 
 
 def limit_hugging(df: DataFrame, limits: DataFrame, cfg: FeatureConfig) -> DataFrame:

@@ -21,18 +21,14 @@ def build(readings: DataFrame, report: DataFrame, limits: DataFrame, cfg: Featur
     """All features of (factory_id, parameter_id, timestamp, value, quality_code) readings.
 
     Windows over one series come first and share one exchange and sort; what needs a factory's parameters side
-    by side is computed on the pivoted table and joined back on (factory, timestamp).
+    by side is computed on the pivoted table, in one pass, and joined back on (factory, timestamp) once.
     """
     order = w.series(tie)
     rows = w.rolling_stats(readings, cfg, order)
     rows = w.flatline_fixed(rows, cfg, order) if synthetic else w.flatline_measured(rows, cfg, order).drop("frame_std")
     rows = w.run_length(w.rates(w.autocorrelation(rows, cfg, order), cfg, order), order)
     rows = w.severity(rows)
-    wide = w.wide(readings, cfg.parameters)
-    key = ["factory_id", "timestamp"]
-    rows = rows.join(w.correlations(wide, cfg), key, "left")
-    ratio = w.ratio_features(wide, cfg)
-    rows = rows.join(ratio, key, "left")
+    rows = rows.join(w.side_by_side(w.wide(readings, cfg.parameters), cfg), ["factory_id", "timestamp"], "left")
     rows = rows.withColumns({c: F.when(F.col("parameter_id").isin(*cfg.ratio), F.col(c)) for c in ("bod_cod_ratio", "bod_cod_ratio_volatility")})
     rows = w.limit_hugging(rows, limits, cfg)
     return rows.join(report.select("factory_id", F.col("error_rate").alias("quality_error_rate")), "factory_id", "left")
