@@ -443,10 +443,12 @@ class Encoder:
             hit = (row[:, 0] == key[open_, 0]) & (row[:, 1] == key[open_, 1]) & (row[:, 2] >> np.uint64(32) == length[open_])
             found[open_[hit]] = (row[hit, 2] & np.uint64(0xFFFFFFFF)).astype(np.int64)
             open_ = open_[~hit]
-        for at, number in alone.items():
-            k = int(np.searchsorted(pos, at))
-            found[k] = number
-            open_ = open_[open_ != k]
+        if alone:
+            k = np.searchsorted(pos, np.fromiter(alone, np.int64, len(alone)))
+            found[k] = np.fromiter(alone.values(), np.int64, len(alone))
+            taken = np.zeros(len(pos), bool)
+            taken[k] = True
+            open_ = open_[~taken[open_]]
         raw = padded.tobytes()
         if len(open_):
             order = open_[np.lexsort((length[open_], key[open_, 1], key[open_, 0]))]

@@ -1,6 +1,7 @@
 """The encoder against the tokenizers library."""
 
 import random
+import time
 from itertools import pairwise
 
 import numpy as np
@@ -37,6 +38,12 @@ def test_edges():
     same([None, "", " ", "\n", "\n\n", " \n ", "<|endoftext|>", "x<|endoftext|><|endoftext|> y", "a" * 5000, "ab" * 3000, "0" * 4000, " " * 3000 + "x", "-" * 999])
 
 
+def test_many_special_strings_take_linear_time():
+    began = time.perf_counter()
+    same(["<|endoftext|> x " * 300_000, "a<|endoftext|><|endoftext|> b" * 1000, "<|endoftext|>" * 100_000])
+    assert time.perf_counter() - began < 60  # minutes, if each special string looked at all chunks
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(max_size=60), max_size=5))
 def test_any_text(texts):
