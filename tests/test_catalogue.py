@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from sluice.plans import catalogue
+from sluice.plans import catalogue, collection  # noqa: F401  # which registers its queries, too
 
 
 def plain(v):
