@@ -137,7 +137,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, vocab_path: str) -> DataFrame:
-    """Write the records and their index to the shared folder, then read them: doc_id, start, n_tokens, ids_crc32."""
+    """Write the records and their index to the shared folder, then read them: doc_id, start, n_tokens, ids_crc32.
+
+    Null and empty texts are records of the end id alone; an empty table gives no rows.  Rows that repeat an id
+    are a record each, one after another; rows without an id come first.  Other columns play no part.  The files stay in the shared folder, whose owner clears it.
+    """
     spark = docs.sparkSession
     path = shared_dir(spark)
     write(docs, f"{path}/records", vocab_path)
