@@ -14,7 +14,10 @@ from sluice.llm.queries import vocab_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or diverge from every language go."""
+    """Documents that fail the base rules or diverge from every language go.
+
+    Null and empty texts fail the base rules; repeated rows are judged one by one; an empty table stays empty.
+    """
     return quality.keep_good(docs)
 
 
@@ -33,18 +36,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark, and n_chars follows."""
+    """Secrets are replaced by a mark, and n_chars follows.
+
+    Null texts stay null and keep their n_chars; texts without a secret, empty ones too, stay as they are; no row goes or comes.
+    """
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(clean.schema["n_chars"].dataType)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it."""
+    """Each document as often as the mixture takes it.
+
+    Documents without words are not taken; rows without a source are one source, the last; repeated rows are documents each.
+    """
     return mixing.take(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every text encoded, decoded again, and both digested."""
+    """Every text encoded, decoded again, and both digested; null texts are empty, one row for each that the mixture took."""
     return bpe_codec.round_trip(docs, vocab_path())
 
 
