@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -23,6 +25,13 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 32 <
             yield b.slice(at, step)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: workers live on after a task, and what they keep is missing in the next stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def two_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text): whatever else the table holds, and however it is called, stays out of the way."""
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -71,7 +80,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the shared folder, by URI."""
+    """A new folder below the shared folder, by URI.
+
+    A query's result is read from it after the query has returned, so nothing here deletes it; whoever owns the shared folder clears it.
+    """
     return f"{shared_root(spark)}/{uuid.uuid4().hex}"
 
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, partitions, pieces, shared_dir
+from .common import checkpoint, give_back, partitions, pieces, shared_dir
 from .components import components
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -192,7 +192,7 @@ def near_duplicates(
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Hasher(components_)
-        for b in pieces(batches):
+        for b in pieces(batches, size=8 << 20):
             n, digests, signatures = [], [], []
             for t in b.column(1).to_pylist():
                 s = shingles(t, width)
@@ -200,6 +200,7 @@ def near_duplicates(
                 digests.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 signatures.append(of(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], ["id", "n", "digest", "signature"])
+        give_back()
 
     signed = checkpoint(rows.mapInArrow(sign, f"id {id_type}, n long, digest binary, signature binary"))
     linked = signed.filter("id is not null and n > 0")

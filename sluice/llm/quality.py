@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, pieces
+from .common import checkpoint, give_back, pieces
 
 #: The commonest function words of each supported language (general knowledge, a parameter of the operator).
 COMMON = {
@@ -215,5 +215,6 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *
             base, classes, words = zip(*map(of, b.column(at).to_pylist()))
             base = np.array(base)
             yield b.filter(pa.array(rules.value(base[:, 0], base[:, 1], base[:, 4], np.array(classes, float), np.array(words, float))[3]))
+        give_back()
 
     return docs.mapInArrow(keep, docs.schema)
