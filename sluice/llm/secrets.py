@@ -17,7 +17,13 @@ BASE = [
 ]
 #: Words of placeholders and alphabets in order.
 WORDS = r"(?i:example|placeholder|changeme|dummy|sample|your[_-]|xxxx|0123456789|abcdefgh)"
-#: Candidate strings of the entropy scan: runs of the characters that keys are written in, cut at `WORDS` (which match as themselves).
+#: Maximal runs of the characters that keys are written in.  All but the assignments lie inside one.
+RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+#: What every text with such a run holds: one range of code points, which is soon searched for.
+LIKELY = r"(?<![+-z])[+-z]{20}"
+#: What every assignment holds, in small letters.
+NAMES = ["password", "passwd", "secret", "token", "apikey", "api_key"]
+#: Candidate strings of the entropy scan: runs cut at `WORDS` (which match as themselves).
 CANDIDATE = WORDS + r"|(?:(?!" + WORDS + r")[A-Za-z0-9+/_=-]){20,}+"
 #: Their pieces between signs, so that a name before a key does not decide on the key.
 PIECE = r"[A-Za-z0-9]{20,}"
@@ -89,6 +95,36 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.when(text.rlike(pattern), walked).otherwise(F.array().cast("array<struct<s:int,e:int,m:string,g:string>>"))
 
 
+def runs(text: Column) -> Column:
+    """`RUN` in the text, as `matches` gives it."""
+    return F.when(text.rlike(LIKELY), matches(text, RUN)).otherwise(F.array().cast("array<struct<s:int,e:int,m:string,g:string>>"))
+
+
+def inside(found: Column, search) -> Column:
+    """What ``search`` (of a string, as `matches` gives it) finds inside each of ``found``, placed in the text."""
+    moved = lambda run, x: F.struct((run["s"] + x["s"]).alias("s"), (run["s"] + x["e"]).alias("e"), x["m"].alias("m"), x["g"].alias("g"))
+    return F.flatten(F.transform(found, lambda run: F.transform(search(run["m"]), lambda x: moved(run, x))))
+
+
+def base_matches(text: Column, found: Column) -> list[Column]:
+    """The fixed patterns' spans, a column for each kind; ``found`` is `runs` of the text.
+
+    A match of 20 or more key characters lies inside one run, and matches never reach beyond a run, so those
+    inside shorter runs, which are dropped anyway, need no search.  Texts without a name of `NAMES` have no assignment.
+    """
+    low, named = F.lower(text), F.lit(False)
+    for name in NAMES:
+        named = named | low.contains(name)
+    out = []
+    for order, (kind, pattern, group, least) in enumerate(BASE):
+        if kind == "assign":
+            at = F.when(named, matches(text, pattern, group)).otherwise(F.array().cast("array<struct<s:int,e:int,m:string,g:string>>"))
+        else:
+            at = inside(found, lambda run, pattern=pattern, group=group: matches(run, pattern, group))
+        out.append(_spans(F.filter(at, _at_least(least)), kind, order))
+    return out
+
+
 def window_entropy(s: Column, window: int) -> Column:
     """The largest Shannon entropy in bits of any ``window`` characters in a row of ``s``.
 
@@ -122,10 +158,10 @@ def window_entropy(s: Column, window: int) -> Column:
     return let(F.filter(F.split(s, ""), lambda c: c != ""), lambda chars: let(F.array_distinct(chars), lambda alphabet: coded(chars, alphabet)))
 
 
-def entropy_matches(text: Column, window: int = 20, classes: dict | None = None, allowed: list[str] | None = None, piece_classes: dict | None = None) -> Column:
+def entropy_matches(found: Column, window: int = 20, classes: dict | None = None, allowed: list[str] | None = None, piece_classes: dict | None = None) -> Column:
     """array<struct<k, s, e, o>>: candidate strings, and pieces of others, of which some window is as mixed as random text of its class.
 
-    The allow-list is matched against the string or piece itself, before any entropy is computed.
+    ``found`` is `runs` of the text: candidates are runs cut at `WORDS`, and pieces lie inside runs.  The allow-list is matched against the string or piece itself, before any entropy is computed.
     """
     allowed = ALLOWED if allowed is None else allowed
 
@@ -142,8 +178,10 @@ def entropy_matches(text: Column, window: int = 20, classes: dict | None = None,
 
         return test
 
-    whole = _spans(F.filter(matches(text, CANDIDATE), suspicious(classes or CLASSES)), "entropy", len(BASE))
-    pieces = _spans(F.filter(matches(text, PIECE), suspicious(piece_classes or PIECE_CLASSES)), "entropy", len(BASE) + 1)
+    uncut = lambda run: F.array(F.struct(F.lit(0).alias("s"), F.length(run).alias("e"), run.alias("m"), run.alias("g")))
+    cut = lambda run: F.when(run.rlike(WORDS), matches(run, CANDIDATE)).otherwise(uncut(run))
+    whole = _spans(F.filter(inside(found, cut), suspicious(classes or CLASSES)), "entropy", len(BASE))
+    pieces = _spans(F.filter(inside(found, lambda run: matches(run, PIECE)), suspicious(piece_classes or PIECE_CLASSES)), "entropy", len(BASE) + 1)
     return F.concat(whole, pieces)
 
 
@@ -173,12 +211,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.col("text")
     row = F.struct(*(F.col(f"`{c}`").alias(c) for c in [id_col, *(keep or [])])).alias("row")
-    rows = docs.select(row, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    parts = []
-    for order, (kind, pattern, group, least) in enumerate(BASE):
-        parts.append(_spans(F.filter(matches(text, pattern, group), _at_least(least)), kind, order))
+    rows = docs.select(row, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("runs", runs(text))
     by_start = lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(a["o"] - b["o"])
-    found = rows.withColumn("base", F.array_sort(F.concat(*parts), by_start)).withColumn("more", entropy_matches(text, window))
+    found = rows.withColumn("base", F.array_sort(F.concat(*base_matches(text, F.col("runs"))), by_start)).withColumn("more", entropy_matches(F.col("runs"), window))
     merged = F.when(F.size("more") == 0, F.col("base")).otherwise(let(F.array_sort(F.concat("base", "more"), by_start), uncovered))
     return found.select("row", "base", merged.alias("all"))
 
