@@ -178,7 +178,7 @@ def data_quality(quality: DataFrame) -> DataFrame:
 
 def oversight(view: DataFrame) -> DataFrame:
     """Per region: total_sites, high_risk_count, avg_tsi_score."""
-    mean = numeric.half_even(F.avg("tsi_score"), 2)
+    mean = numeric.half_even_mean(F.col("tsi_score"), 2)
     return view.groupBy("region").agg(F.count(F.lit(1)).alias("total_sites"), F.count_if(F.col("risk_tier") == "High").alias("high_risk_count"), F.coalesce(mean, F.lit(0.0)).alias("avg_tsi_score"))
 
 

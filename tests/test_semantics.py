@@ -271,3 +271,15 @@ def test_gates_judge_the_order_of_triggers(spark):
     rows = spark.createDataFrame([(0.9, 1, 1), (0.8, 1, 2), (0.2, 0, 3), (0.1, 0, 4)], "probability double, label int, n int")
     assert [models.gates(rows, count=c).first().passes for c in (None, "n")] == [True, False]
     assert models.gates(rows, count="n").first().spearman == pytest.approx(-1.0)
+
+
+def test_oversight_mean_is_exact(spark):
+    """The scores sum to 353.0, and their mean 44.125 is a tie; summed as doubles in this order they come out above it."""
+    from sluice.plans import views
+
+    scores = [40.1, 40.2, 40.4, 40.7, 40.7, 49.5, 50.7, 50.7]
+    order = next(x for x in __import__("itertools").permutations(scores) if __import__("functools").reduce(lambda a, b: a + b, x, 0.0) > 353)
+    rows = [("a", x) for x in order] + [("b", 44.1), ("b", 44.2), ("b", 44.3), ("b", None), ("c", None), ("d", float("nan")), ("d", 1.0)]
+    df = spark.createDataFrame(rows, "region string, tsi_score double").withColumn("risk_tier", F.lit("Low")).coalesce(1)
+    got = {r.region: r.avg_tsi_score for r in views.oversight(df).collect()}
+    assert (got["a"], got["b"], got["c"]) == (44.12, 44.2, 0.0) and math.isnan(got["d"])
