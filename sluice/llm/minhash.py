@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, give_back, partitions, pieces, shared_dir
-from .components import components
+from .components import below
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _WORDS: dict[bytes, int] = {}
@@ -307,19 +307,16 @@ def near_duplicates(
     # round 1: each node and its likeliest smaller partner
     first = candidates.groupBy("b").agg(F.max_by("a", F.struct("agree", F.hash("a", "b"))).alias("a")).select("a", "b")
     links = checkpoint(verify(texts, first, percent, width).union(ties))
-    labels = checkpoint(components(links))
+    labels = below(links)
     # round 2: candidates that round 1 has not brought together
     side = lambda c: labels.select(F.col("node").alias(f"n{c}"), F.col("component").alias(f"c{c}"))
     apart = candidates.join(side("a"), F.col("a") == F.col("na"), "left").join(side("b"), F.col("b") == F.col("nb"), "left")
     apart = apart.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).filter("ca <> cb").join(first.select(F.col("a").alias("fa"), F.col("b").alias("fb")), (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb")), "left_anti")
     more = checkpoint(verify(texts, apart.select("a", "b"), percent, width))
-    if not more.isEmpty():
-        links = links.union(more)
-        labels = checkpoint(components(links))
+    labels = below(more, labels)
     # round 3: what large regions hold besides
     more = checkpoint(_crowd_links(texts, crowds.select("region", "node"), labels, signed, percent, width, block, block_shingles, parts))
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    labels = below(more, labels)
 
     # every member of a class is in the component of its node
     node = classes.select("digest", F.col("node").alias("own"))

@@ -497,3 +497,14 @@ def test_pipeline_keeps_one_row_of_repeats(spark):
     assert got.columns == docs.columns
     want = [texts[k] for k in (0, 2, 4, 6, 7, 9)]
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_components_steps(spark, monkeypatch):
+    """A chain takes a table for each halving of its paths; an earlier result is carried on."""
+    made = []
+    monkeypatch.setattr(components, "checkpoint", lambda df, f=components.checkpoint: made.append(1) or f(df))
+    got = {r.node: r.component for r in components.components(spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(65), 0) and len(made) <= 10
+    known = components.below(spark.createDataFrame([(5, 9), (7, 8), (20, 21)], "a long, b long"))
+    more = components.below(spark.createDataFrame([(9, 8), (3, 21), (30, 31), (4, 4)], "a long, b long"), known)
+    assert sorted(map(tuple, more.collect())) == [(7, 5), (8, 5), (9, 5), (20, 3), (21, 3), (31, 30)]
