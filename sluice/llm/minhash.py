@@ -200,6 +200,7 @@ def near_duplicates(
                 digests.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 signatures.append(of(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], ["id", "n", "digest", "signature"])
+        _WORDS.clear()
         give_back()
 
     signed = checkpoint(rows.mapInArrow(sign, f"id {id_type}, n long, digest binary, signature binary"))
@@ -225,17 +226,19 @@ def near_duplicates(
             for _, key in regions(_joined(b.column(0), np.uint32, components_)):
                 yield pa.RecordBatch.from_arrays([pa.array(key)], ["region"])
 
-    def grow(kept):
-        """(region, tree, node, what ``kept`` makes of the signatures) of each node in each tree."""
+    def grow(deep: bool):
+        """(region, path, node, bits) of each node in each tree; the path is the components behind the region's, as bytes in sorting order, if ``deep``."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in pieces(batches, 10_000):
                 sig = _joined(b.column(1), np.uint32, components_)
-                rest = _binary(kept(sig))
+                bits, none = _binary(sig.astype(np.uint8)), pa.nulls(len(sig), pa.binary())
                 for t, key in regions(sig):
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(sig), t, np.int32)), b.column(0), rest], ["region", "tree", "node", "rest"])
+                    path = _binary(sig[:, order[t][least_depth:]].astype(">u4")) if deep else none
+                    yield pa.RecordBatch.from_arrays([pa.array(key), path, b.column(0), bits], ["region", "path", "node", "bits"])
+            give_back()
 
-        return classes.select("node", "signature").mapInArrow(run, f"region long, tree int, node {id_type}, rest binary")
+        return classes.select("node", "signature").mapInArrow(run, f"region long, path binary, node {id_type}, bits binary")
 
     path = shared_dir(spark)
     large = classes.select("signature").mapInArrow(count, "region long").groupBy("region").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > crowd)
@@ -276,6 +279,7 @@ def near_duplicates(
                 held = t.slice(whole).to_batches()
         if held:
             yield from close(pa.Table.from_batches(held))
+        give_back()
 
     def pair_large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Larger regions in sorted order, some thousand rows at a time: parts and next neighbours."""
@@ -283,20 +287,14 @@ def near_duplicates(
             t = pa.Table.from_batches([b])
             keys = np.column_stack([np.unique(t["region"].to_numpy(), return_inverse=True)[1], _joined(t["path"], ">u4", depth - least_depth)]).astype(np.int64)
             yield from pairs_of(t, keys, 1)
-
-    def deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The components behind the region's, as bytes in sorting order."""
-        for b in pieces(batches, 10_000):
-            sig, tree = _joined(b.column(3), np.uint32, components_), b.column(1).to_numpy()
-            own = np.take_along_axis(sig, order[tree][:, least_depth:], 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), _binary(own.astype(">u4")), b.column(2), _binary(sig.astype(np.uint8))], ["region", "path", "node", "bits"])
+        give_back()
 
     kinds = f"a {id_type}, b {id_type}, agree int"
-    small = grow(lambda sig: sig.astype(np.uint8)).join(large, "region", "left_anti").select("region", "node", F.col("rest").alias("bits"))
+    small = grow(False).join(large, "region", "left_anti").select("region", "node", "bits")
     small = small.repartition(parts, "region").sortWithinPartitions("region", "node").mapInArrow(pair_small, kinds)
 
-    crowds = grow(lambda sig: sig).join(large, "region", "left_semi")
-    crowds = checkpoint(crowds.mapInArrow(deeper, f"region long, path binary, node {id_type}, bits binary"))
+    # one Python step a task: workers outlive their stage, and a second one for each core would keep its memory from then on
+    crowds = checkpoint(grow(True).join(large, "region", "left_semi"))
     ranged = crowds.repartitionByRange(parts, "region", "path", "node").sortWithinPartitions("region", "path", "node")
     found = small.union(ranged.mapInArrow(pair_large, kinds)).filter("a <> b")
     candidates = checkpoint(found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("agree").alias("agree")))
@@ -418,6 +416,8 @@ def verify(texts: DataFrame, pairs: DataFrame, percent: int, width: int) -> Data
                 out.clear()
         close()
         yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], schema)
+        _WORDS.clear()
+        give_back()
 
     from pyspark.sql.pandas.types import to_arrow_schema
 

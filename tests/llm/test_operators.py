@@ -508,3 +508,12 @@ def test_components_steps(spark, monkeypatch):
     known = components.below(spark.createDataFrame([(5, 9), (7, 8), (20, 21)], "a long, b long"))
     more = components.below(spark.createDataFrame([(9, 8), (3, 21), (30, 31), (4, 4)], "a long, b long"), known)
     assert sorted(map(tuple, more.collect())) == [(7, 5), (8, 5), (9, 5), (20, 3), (21, 3), (31, 30)]
+
+
+def test_minhash_one_python_step_a_task(spark, docs, monkeypatch):
+    """No task holds two Python workers: they outlive the stage, and their memory is missing in the next."""
+    plans = []
+    monkeypatch.setattr(minhash, "checkpoint", lambda df, f=minhash.checkpoint: plans.append(df._jdf.queryExecution().executedPlan().toString()) or f(df))
+    minhash.near_duplicates(docs)
+    stages = [x for p in plans for x in p.split("Exchange")]
+    assert any("MapInArrow" in x for x in stages) and all(x.count("MapInArrow ") <= 1 for x in stages)
