@@ -3,7 +3,9 @@
 import os
 
 import duckdb
+from pyspark.sql import functions as F
 
+from sluice.operators import joins
 from sluice.plans import catalogue
 from tests.test_catalogue import rows
 
@@ -25,6 +27,40 @@ def same(spark, folder, name):
     return got
 
 
+def steps(plan):
+    """All nodes of an executed plan."""
+    yield plan
+    inner = [plan.executedPlan()] if plan.nodeName().startswith("AdaptiveSparkPlan") else [plan.plan()] if "QueryStage" in plan.getClass().getName() else []
+    for p in [plan.children().apply(i) for i in range(plan.children().size())] + inner:
+        yield from steps(p)
+
+
+def most_rows(df):
+    """The most rows that a step of the plan of ``df``, which has been collected, gave out."""
+    counts = [p.metrics().get("numOutputRows") for p in steps(df._jdf.queryExecution().executedPlan())]
+    return max(c.get().value() for c in counts if c.isDefined())
+
+
 def test_scalar_functions_with_keys_of_more_than_five_digits(spark, tmp_path):
     orders(spark, tmp_path, [(k, c, "1999-03-04") for k in range(6) for c in (7, 99_999, 100_000, 123_456, 12_345_678)])
     assert len(same(spark, tmp_path, "scalar_functions")) == 30
+
+
+def test_name_match_compares_names_not_rows(spark, tmp_path):
+    made = [(k, n, "B", "T") for k, n in enumerate(["old ring", "old ring", "old ring", "hot ring", "ring", "big red ring", "big red plate", "a", "limited co", "", None, "big red, plate", "x-y m/s zz", "big red"])]
+    made += [(20, "ring", "C", "T"), (21, "alone", "D", "T"), (22, "old ring", None, "T")]
+    made += [(100 + k, ("cold bolt", "cold gear set", "gear set cold")[k % 3], "E", "T") for k in range(2400)]
+    spark.createDataFrame(made, "p_partkey long, p_name string, p_brand string, p_type string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    df = joins.match_names(*[catalogue.table(spark, tmp_path, "part").withColumn("block", F.concat("p_brand", "p_type"))] * 2, "block", "p_name", "p_partkey", apart=True)
+    got = {r["key"]: (r["other"], r["inside"], r["shared"]) for r in df.collect()}
+    assert [got.get(k) for k in (0, 1, 2, 4)] == [(1, True, 2), (0, True, 2), (0, True, 2), (0, True, 1)]
+    assert 10 not in got and 20 not in got and 21 not in got and 22 not in got
+    assert got[100] == (103, True, 2) and got[103] == (100, True, 2) and got[101] == (104, True, 3) and got[107] == (101, True, 3) and len(got) == 2400 + 13 and most_rows(df) < 10_000  # row by row the crowd makes millions of pairs
+    assert len(same(spark, tmp_path, "name_match")) == len(got)
+
+
+def test_match_names_of_two_tables_with_repeated_and_missing_keys(spark):
+    left = spark.createDataFrame([(1, "g", "alpha beta"), (1, "g", "gamma"), (2, "g", "alpha beta"), (None, "g", "gamma")], "k int, g string, n string")
+    right = spark.createDataFrame([(1, "g", "alpha beta"), (2, "g", "beta alpha"), (2, "g", "gamma x"), (None, "g", "gamma"), (3, "h", "alpha beta")], "k int, g string, n string")
+    both = lambda **o: {r["key"]: r["other"] for r in joins.match_names(left, right, "g", "n", "k", **o).collect()}
+    assert both() == {1: None, 2: 1, None: None} and both(apart=True) == {1: 2, 2: 1}
