@@ -3,9 +3,11 @@
 import os
 
 import duckdb
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from sluice.operators import joins
+from sluice.operators import aggregates, joins
 from sluice.plans import catalogue
 from tests.test_catalogue import rows
 
@@ -64,3 +66,40 @@ def test_match_names_of_two_tables_with_repeated_and_missing_keys(spark):
     right = spark.createDataFrame([(1, "g", "alpha beta"), (2, "g", "beta alpha"), (2, "g", "gamma x"), (None, "g", "gamma"), (3, "h", "alpha beta")], "k int, g string, n string")
     both = lambda **o: {r["key"]: r["other"] for r in joins.match_names(left, right, "g", "n", "k", **o).collect()}
     assert both() == {1: None, 2: 1, None: None} and both(apart=True) == {1: 2, 2: 1}
+
+
+def events(spark, folder, rows=3000):
+    """``events`` of which each is there twice under two ids, every third time with another value."""
+    one = spark.range(rows).selectExpr("id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 700) as ts", "pmod(hash(id), 1000) / 10.0D as v", "pmod(hash(id, 1), 60) as u", "pmod(hash(id, 2), 5) as e", "pmod(hash(id, 3), 100) as k")
+    both = one.crossJoin(spark.range(2).withColumnRenamed("id", "copy"))
+    named = "element_at(array('click', 'error', 'purchase', 'signup', 'view'), cast(e + 1 as int)) as event_type"
+    both.selectExpr(f"id + copy * {rows} as event_id", "ts", "cast(u as long) as user_id", named, "v + if(id % 3 = 0, copy, 0) as value", "concat('{\"k\": ', k, '}') as props").coalesce(1).write.parquet(f"{folder}/events.parquet")
+
+
+def test_feature_matrix_of_repeated_readings(spark, tmp_path):
+    events(spark, tmp_path)
+    assert len(same(spark, tmp_path, "feature_matrix_rows")) > 5000
+
+
+def test_fingerprint_scores_of_repeated_readings(spark, tmp_path):
+    events(spark, tmp_path)
+    assert len(same(spark, tmp_path, "fingerprint_scores")) == 4
+
+
+@pytest.mark.parametrize("name", ["iso_scores", "kernel_shap", "seed_stability", "tamper_model_loo", "tamper_probability"])
+def test_models_of_repeated_readings(spark, tmp_path, name):
+    events(spark, tmp_path)
+    got = catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    assert len(got) == {"iso_scores": 4, "seed_stability": 4, "kernel_shap": 4 * len(catalogue._RAW)}.get(name, 33)
+
+
+def test_exact_medians(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(x), float(k % 3), None, float(k) if k == 7 else None, float(k // 2) if k < 10 else None, float(-k) if k % 2 else float(k)) for k, x in enumerate(rng.normal(size=20_001))]
+    df = spark.createDataFrame(rows, "`a.b` double, ties double, none double, one double, few double, spread double").repartition(7)
+    got = aggregates.exact_medians(df, df.columns)
+    want = df.agg(*(F.percentile(f"`{c}`", F.lit(0.5)).alias(str(i)) for i, c in enumerate(df.columns))).first()
+    assert [got[c] for c in df.columns] == list(want)
+    assert aggregates.exact_medians(df.limit(0), ["ties"]) == {"ties": None} and aggregates.exact_medians(df, []) == {}
+    # ranges that miss the middle are found out
+    assert list(aggregates.exact_medians(df, df.columns, near=-0.3).values()) == list(want)
