@@ -5,6 +5,8 @@ Input is a table as cells; extracting tables from a document is left to whoever
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +27,7 @@ def clean(cell: Column) -> Column:
 
 
 def names_parameter(cell: Column) -> Column:
-    low = F.concat(F.lit(" "), F.lower(cell), F.lit(" "))
-    return F.exists(F.array(*(F.lit(f" {k} ") for k in PARAMETER_KEYWORDS)), lambda k: F.contains(low, k))
+    return F.concat(F.lit(" "), F.lower(cell), F.lit(" ")).rlike(f" (?:{'|'.join(map(re.escape, PARAMETER_KEYWORDS))}) ")
 
 
 def limit_rows(tables: DataFrame, keys: list[str], cells: str = "cells") -> DataFrame:
@@ -37,22 +38,21 @@ def limit_rows(tables: DataFrame, keys: list[str], cells: str = "cells") -> Data
     condition) and the last unit counts, else the parameter's own cell may have one.  Rows without a limit are left out; limits on
     SO2 and NOx are in mg/Nm3 whatever the row says.  Null cells are empty; a null table has no rows.
     """
-    t = tables.select(*keys, F.transform(cells, lambda r: F.transform(r, clean)).alias("t"))
-    t = t.filter((F.size("t") >= 2) & F.exists("t", lambda r: F.exists(r, names_parameter)))
-    r = t.select(*keys, F.posexplode("t").alias("row", "r"))
+    # a row that names a parameter is in a table that does.  What is used several times is bound by explode, else it would be computed as often
+    r = tables.filter(F.size(cells) >= 2).select(*keys, F.posexplode(cells).alias("row", "raw"))
+    r = r.select(*keys, "row", F.explode(F.array(F.transform("raw", clean))).alias("r"))
     is_name = lambda c: names_parameter(c) & ~F.lower(c).isin(*HEADINGS)
     at = F.array_position(F.transform("r", is_name), F.lit(True)).cast("int")  # from 1; 0 for none
-    r = r.withColumn("at", at).filter(F.col("at") > 0)
+    r = r.select(*keys, "row", "r", F.explode(F.filter(F.array(at), lambda a: a > 0)).alias("at"))
     others = F.filter("r", lambda c, i: (i + 1 != F.col("at")) & (c != ""))
-    r = r.select(*keys, "row", F.get("r", F.col("at") - 1).alias("parameter"), others.alias("o"))
-    read = F.transform(F.filter("o", lambda c: c.rlike(r"\d")), lambda c: F.struct(c.alias("c"), scalars.limit_range(c).alias("m")))
-    last = lambda xs: F.try_element_at(F.filter(xs, lambda x: x.isNotNull()), F.lit(-1))
-    r = r.withColumn("read", read)
-    low, high = last(F.transform("read", lambda x: x["m"]["low"])), last(F.transform("read", lambda x: x["m"]["high"]))
-    unit = F.coalesce(last(F.transform("o", scalars.unit)), scalars.unit(F.col("parameter")), F.lit(WATER_UNIT))
+    read = F.transform(others, lambda c: F.struct(F.when(c.rlike(r"\d"), F.struct(c.alias("c"), scalars.limit_range(c).alias("m"))).alias("limit"), scalars.unit(c).alias("unit")))
+    r = r.select(*keys, "row", F.get("r", F.col("at") - 1).alias("parameter"), F.explode(F.array(read)).alias("o"))
+    last = lambda of: F.try_element_at(F.filter(F.transform("o", of), lambda x: x.isNotNull()), F.lit(-1))
+    low, high = last(lambda x: x["limit"]["m"]["low"]), last(lambda x: x["limit"]["m"]["high"])
+    unit = F.coalesce(last(lambda x: x["unit"]), scalars.unit(F.col("parameter")), F.lit(WATER_UNIT))
     air = F.lower("parameter").rlike("so2|nox")
     out = r.select(
         *keys, "row", "parameter", low.alias("minimum_limit"), high.alias("maximum_limit"), F.when(air, AIR_UNIT).otherwise(unit).alias("unit"),
-        F.coalesce(F.try_element_at(F.transform("read", lambda x: x["c"]), F.lit(-1)), F.lit("")).alias("condition_text"), F.lit(CONFIDENCE).alias("extraction_confidence"),
+        F.coalesce(last(lambda x: x["limit"]["c"]), F.lit("")).alias("condition_text"), F.lit(CONFIDENCE).alias("extraction_confidence"),
     )
     return out.filter("minimum_limit is not null or maximum_limit is not null")
