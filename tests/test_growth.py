@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.operators import aggregates, joins
-from sluice.plans import catalogue
+from sluice.plans import catalogue, collection  # noqa: F401  # which registers its queries, too
+from sluice.sources import limit_tables
 from tests.test_catalogue import rows
 
 
@@ -103,3 +104,20 @@ def test_exact_medians(spark):
     assert aggregates.exact_medians(df.limit(0), ["ties"]) == {"ties": None} and aggregates.exact_medians(df, []) == {}
     # ranges that miss the middle are found out
     assert list(aggregates.exact_medians(df, df.columns, near=-0.3).values()) == list(want)
+
+
+def test_overlapping_terms_meet_once(spark, tmp_path):
+    orders(spark, tmp_path, [(k, 50 * (k % 3), f"1999-03-{1 + k % 9:02d}") for k in range(1500)])
+    assert len(same(spark, tmp_path, "interval_overlap")) > 100_000
+    plan = catalogue.interval_overlap(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1  # only one side is cut into days: a pair does not meet on each day that it shares
+
+
+def test_limit_cells_are_read_once(spark):
+    cells = [["row", "pH", "5.5 to 9", "mg/ l"], ["Parameter", "limit"], ["pH", "from 6 - 8 KLD", "max 1,000"], None, [None, "SO2 ", "1.2.3"], ["BOD (3 days)", "Nil"]]
+    tables = spark.createDataFrame([(1, cells), (2, [["pH", "7"]]), (3, [["a", "b"], ["c", "5"]]), (4, None), (5, [None, ["nox", "", "ppm 7 to x"]])], "k int, cells array<array<string>>")
+    out = limit_tables.limit_rows(tables, ["k"])
+    got = sorted(tuple(r)[:-1] for r in out.collect())
+    assert got == [(1, 0, "pH", 5.5, 9.0, "mg/l", "5.5 to 9"), (1, 2, "pH", 6.0, 1000.0, "KLD", "max 1,000"), (5, 1, "nox", None, 7.0, "mg/Nm3", "ppm 7 to x")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_cast(") <= 6  # not once for each place that a bound is used in
